@@ -40,6 +40,13 @@ def widened(schema: StructType, more: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
 
 
+def checked_broadcast(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """The table with a broadcast hint if it has at most `most_rows` rows; else as it is, for a shuffled join.
+
+    For narrow tables that were written before (counting them is cheap)."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def crc_mod(col: str, m: int):
     """crc32 of the id as text, modulo m; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % m, F.lit(0).cast("bigint"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op8_language_id
 
 QUERIES = {
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_language_id": op8_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": OP6_SQL,
+}
