@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op8_language_id
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_language_id": op8_language_id,
 }
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
