@@ -6,11 +6,13 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .language_id import op8_language_id
+from .quality import op4_quality
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_language_id": op8_language_id,
     "op10_mixing": op10_mixing,
