@@ -5,12 +5,14 @@ from __future__ import annotations
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .jaccard_join import op1_jaccard_join
 from .language_id import op8_language_id
 from .quality import op4_quality
 from .token_output import op7_token_output
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
