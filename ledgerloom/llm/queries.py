@@ -7,6 +7,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .jaccard_join import op1_jaccard_join
 from .language_id import op8_language_id
+from .pii import op9_pii
 from .quality import op4_quality
 from .token_output import op7_token_output
 from .url_filter import OP3_SQL, op3_url_filter
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_output": op7_token_output,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
