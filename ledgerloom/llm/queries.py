@@ -9,6 +9,7 @@ from .jaccard_join import op1_jaccard_join
 from .language_id import op8_language_id
 from .pii import op9_pii
 from .quality import op4_quality
+from .suffix_dedup import op5_suffix_dedup
 from .token_output import op7_token_output
 from .url_filter import OP3_SQL, op3_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_output": op7_token_output,
     "op8_language_id": op8_language_id,
