@@ -20,7 +20,11 @@ from ..streaming import streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-INGEST = F.timestamp_seconds(F.lit(1_700_000_000))
+
+
+def load_time():
+    """The time that loads are given in place of now."""
+    return F.timestamp_seconds(F.lit(1_700_000_000))
 
 
 def query(oracle: str | None = None, name: str | None = None):
@@ -99,7 +103,7 @@ ASSETS = ("fx_rbt", "fx_ft", "fx_nft", "fx_sc")
 
 def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = view(spark, sf_dir, "fx_rbt").where("num % 2 = 0").select(F.col("rbt_id").alias("token_id"), F.lit("RBT").alias("token_type"), F.timestamp_seconds(F.lit(0)).alias("last_updated"))
-    return A.registry(old, {k: asset(spark, sf_dir, k) for k in ITEM}, INGEST)
+    return A.registry(old, {k: asset(spark, sf_dir, k) for k in ITEM}, load_time())
 
 
 @query(f"{sql_views(*ASSETS)}, t AS ({ALL_TOKENS}) SELECT token_id, token_type, CASE WHEN token_type = 'RBT' AND cast(substr(token_id, 4) AS bigint) % 2 = 0 THEN 0 ELSE 1700000000 END::bigint AS last_updated FROM t")
@@ -147,7 +151,7 @@ def dids(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = {k: asset(spark, sf_dir, k).where(number_of(A.KEYS[k]) % 2 == 0) for k in ITEM}
     new = {k: A.new_rows(old[k], asset(spark, sf_dir, k).withColumn("arrival", F.lit(0)), A.KEYS[k]) for k in ITEM}
     before = O.did_totals(*old.values(), ingest=F.timestamp_seconds(F.lit(0)))
-    return O.did_totals(*new.values(), ingest=INGEST, existing=before)
+    return O.did_totals(*new.values(), ingest=load_time(), existing=before)
 
 
 @query(f"{sql_views(*ASSETS)}, {DIDS_SQL} SELECT * FROM dids")
@@ -235,7 +239,7 @@ def all_blocks(spark, sf_dir):
     d = decoded(spark, sf_dir).withColumn("arrival", F.lit(0))
     again = d.withColumns({"arrival": F.lit(1), "txn_id": F.concat("txn_id", F.lit("-late"))})
     rows = d.unionByName(again)
-    first = B.first_wins(B.all_blocks(rows, INGEST).withColumn("arrival", F.when(F.col("txn_id").endswith("-late"), 1).otherwise(0)), "block_hash")
+    first = B.first_wins(B.all_blocks(rows, load_time()).withColumn("arrival", F.when(F.col("txn_id").endswith("-late"), 1).otherwise(0)), "block_hash")
     return first.withColumn("epoch", F.unix_timestamp("epoch"))
 
 
@@ -272,7 +276,7 @@ def burnt_epoch(spark, sf_dir):
 
 @query(f"{sql_views('fx_block')} SELECT txn_id, block_hash, cast(CASE trans_code WHEN '02' THEN 1 WHEN '08' THEN 2 WHEN '13' THEN 3 WHEN '09' THEN 4 WHEN '10' THEN 5 ELSE 0 END AS bigint) AS type_number FROM fx_block")
 def block_type_codes(spark, sf_dir):
-    d = B.all_blocks(decoded(spark, sf_dir), INGEST)
+    d = B.all_blocks(decoded(spark, sf_dir), load_time())
     return d.select("txn_id", "block_hash", S.block_type_number(F.col("block_type")).alias("type_number"))
 
 
@@ -485,7 +489,7 @@ def stream_block_router(spark, sf_dir):
 def stream_all_blocks(spark, sf_dir):
     folder, texts = landed.new_folder(spark, "stream-all"), block_texts(spark, sf_dir)
     source = land_in_order([texts, texts.where("num % 3 = 0")], f"{folder}/in")
-    return streams.first_blocks(spark, source, folder, INGEST, "20000 days").withColumn("epoch", F.unix_timestamp("epoch"))
+    return streams.first_blocks(spark, source, folder, load_time(), "20000 days").withColumn("epoch", F.unix_timestamp("epoch"))
 
 
 @query(f"""{sql_views('fx_block')}, b AS (SELECT epoch // 3600 * 3600 AS interval_start, {LABEL_SQL} AS block_type, cast(round(coalesce(amount, 0) * 100) AS bigint) AS cents FROM fx_block WHERE epoch > 0)
