@@ -50,7 +50,8 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     words, at = word_hashes(texts)
     key = np.zeros(len(words), dtype=np.uint64)
     for k in range(size):
-        key[: len(words) - k] = key[: len(words) - k] * STEP + words[k:] if k else words
+        most = max(len(words) - k, 0)
+        key[:most] = key[:most] * STEP + words[k:]
     key = mixed(key + np.uint64(size))
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
