@@ -16,8 +16,8 @@ FANOUT = 8
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two, about four to eight for each token, 64 to 65536."""
-    return min(1 << 16, max(64, 1 << int(4 * max(n, 1) - 1).bit_length()))
+    """Bits of the bitmap of a set of n tokens: a power of two, one to two for each token, 64 to 65536."""
+    return min(1 << 16, max(64, 1 << int(max(n, 1) - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
