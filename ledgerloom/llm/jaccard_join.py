@@ -172,9 +172,9 @@ def verified(rows: list[dict], num: int, den: int) -> Iterator[tuple[int, int]]:
 
 
 def links_of(sets: DataFrame, num: int, den: int, most_tokens: int) -> DataFrame:
-    """Exact links (a, b) that span the components. sets: (grp, sid, n, tokens), each class once."""
+    """Exact links (a, b) that span the components. sets: (grp, sid, n, tokens); a class may stand there more than once."""
     work = lambda rows: verified(rows, num, den)
-    groups = saved(sets.groupBy("grp").agg(F.sum("n").alias("all"), F.min("sid").alias("leader")).withColumn("chunks", F.ceil(F.col("all") / most_tokens).cast("bigint")), "jaccard-groups")
+    groups = saved(sets.select("grp", "sid", "n").distinct().groupBy("grp").agg(F.sum("n").alias("all"), F.min("sid").alias("leader")).withColumn("chunks", F.ceil(F.col("all") / most_tokens).cast("bigint")), "jaccard-groups")
     dealt = sets.join(groups.select("grp", "chunks", "leader"), "grp").withColumn("label", F.col("sid"))
     if groups.where("chunks > 1").isEmpty():
         return saved(grouped(dealt.withColumn("task", F.col("grp")).select("task", "sid", "label", "tokens"), "task", "a bigint, b bigint", work, ["sid"]), "jaccard-links")
@@ -217,7 +217,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "tokens"])
 
     whole = over_sets(texts, size, "sid bigint, n bigint, tokens binary", make)
-    whole = saved(whole.join(checked_broadcast(groups), "sid").select("grp", "sid", "n", "tokens"), "jaccard-sets").dropDuplicates(["sid"])
+    whole = saved(whole.join(checked_broadcast(groups), "sid").select("grp", "sid", "n", "tokens"), "jaccard-sets")
     labels = components(links_of(whole, num, den, most_tokens), "jaccard-components")
     by_class = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
