@@ -34,14 +34,13 @@ def target_shares(cells: DataFrame, column: str, named: dict[str, float] | None)
     """(column, goal): the share of each value that has tokens; they sum to 1."""
     sums = cells.groupBy(column).agg(F.sum("tokens").cast("double").alias("own"))
     if not named:
-        total = sums.agg(F.count(F.lit(1)).alias("k"))
-        return sums.crossJoin(F.broadcast(total)).select(column, (1 / F.col("k")).alias("goal"))  # one row
-    left = max(0.0, 1 - sum(named.values()))
+        return sums.select(column, F.lit(1.0 / max(1, sums.count())).alias("goal"))
     marked = sums.withColumn("given", F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col(column)))
-    other = marked.agg(F.sum(F.when(F.col("given").isNull(), F.col("own"))).alias("other"))
-    raw = marked.crossJoin(F.broadcast(other)).select(column, F.coalesce("given", F.lit(left) * F.col("own") / F.col("other")).alias("goal"))
-    total = raw.agg(F.sum("goal").alias("all"))
-    return raw.crossJoin(F.broadcast(total)).select(column, (F.col("goal") / F.col("all")).alias("goal"))
+    other = marked.agg(F.sum(F.when(F.col("given").isNull(), F.col("own")))).first()[0]  # one number
+    left = F.lit(max(0.0, 1 - sum(named.values()))) * F.col("own") / F.lit(other)
+    raw = marked.select(column, F.coalesce("given", left).alias("goal"))
+    total = raw.agg(F.sum("goal")).first()[0]
+    return raw.select(column, (F.col("goal") / F.lit(total)).alias("goal"))
 
 
 def rake(cells: DataFrame, targets=TARGETS, rounds: int = ROUNDS) -> DataFrame:
