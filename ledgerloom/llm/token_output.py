@@ -8,7 +8,9 @@ rank's 1 to 4 low bytes into `data`; two bits of `control` for each id say how m
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from tokenizers import Tokenizer
 
 from .common import bounded_slices, new_folder, saved, split_tokens
 
@@ -26,37 +29,72 @@ END_ID, BLOCK_IDS = 1, 1 << 18
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.int64)
 
 
+#: Letters (ASCII and Latin-1), then ASCII punctuation but no apostrophe: the tokenizer parts the two and lower-cases the first.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: Byte → the character that stands for it in a byte-level vocabulary.
+BYTE_CHARS = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+BYTE_CHARS |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in BYTE_CHARS)}
+AS_CHARS = {chr(c): "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+_CORES: dict[str, list[int]] = {}  # ids of letter runs, kept by a worker from task to task
+
+
+def lower_cased_words(tokenizer_json: str) -> bool:
+    """Whether the tokenizer is of the kind that PLAIN describes: lower-cased, byte-level, letters apart from other characters."""
+    told = json.loads(tokenizer_json)
+    norm, pre = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    return {"type": "Lowercase"} in norm.get("normalizers", []) and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in str(pre["pretokenizers"][0]["pattern"].get("Regex"))
+
+
 class WordIds(dict):
-    """Word → place in `start` and `size` of its ids in `flat`. White space always parts this tokenizer's words, so each is encoded once."""
+    """Word → place in `start` and `size` of its ids in `flat`, for tokenizers of the plain kind: white space always parts their words, so each is encoded once."""
 
-    def __init__(self, tokenizer, limit: int = 400_000):
-        self.tokenizer, self.limit = tokenizer, limit
+    def __init__(self, tokenizer_json: str, limit: int = 400_000):
+        self.tokenizer, self.limit, self.plain = Tokenizer.from_str(tokenizer_json), limit, lower_cased_words(tokenizer_json)
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.size = [], []
+        self.flat, self.start, self.size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def run(self, part: str) -> list[int]:
+        """Ids of a run of letters, or of punctuation, by the tokenizer's model alone."""
+        found = _CORES.get(part)
+        if found is None:
+            if len(_CORES) > self.limit:  # bounds a worker's memory
+                _CORES.clear()
+            chars = part if part.isascii() else "".join(AS_CHARS.get(ch, ch) for ch in part)
+            found = _CORES[part] = [t.id for t in self.tokenizer.model.tokenize(chars)]
+        return found
 
     def places(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.limit:  # bounds a worker's memory
+        if len(self) > self.limit:
             self.reset()
-        new = [w for w in words if w not in self]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        ids, sizes, odd = [], [], []
+
+        def add(word, got: list[int]) -> None:
+            self[word] = len(self.start) + len(sizes)
+            sizes.append(len(got))
+            ids.extend(got)
+
+        for word in words:
+            if word in self:
+                continue
+            if m := PLAIN.fullmatch(word):
+                core, tail = m.groups()
+                add(word, self.run(core.lower()) + self.run(tail) if tail else self.run(core.lower()))
+            else:
+                odd.append(word)
+        for i in range(0, len(odd), 4096):
+            part = odd[i : i + 4096]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.add(word, got.ids)
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def add(self, word: str, ids: list[int]) -> None:
-        n = len(ids)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self[word] = len(self.start)
-        self.start.append(self.used)
-        self.size.append(n)
-        self.used += n
+                add(word, got.ids)
+        if END_ID not in self:
+            add(END_ID, [END_ID])
+        size = np.array(sizes, dtype=np.int64)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.array(ids, dtype=np.uint32)])
+        return np.fromiter(map(self.__getitem__, [*words, END_ID]), dtype=np.int64, count=len(words) + 1)
 
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -66,8 +104,6 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def tokenized(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids): little-endian ids of the whole text and the end id; 2 bytes each (4 where the vocabulary is larger)."""
-    from tokenizers import Tokenizer
-
     wide = Tokenizer.from_str(tokenizer_json).get_vocab_size() > 1 << 16
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kept = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -75,15 +111,17 @@ def tokenized(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, kind = WordIds(Tokenizer.from_str(held.value)), np.uint32 if wide else np.uint16
+        words, kind = WordIds(held.value), np.uint32 if wide else np.uint16
         for whole in batches:
             for batch in bounded_slices(whole, "text"):
+                if not words.plain:  # white space may belong to this tokenizer's tokens: encode whole texts
+                    got = words.tokenizer.encode_batch_fast([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)
+                    column = pa.array([np.array([*x.ids, END_ID], dtype=kind).tobytes() for x in got], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), column], [id_col, "ids"])
+                    continue
                 codes, bounds, tokens = split_tokens(batch.column("text"))
-                place = words.places(tokens.to_pylist())
-                if END_ID not in words:
-                    words.add(END_ID, [END_ID])
-                place = np.append(place, words[END_ID])
-                start, size = np.array(words.start, dtype=np.int64)[place], np.array(words.size, dtype=np.int64)[place]
+                place = words.places(tokens.to_pylist())  # the last is the end id's
+                start, size = words.start[place], words.size[place]
                 codes = np.insert(codes, bounds[1:], len(place) - 1)
                 bounds = bounds + np.arange(len(bounds))
                 each = size[codes]

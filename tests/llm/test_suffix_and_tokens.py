@@ -120,6 +120,13 @@ def test_round_trip(spark, digest):
         at += len(ids)
 
 
+def test_a_tokenizer_that_keeps_white_space(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "Two  words \n here"), (2, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in T.encode_and_read(docs, path, False).collect()}
+    assert got == {1: [*Tokenizer.from_file(path).encode("Two  words \n here", add_special_tokens=False).ids, 1], 2: [1]}
+
+
 def test_files_of_an_empty_table(spark):
     folder = new_folder(spark, "test-tokens")
     T.write_tokens(spark.createDataFrame([], "doc_id bigint, text string"), open(PATH, encoding="utf-8").read(), folder)
