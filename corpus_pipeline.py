@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved
+from ledgerloom.llm.common import checked_broadcast, saved
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_components
 from ledgerloom.llm.language_id import fit, predict
@@ -22,15 +22,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (runs of five words, similarity 0.8 or more) the smallest doc_id stays, one row of it."""
+    """Of each group of near duplicates (runs of five words, similarity 0.8 or more) the smallest doc_id stays, one row of it. Rows without an id can't be told apart and go."""
     groups = saved(jaccard_components(docs, size=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct(), "pipeline-kept")
     return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    told = decontaminate(docs.withColumn("kept_text", F.col("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return told.where("NOT contaminated").withColumnRenamed("kept_text", "text").select(*docs.columns)
+    """Documents that hold a window of a benchmark item go. Ids are unique here, so that only they are joined back."""
+    told = decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = saved(told.where("contaminated").select("doc_id"), "pipeline-contaminated")
+    return docs.join(checked_broadcast(hit), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
