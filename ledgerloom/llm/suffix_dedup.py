@@ -70,7 +70,7 @@ def words_at(text: np.ndarray, at: np.ndarray, count: int) -> list[np.ndarray]:
 
 def dense(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) by keys, the first most significant; equal keys have equal ranks."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), dtype=bool)
     for k in keys:
         new[1:] |= k[order[1:]] != k[order[:-1]]
@@ -88,20 +88,20 @@ def cover_ranks(text: np.ndarray, length: int) -> np.ndarray:
     depth = 32
     step = COVER_MOD  # a multiple of the modulus leads from sample to sample
     while depth < length:
-        rank[at] = dense([rank[at], rank[np.minimum(at + step, len(rank) - 1)]])[1]
+        rank[at] = dense([rank[at] << 32 | rank[np.minimum(at + step, len(rank) - 1)] + 1])[1]
         depth, step = step + depth, 2 * step
     return rank
 
 
-def sorted_suffixes(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, same): starts by bucket and suffix, and whether each has its first `length` bytes in common with the one before.
+def sorted_suffixes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): starts by their suffix, and whether each has its first `length` bytes in common with the one before.
 
     text ends in 64 zeros; every start has `length` bytes before them. Order is that of the suffixes to `length` bytes at least."""
     ranks = cover_ranks(text, length)
-    order, prefix = dense([bucket, *words_at(text, starts, 4)])
+    order, prefix = dense(words_at(text, starts, 4))
     residue = starts % COVER_MOD
     own = ranks[starts + DISTANCE[residue, residue]]  # comparable among equal residues
-    order, exact = dense([prefix, residue, own])
+    order, exact = dense([(prefix * COVER_MOD + residue) << 32 | own])
     # ties of 32 bytes between different residues: their classes are compared at the distance that suits both
     head = np.concatenate([[True], exact[order[1:]] != exact[order[:-1]]])
     heads = order[head]
@@ -156,9 +156,7 @@ def block_marks(block: list[tuple], length: int) -> Iterator[tuple[int, int, int
     count = sizes - length + 1
     context = np.repeat(np.arange(len(kept)), count)
     starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    names = np.array([c[0] for c in kept])
-    bucket = np.concatenate([[0], np.cumsum(names[1:] != names[:-1])])
-    order, same = sorted_suffixes(text, starts, bucket[context], length)
+    order, same = sorted_suffixes(text, starts, length)
     group = np.cumsum(~same)
     least = np.full(group[-1] + 1 if len(group) else 0, len(starts), dtype=np.int64)
     np.minimum.at(least, group, order)  # places are in the order of texts and starts
@@ -173,8 +171,11 @@ def block_marks(block: list[tuple], length: int) -> Iterator[tuple[int, int, int
         yield tid, int(starts[a] + base), int(starts[b] + base + length)
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(name, tid, first, count) of every text, a text once per task."""
+def anchor_rows(docs: DataFrame, length: int, often: int = 4) -> DataFrame:
+    """(deal, name, tid, first, count) of every text, a text once per task. Rows with one `deal` are to meet.
+
+    deal is the name, but for names that some texts at hand hold more than `often` times: such a name is repeated for sure, so that its further
+    rows (told by a negative count) are spread instead of meeting in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # bounded by the rows of a task
@@ -185,11 +186,17 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 if not new:
                     continue
                 batch = batch.take(pa.array(new))
-                tid = batch.column("tid").to_numpy()
                 owner, name, first, count = anchored(*string_bytes(batch.column("text")), length)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(tid[owner]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["name", "tid", "first", "count"])
+                tid = batch.column("tid").to_numpy()[owner]
+                order = np.argsort(name, kind="stable")
+                begin = np.concatenate([[True], name[order[1:]] != name[order[:-1]]]) if len(order) else np.zeros(0, dtype=bool)
+                place = np.arange(len(order)) - np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))
+                sure = np.zeros(len(order), dtype=bool)
+                sure[order] = place >= often
+                deal = np.where(sure, mixed((name ^ tid).view(np.uint64) + first.astype(np.uint64)).view(np.int64), name)
+                yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(name), pa.array(tid), pa.array(first.astype(np.int32)), pa.array(np.where(sure, -count, count).astype(np.int32))], ["deal", "name", "tid", "first", "count"])
 
-    return docs.mapInArrow(run, "name bigint, tid bigint, first int, count int")
+    return docs.mapInArrow(run, "deal bigint, name bigint, tid bigint, first int, count int")
 
 
 def context_rows(joined: DataFrame, length: int) -> DataFrame:
@@ -256,17 +263,19 @@ def deduplicate_spans(docs: DataFrame, length: int = 100, most_contexts: int = 2
     first = saved(table.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")).alias("f")).select("tid", "f.*"), "suffix-first")
 
     long = plain.where(F.octet_length("text") >= length)
-    anchors = anchor_rows(long.select("tid", "text"), length).repartition("name")
-    place = F.struct("tid", "first")
-    repeated = anchors.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("name", (F.col("n") > most_contexts).alias("hot"))
-    runs = saved(anchors.join(repeated, "name").select("tid", "name", "first", "count", "hot"), "suffix-runs")
+    dealt = anchor_rows(long.select("tid", "text"), length).repartition("deal")
+    row = F.xxhash64("name", "tid", "first", "count")  # of all columns, so that both sides of the join share one shuffle
+    repeated = dealt.groupBy("deal").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min("count").alias("c")).where("a <> b OR c < 0").select("deal")
+    runs = saved(dealt.join(repeated, "deal").select("tid", "name", "first", F.abs("count").alias("count")), "suffix-runs")
+    hot = saved(runs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_contexts).select("name", F.lit(True).alias("hot")), "suffix-hot-names")
+    runs = runs.join(checked_broadcast(hot), "name", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     per_text = runs.select("tid", F.struct("name", "first", "count", "hot").alias("r")).distinct().groupBy("tid").agg(F.collect_list("r").alias("runs"))  # a text's own runs
     per_text = saved(per_text.join(first.select("tid", "no_id", "id"), "tid"), "suffix-texts")
     texts = long.select("tid", "text").join(checked_broadcast(per_text.select("tid")), "tid", "left_semi")
     one = texts.join(per_text, "tid")
     cold = one.withColumn("runs", F.filter("runs", lambda r: ~r["hot"]))
     spans = marked(context_rows(cold, length), length, block_bytes)
-    if not runs.where("hot").isEmpty():
+    if not hot.isEmpty():
         spans = spans.unionAll(hot_marked(saved(context_rows(one.withColumn("runs", F.filter("runs", lambda r: r["hot"])), length).distinct(), "suffix-hot"), length))
     spans = saved(spans, "suffix-spans")
     cuts = saved(spans.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("cuts")), "suffix-cuts")  # a text's own spans

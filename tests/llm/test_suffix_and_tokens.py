@@ -74,7 +74,7 @@ def test_suffix_order():
         body = np.concatenate([np.tile(rng.integers(97, 99, rng.integers(1, 40)), 20) for _ in range(6)] + [rng.integers(97, 123, 300)]).astype(np.uint8)
         text = np.concatenate([body, np.zeros(64, dtype=np.uint8)])
         starts = np.arange(len(body) - 100 + 1)
-        order, same = S.sorted_suffixes(text, starts, np.zeros(len(starts), dtype=np.int64), 100)
+        order, same = S.sorted_suffixes(text, starts, 100)
         raw = body.tobytes()
         cut = [raw[s : s + 100] for s in starts[order]]
         assert cut == sorted(cut) and sorted(order) == list(range(len(starts)))
