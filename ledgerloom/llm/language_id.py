@@ -41,42 +41,42 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1500, max_words: int = 120_000
     pieces = F.explode(F.flatten(F.filter(F.array(*cut), lambda x: x.isNotNull())))
     grams = words.select("lang", "n", pieces.alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    def top(counts: DataFrame, limit: int) -> list:
-        wide = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return wide.where("total > 1").orderBy(F.desc("total"), "gram").limit(limit).collect()
+    def top(counts: DataFrame, limit: int):
+        each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+        return counts.groupBy("gram").agg(F.sum("n").alias("total"), *each).where("total > 1").orderBy(F.desc("total"), "gram").limit(limit).drop("total").toArrow()
 
     known, table = {}, []
     for kind, found in (("w", top(words, max_words)), ("g", top(grams, max_grams))):
-        if not found:
-            continue
-        counts = np.array([[r["by"].get(lang, 0) for lang in langs] for r in found], dtype=np.float64)
-        width = np.array([1 if kind == "w" else len(r["gram"]) for r in found])
+        names = found.column("gram").to_pylist()
+        counts = np.stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
+        width = np.array([1 if kind == "w" else len(x) for x in names])
         logs = np.zeros_like(counts)
         for k in np.unique(width):  # each length is a distribution of its own
             own = width == k
             logs[own] = np.log((counts[own] + smoothing) / (counts[own].sum(axis=0) + smoothing * own.sum()))
-        known |= {(kind + r["gram"]): len(table) + i for i, r in enumerate(found)}
-        table += list(logs)
+        known |= {kind + x: sum(map(len, table)) + i for i, x in enumerate(names)}
+        table.append(logs)
     words.unpersist()
-    return {"langs": langs, "known": known, "scores": np.array(table).reshape(len(table), len(langs))}
+    return {"langs": langs, "known": known, "scores": np.concatenate(table).astype(np.float32)}
 
 
 class WordScores(dict):
-    """Token → row of `rows`: the summed score of its words by language, then how many words it has."""
-
-    def __init__(self, model: dict, limit: int = 400_000):
-        self.model, self.limit, self.rows = model, limit, []
-
-    def __missing__(self, token: str) -> int:
-        total = np.zeros(len(self.model["langs"]) + 1)
-        for word in LETTERS.findall(token.lower()):
-            total[:-1] += self.word(word)
-            total[-1] += 1
-        self.rows.append(total)
-        self[token] = len(self.rows) - 1
-        return self[token]
-
-    def word(self, word: str) -> np.ndarray:
+    """Word (lower-case letters) → row of `rows`: its score by language, then 1. Row 0 is no word."""
+
+    def __init__(self, model: dict, limit: int = 300_000):
+        self.model, self.limit = model, limit
+        self.rows = np.zeros((1024, len(model["langs"]) + 1), dtype=np.float32)
+        self.used = 1
+
+    def __missing__(self, word: str) -> int:
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.used, :-1], self.rows[self.used, -1] = self.score(word), 1
+        self.used += 1
+        self[word] = self.used - 1
+        return self.used - 1
+
+    def score(self, word: str) -> np.ndarray:
         known, scores = self.model["known"], self.model["scores"]
         if (at := known.get("w" + word)) is not None:
             return scores[at]
@@ -85,14 +85,24 @@ class WordScores(dict):
             found = [at for i in range(len(marked) - k + 1) if (at := known.get("g" + marked[i : i + k])) is not None]
             if found:
                 return scores[found].mean(axis=0)
-        return np.zeros(len(self.model["langs"]))
+        return np.zeros(len(self.model["langs"]), dtype=np.float32)
 
     def table(self, tokens: list[str]) -> np.ndarray:
+        """For each token the sum of its words' rows. Most tokens are one word with marks around it; the others are summed one by one."""
         if len(self) > self.limit:  # bounds a worker's memory
             self.clear()
-            self.rows = []
-        at = [self[t] for t in tokens]
-        return np.array([self.rows[i] for i in at]).reshape(len(at), -1)
+            self.used = 1
+        at, more = np.zeros(len(tokens), dtype=np.int64), []
+        for i, token in enumerate(tokens):
+            words = LETTERS.findall(token.lower())
+            if len(words) == 1:
+                at[i] = self[words[0]]
+            elif words:
+                more.append((i, [self[w] for w in words]))
+        out = self.rows[at].astype(np.float64)
+        for i, rows in more:
+            out[i] = self.rows[rows].sum(axis=0, dtype=np.float64)
+        return out
 
 
 def predict(docs: DataFrame, model: dict, undecided: str = "und") -> DataFrame:
