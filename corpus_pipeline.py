@@ -13,6 +13,8 @@ from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.token_output import encode_and_read
 
 TOKENIZER = "word_bpe_49k.json"
+#: How far an expected share of tokens may be from its target weight.
+MIX_WITHIN = 0.005
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target weights."""
-    return mix(docs).where("kept").select(*docs.columns)
+    """Documents are sampled to the target weights, as many as these allow."""
+    return mix(docs, within=MIX_WITHIN).where("kept").select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 Tokens are counted per cell (source, language, topic). Each round scales the cells' weights so that first the sources,
 then the languages, then the topics have their target shares; the fitted weight over the counted tokens is a cell's ratio. A document
 is kept with the probability min(1, scale * ratio), with the scale calibrated so that the expected tokens meet the budget.
+
+A cell whose probability is cut at 1 can't rise to its weight, so a large budget misses the targets where texts are scarce. With a tolerance (`within`) the budget
+is lowered until every expected share is that near its target.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ REST = "prose"
 #: Shares of tokens; values that are not named share the rest in proportion to their tokens. Sources: no named value means that all get equal shares.
 TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15}, "topic": {"prose": 0.5, "symbols": 0.1}}
 ROUNDS, SCALE_ROUNDS, KEEP, SEED = 6, 8, 0.8, "mix"
+#: Scales that are tried at once, and how often the step between them is divided so.
+SCALES, SCALE_STEPS = 24, 2
 
 
 def measured(docs: DataFrame, topics=TOPICS, rest: str = REST) -> DataFrame:
@@ -43,9 +48,13 @@ def target_shares(cells: DataFrame, column: str, named: dict[str, float] | None)
     return raw.select(column, (F.col("goal") / F.lit(total)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets=TARGETS, rounds: int = ROUNDS) -> DataFrame:
+def goals_of(cells: DataFrame, targets=TARGETS) -> dict[str, DataFrame]:
+    return {c: saved(target_shares(cells, f"_{c}" if c != "topic" else c, targets.get(c)), f"mix-goal-{c}") for c in MARGINS}
+
+
+def rake(cells: DataFrame, targets=TARGETS, rounds: int = ROUNDS, goals: dict[str, DataFrame] | None = None) -> DataFrame:
     """cells (_source, _lang, topic, tokens > 0) with ratio = fitted share of tokens over counted tokens, times all tokens."""
-    goals = {c: saved(target_shares(cells, f"_{c}" if c != "topic" else c, targets.get(c)), f"mix-goal-{c}") for c in MARGINS}
+    goals = goals or goals_of(cells, targets)
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for k in range(rounds):
         for c in MARGINS:
@@ -56,8 +65,36 @@ def rake(cells: DataFrame, targets=TARGETS, rounds: int = ROUNDS) -> DataFrame:
     return now.withColumn("ratio", F.col("w") / F.col("tokens"))
 
 
-def probabilities(fitted: DataFrame, keep: float = KEEP, rounds: int = SCALE_ROUNDS) -> DataFrame:
-    """fitted with probability = min(1, scale * ratio), scaled until the expected tokens are `keep` of all (or all p are 1)."""
+def held_scale(fitted: DataFrame, goals: dict[str, DataFrame], most: float, within: float) -> float:
+    """The largest tried scale, `most` at most, whose expected shares are all within `within` of the goals; else the largest scale that cuts no cell."""
+    low = fitted.agg(F.max("ratio")).first()[0]  # one number
+    low = min(most, 1 / low) if low else most
+    margin = lambda c: F.struct(F.lit(c).alias("margin"), F.col(c if c == "topic" else f"_{c}").alias("value"))
+    goal = None
+    for c in MARGINS:
+        one = goals[c].select(margin(c).alias("m"), "goal")
+        goal = one if goal is None else goal.unionAll(one)
+    high = most
+    for _ in range(SCALE_STEPS):
+        if low >= high:
+            break
+        tried = [low * (high / low) ** (k / SCALES) for k in range(1, SCALES)] + [high]
+        each = fitted.select(F.explode(F.array(*[margin(c) for c in MARGINS])).alias("m"), "tokens", "ratio")
+        sums = each.groupBy("m").agg(*[F.sum(F.least(F.lit(1.0), F.lit(float(x)) * F.col("ratio")) * F.col("tokens")).alias(f"s{k}") for k, x in enumerate(tried)]).join(goal, "m")
+        total = [F.sum(F.when(F.col("m.margin") == MARGINS[0], F.col(f"s{k}"))).alias(f"s{k}") for k in range(len(tried))]
+        total = sums.agg(*total).first()  # one number per scale, as below
+        off = sums.agg(*[F.max(F.abs(F.col(f"s{k}") / F.lit(total[k]) - F.col("goal"))).alias(f"s{k}") for k in range(len(tried))]).first()
+        held = max((k for k in range(len(tried)) if off[k] <= within), default=-1)
+        if held == len(tried) - 1:
+            return tried[held]
+        low, high = tried[held] if held >= 0 else low, tried[held + 1]
+    return low
+
+
+def probabilities(fitted: DataFrame, keep: float = KEEP, rounds: int = SCALE_ROUNDS, goals: dict[str, DataFrame] | None = None, within: float | None = None) -> DataFrame:
+    """fitted with probability = min(1, scale * ratio), scaled until the expected tokens are `keep` of all (or all p are 1).
+
+    With `within`, `keep` is the most: the scale is lowered until the goals are held."""
     total = fitted.agg(F.sum("tokens").alias("n")).first()["n"] or 0
     scale = keep * total
     for _ in range(rounds):  # one number per round comes to the driver
@@ -65,6 +102,8 @@ def probabilities(fitted: DataFrame, keep: float = KEEP, rounds: int = SCALE_ROU
         if hope <= 0:
             break
         scale *= keep * total / hope
+    if within is not None and scale > 0:
+        scale = held_scale(fitted, goals, scale, within)
     return fitted.withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("ratio")))
 
 
@@ -73,9 +112,11 @@ def draw(id_col: str, seed: str = SEED):
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, targets=TARGETS, keep: float = KEEP) -> DataFrame:
+def mix(docs: DataFrame, targets=TARGETS, keep: float = KEEP, within: float | None = None) -> DataFrame:
     """Every row of docs with topic, n_tokens, probability and kept added (columns of these names are replaced).
 
+    Without `within` the budget `keep` is met and scarce cells stay below their weights; with it the expected shares of tokens are that near the targets and
+    the budget is as large as this allows. Targets that no weights of the cells meet (raking doesn't converge) give the largest budget that cuts no cell.
     Null sources and languages form a value of their own. Documents without tokens have no weight and are kept (probability 1). Rows
     with the same id share one draw. A target value without tokens gives its share to the others. An empty table works.
     """
@@ -83,7 +124,8 @@ def mix(docs: DataFrame, targets=TARGETS, keep: float = KEEP) -> DataFrame:
     rows = measured(docs)
     keys = ["_source", "_lang", "topic"]
     cells = saved(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "mix-cells")
-    table = saved(probabilities(rake(cells, targets), keep).select(*keys, "probability"), "mix-probabilities")
+    goals = goals_of(cells, targets)
+    table = saved(probabilities(rake(cells, targets, goals=goals), keep, goals=goals, within=within).select(*keys, "probability"), "mix-probabilities")
     out = rows.join(checked_broadcast(table), keys, "left")
     chance = F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(F.lit(1.0))
     return out.withColumn("probability", F.coalesce(chance, F.lit(1.0))).withColumn("kept", draw("doc_id") < F.col("probability")).select(*docs.columns, "topic", "n_tokens", "probability", "kept")

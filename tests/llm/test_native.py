@@ -157,3 +157,23 @@ def test_raking_meets_the_marginals(spark):
     names = got[0].__fields__
     for column, value, goal in (("_source", "a", 1 / 3), ("_lang", "en", 0.7), ("topic", "p", 0.2)):
         assert abs(share(names.index(column), value) - goal) < 1e-3
+
+
+@pytest.mark.parametrize("stage", [False, True])
+def test_kept_rows_have_the_target_shares(spark, stage):
+    """2 % of the rows hold the topic that is to have 10 % of the tokens; a budget of 80 % can't reach that. One lone cell must not shrink the budget."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "b"]), rng.choice(["en"] * 6 + ["de", "fr", "es"]), ("%%% " if i % 50 == 0 else "x@y " if i % 25 == 1 else "plain ") + "w " * 9) for i in range(20_000)] + [(20_001, "a", "es", "licence")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    targets = M.TARGETS if stage else {"lang": {"en": 0.6, "de": 0.2}, "topic": {"symbols": 0.1, "contact": 0.1}}
+    out = corpus_pipeline.mixing(spark, docs, "").select("doc_id").collect() if stage else M.mix(docs, targets, within=0.005).where("kept").select("doc_id").collect()
+    ids = {r.doc_id for r in out}
+    kept = [r for r in rows if r[0] in ids]
+    tokens = lambda r: len(r[3].split())
+    share = lambda f: sum(tokens(r) for r in kept if f(r)) / sum(map(tokens, kept))
+    assert (0.05 if stage else 0.1) < len(kept) / len(rows) < 0.35
+    assert abs(share(lambda r: r[2] == "en") - targets["lang"]["en"]) < 0.03
+    assert abs(share(lambda r: "%%%" in r[3]) - 0.1) < 0.02
+    assert abs(share(lambda r: r[1] == "a") - 0.5) < 0.03
