@@ -489,7 +489,7 @@ def stream_block_router(spark, sf_dir):
 def stream_all_blocks(spark, sf_dir):
     folder, texts = landed.new_folder(spark, "stream-all"), block_texts(spark, sf_dir)
     source = land_in_order([texts, texts.where("num % 3 = 0")], f"{folder}/in")
-    return streams.first_blocks(spark, source, folder, load_time(), "20000 days").withColumn("epoch", F.unix_timestamp("epoch"))
+    return streams.first_blocks(spark, source, folder, load_time()).withColumn("epoch", F.unix_timestamp("epoch"))
 
 
 @query(f"""{sql_views('fx_block')}, b AS (SELECT epoch // 3600 * 3600 AS interval_start, {LABEL_SQL} AS block_type, cast(round(coalesce(amount, 0) * 100) AS bigint) AS cents FROM fx_block WHERE epoch > 0)

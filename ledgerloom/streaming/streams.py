@@ -47,15 +47,21 @@ def route_blocks(spark: SparkSession, source: str, folder: str) -> DataFrame:
     return version(spark, folder, max(seen, default=-1), schema).drop("arrival") if seen else spark.createDataFrame([], schema).drop("arrival")
 
 
-def first_blocks(spark: SparkSession, source: str, folder: str, ingest: Column, delay: str = "3650 days") -> DataFrame:
-    """One AllBlocks row per hash under repeated notification: watermarked deduplication inside the stream, with state bounded by `delay`.
-
-    A stream starts with its watermark at 1970 and drops what isn't later, so epochs of 0 and below count as its first second."""
-    decoded = B.keyed(B.decode(texts(spark, source)))[0]
-    rows = B.all_blocks(decoded, ingest).withColumn("seen", F.greatest("epoch", F.timestamp_seconds(F.lit(1))))
-    rows = rows.withWatermark("seen", delay).dropDuplicatesWithinWatermark(["block_hash"]).drop("seen")
-    rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+def first_blocks(spark: SparkSession, source: str, folder: str, ingest: Column) -> DataFrame:
+    """One AllBlocks row per hash under repeated notification, the first to arrive, whatever its epoch.
+
+    Each batch adds the first row of every hash that no earlier batch has, as one folder; the rows themselves are the state, of which only the hashes are read.
+    Within one batch, where lines have no order of their own, the text breaks ties."""
+    schema = "block_hash string, block_type string, epoch timestamp, txn_id string, batch int"
+
+    def write(batch: DataFrame, number: int) -> None:
+        first = B.first_wins(B.keyed(B.decode(batch))[0], "block_hash", "value")
+        before = spark.read.schema(schema).parquet(f"{folder}/rows").where(F.col("batch") < number).select("block_hash")
+        B.all_blocks(first, ingest).join(before, "block_hash", "left_anti").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+    run_now(texts(spark, source), write, f"{folder}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{folder}/rows").drop("batch")
 
 
 def token_totals(spark: SparkSession, source: str, folder: str) -> DataFrame:
