@@ -482,7 +482,7 @@ def stream_block_router(spark, sf_dir):
     """Every third block is notified again later under another transaction id: AllBlocks keeps the first, the routed tables the last."""
     folder, texts = landed.new_folder(spark, "stream-blocks"), block_texts(spark, sf_dir)
     again = texts.where("num % 3 = 0").withColumn("value", F.regexp_replace("value", '"tx([0-9]+)"', '"late$1"'))
-    return streams.route_blocks(spark, land_in_order([texts, again], f"{folder}/in"), folder)
+    return streams.route_blocks(spark, land_in_order([texts, again], f"{folder}/in"), folder, load_time())
 
 
 @query(f"{sql_views('fx_block')} SELECT block_hash, {LABEL_SQL} AS block_type, coalesce(epoch, 1700000000) AS epoch, txn_id FROM fx_block")

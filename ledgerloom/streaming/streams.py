@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import changes as C
+from ..sources import schemas
 
 
 def texts(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -23,23 +24,51 @@ def version(spark: SparkSession, folder: str, number: int, schema: str) -> DataF
     return spark.read.schema(schema).parquet(f"{folder}/v{number}") if number >= 0 else None
 
 
-def route_blocks(spark: SparkSession, source: str, folder: str) -> DataFrame:
-    """Live blocks: (sink, block_hash, txn_id, label). AllBlocks keeps the first notification of a hash, the routed tables the last.
+#: Tables that live blocks are merged into: key, routes, projection. The last notification of a key replaces its row.
+ROUTED = {"TransferBlocks": ("block_hash", ("transfer",), B.transfers), "BurntBlocks": ("block_hash", ("burnt",), B.burns), "SC_Blocks": ("block_id", ("deploy", "execute"), B.contract_blocks)}
 
-    A row arrives with its batch; within one batch, where lines have no order of their own, the text breaks ties."""
+
+def upserted(old: DataFrame | None, new: DataFrame, key: str, last: bool) -> DataFrame:
+    """Whole rows of both, each with one row per key; of a key in both the new row stays if `last`, else the old one."""
+    if old is None:
+        return new
+    return new.unionByName(old.join(new.select(key), key, "left_anti")) if last else old.unionByName(new.join(old.select(key), key, "left_anti"))
+
+
+def block_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """AllBlocks, TransferBlocks, BurntBlocks or SC_Blocks as route_blocks left it. Tables never shrink, so the newest version with rows is the newest one."""
+    rows = spark.read.schema(f"{schemas.TABLES[name]}, v int").parquet(f"{folder}/{name}")
+    newest = rows.agg(F.max("v")).first()[0]
+    return rows.where(F.col("v") == newest).drop("v")
+
+
+def route_blocks(spark: SparkSession, source: str, folder: str, ingest: Column | None = None) -> DataFrame:
+    """Live blocks, merged as whole rows into AllBlocks (the first notification of a hash stays) and the routed tables (the last one stays); block_table reads them.
+
+    Returns their index: (sink, block_hash, txn_id, label). A row arrives with its batch; within one batch, where lines have no order of their own, the text breaks ties."""
     schema = "sink string, block_hash string, txn_id string, label string, arrival string"
+    ingest = F.current_timestamp() if ingest is None else ingest
+
+    def merge(name: str, new: DataFrame, number: int, key: str, last: bool) -> None:
+        new = new.persist()
+        old = spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}/v={number - 1}") if number else None
+        upserted(old, new, key, last).write.mode("overwrite").parquet(f"{folder}/{name}/v={number}")
+        new.unpersist()
 
     def write(batch: DataFrame, number: int) -> None:
         decoded = B.keyed(B.decode(batch))[0].withColumn("arrival", F.format_string("%012d %s", F.lit(number), F.col("value"))).persist()
         label = B.S.block_type(F.col("type_code"))
         every = decoded.select(F.lit("all").alias("sink"), "block_hash", "txn_id", label.alias("label"), "arrival")
-        routed = B.route(decoded).where("route IS NOT NULL").select(F.col("route").alias("sink"), "block_hash", "txn_id", label.alias("label"), "arrival")
-        new = every.unionByName(routed)
+        routed = B.route(decoded).where("route IS NOT NULL")
+        new = every.unionByName(routed.select(F.col("route").alias("sink"), "block_hash", "txn_id", label.alias("label"), "arrival"))
         if (old := version(spark, folder, number - 1, schema)) is not None:
             new = new.unionByName(old)
         others = F.struct("txn_id", "label", "arrival")
         pick = F.when(F.col("sink") == "all", F.min_by(others, "arrival")).otherwise(F.max_by(others, "arrival"))
         new.groupBy("sink", "block_hash").agg(pick.alias("x")).select("sink", "block_hash", "x.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
+        merge("AllBlocks", B.all_blocks(B.first_wins(decoded, "block_hash"), ingest), number, "block_hash", False)
+        for name, (key, routes, rows) in ROUTED.items():
+            merge(name, rows(B.last_wins(routed.where(F.col("route").isin(*routes)), "block_hash")), number, key, True)
         decoded.unpersist()
 
     seen = []
