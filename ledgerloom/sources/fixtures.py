@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKEN_OF_LINE = "case l_linenumber % 4 when 0 then concat('QmF', l_partkey) when 1 then concat('QmR', l_partkey) when 2 then concat('QmN', l_suppkey) else concat('QmS', l_suppkey % 25) end"
@@ -69,19 +69,30 @@ def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("num", "block_hash", F.when(F.col("num") % 10 == 0, made(True)).otherwise(made(False)).alias("value"))
 
 
-def chain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token_id, value): the chain of every token, oldest block first, under TokenChainData or (even length of the id) blocks."""
-    blocks = view(spark, sf_dir, "fx_block_token").select("block_hash", "token_id").join(block_texts(spark, sf_dir), "block_hash")
-    chains = blocks.groupBy("token_id").agg(F.array_sort(F.collect_list(F.struct("num", "value"))).alias("all"))
+#: Items of a list, and blocks of a part of a chain, at most.
+PART = 1000
+
+
+def chain_texts(spark: SparkSession, sf_dir: str, most: int = PART) -> DataFrame:
+    """(token_id, first, value): the chain of every token in parts of at most `most` blocks, oldest block first, under TokenChainData or (even length of the id) blocks.
+
+    A part takes the blocks of one range of numbers, in which a token has each block once at most; first is the place of its first block in the chain."""
+    part = F.floor(F.col("num") / most).alias("part")
+    links = view(spark, sf_dir, "fx_block_token").select("block_hash", "token_id")
+    sizes = links.join(view(spark, sf_dir, "fx_block").select("block_hash", part), "block_hash").groupBy("token_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("token_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("token_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("first"))
+    blocks = links.join(block_texts(spark, sf_dir), "block_hash")
+    chains = blocks.groupBy("token_id", part).agg(F.array_sort(F.collect_list(F.struct("num", "value"))).alias("all")).join(firsts, ["token_id", "part"])  # at most `most` each
     body = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["value"]), ","), F.lit("]"))
     name = F.when(F.length("token_id") % 2 == 0, "blocks").otherwise("TokenChainData")
-    return chains.select("token_id", F.concat(F.lit('{"status":true,"'), name, F.lit('":'), body, F.lit("}")).alias("value"))
+    return chains.select("token_id", "first", F.concat(F.lit('{"status":true,"'), name, F.lit('":'), body, F.lit("}")).alias("value"))
 
 
 def list_texts(rows: DataFrame, item: dict, lower: bool = False) -> DataFrame:
-    """value: asset lists of about 1,000 items as JSON text, and one list that reports failure."""
+    """value: asset lists of 1,000 items at most as JSON text, one for each range of numbers, and one list that reports failure."""
     status, result = ("status", "result") if lower else ("Status", "Result")
-    one = rows.select((F.col("num") % 16).alias("g"), F.struct(*[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in item.items()]).alias("x"))
+    one = rows.select(F.floor(F.col("num") / PART).alias("g"), F.struct(*[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in item.items()]).alias("x"))
     lists = one.groupBy("g").agg(F.collect_list("x").alias("x")).select(F.to_json(F.struct(F.lit(True).alias(status), F.col("x").alias(result))).alias("value"))
     failed = one.limit(1).select(F.to_json(F.struct(F.lit(False).alias(status), F.array("x").alias(result))).alias("value"))
     return lists.unionAll(failed)

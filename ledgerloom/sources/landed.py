@@ -34,12 +34,15 @@ def read_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def explode_chains(chains: DataFrame) -> DataFrame:
-    """(token_id, pos, block) from chain texts (token_id, value): blocks stand under TokenChainData, else under blocks.
+    """(token_id, pos, block) from chain texts (token_id, value): blocks stand under TokenChainData, else under blocks. A long chain comes in parts, with
+    the place of each part's first block in a column `first`.
 
     Chains whose status is false, and those without blocks, are skipped, and so are items that are no objects; pos keeps the place in the chain.
     """
-    told = chains.select("token_id", F.from_json("value", "status boolean, TokenChainData array<string>, blocks array<string>").alias("c")).where(F.coalesce(F.col("c.status"), F.lit(True)))
-    blocks = told.select("token_id", F.posexplode(F.coalesce("c.TokenChainData", "c.blocks")).alias("pos", "block"))
+    first = F.col("first") if "first" in chains.columns else F.lit(0)
+    told = chains.select("token_id", first.alias("first"), F.from_json("value", "status boolean, TokenChainData array<string>, blocks array<string>").alias("c")).where(F.coalesce(F.col("c.status"), F.lit(True)))
+    parts = told.select("token_id", "first", F.posexplode(F.coalesce("c.TokenChainData", "c.blocks")).alias("at", "block"))
+    blocks = parts.select("token_id", (F.col("first") + F.col("at")).alias("pos"), "block")
     return blocks.where(F.ltrim("block").startswith("{"))
 
 
