@@ -12,14 +12,23 @@ from . import schemas
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one."""
+    """A new folder below spark.checkpoint.dir; where that is unset and there is one machine only (tests), below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_ledger_folder", None) or tempfile.mkdtemp(prefix="spark-ledger-")
         spark._ledger_folder = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written once and read back, for queries that use them several times."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def list_items(text: DataFrame, kind: str) -> DataFrame:
     """Items of asset lists of one kind (RBT, FT, NFT, SC) from a column `value` of JSON text; lists whose status is not true are rejected."""
     item = f"array<struct<{schemas.ITEMS[kind]}>>"

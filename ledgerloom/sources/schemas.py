@@ -16,6 +16,9 @@ TABLES = {
     "BurntBlocks": "block_hash string, child_tokens string, txn_type string, owner_did string, epoch bigint, tokens string",
 }
 
+#: Their columns in order.
+COLUMNS = {name: [column.split()[0] for column in text.split(", ")] for name, text in TABLES.items()}
+
 ITEMS = {
     "RBT": "TokenID string, TokenValue double, OwnerDID string, PublisherDID string, TransactionID string, BlockHash string, BlockHeight bigint, SyncStaus int, TokenStatus int",
     "FT": "TokenID string, FTName string, OwnerDID string, CreatorDID string, PublisherDID string, TokenValue double, TransactionID string, BlockHash string, BlockHeight bigint, SyncStatus int, TokenStatus int",
