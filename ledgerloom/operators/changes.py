@@ -15,6 +15,8 @@ from ..sources import schemas
 
 CHANGE_COLUMNS = ["seq", "kind", "op", "token_id", "owner_did", "token_value", "token_status"]
 BEFORE = (Window.unboundedPreceding, -1)
+#: Sequence numbers whose changes one task may hold for an owner.
+SPAN = 100_000
 
 
 def parsed(text: DataFrame) -> DataFrame:
@@ -66,23 +68,30 @@ def effects(changes: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     return own.select("seq", F.when(upsert, F.col("owner_did")).otherwise(F.col("stored_owner")).alias("did"), "kind", upsert.alias("creates"), (~F.col("existed")).alias("new"), F.when(upsert, size(F.col("token_value"))).otherwise(-size(F.col("stored_value"))).alias("amount"))
 
 
-def did_totals(changes: DataFrame, tokens: DataFrame | None = None, dids: DataFrame | None = None) -> DataFrame:
+def did_totals(changes: DataFrame, tokens: DataFrame | None = None, dids: DataFrame | None = None, span: int = SPAN) -> DataFrame:
     """(did, RBT, FT, NFT, SC): totals of every owner after all changes, RBT in thousandths.
 
     `tokens` and `dids` are the states before. An owner is created by its first counting upsert, even of a known token. A total is floored at 0
-    after each deletion, which equals the last prefix sum less the lowest one below 0."""
+    after each deletion, which equals the last prefix sum less the lowest one below 0. Prefix sums are taken within spans of `span` sequence numbers, each
+    of which leaves its sum and its lowest prefix, and the spans are then added up in order: an owner of very many changes is no single task."""
     rows = effects(changes, tokens).withColumn("seed", F.lit(False))
     if dids is not None:
         old = dids.select("did", F.expr("stack(4, 'RBT', RBT, 'FT', FT, 'NFT', NFT, 'SC', SC) AS (kind, amount)"))
         rows = rows.unionByName(old.select(F.lit(-1).cast("bigint").alias("seq"), "did", "kind", F.lit(True).alias("creates"), F.lit(True).alias("new"), "amount", F.lit(True).alias("seed")))
-    known = F.coalesce(F.max(F.when(F.col("creates"), True)).over(Window.partitionBy("did").orderBy("seq", "kind").rowsBetween(*BEFORE)), F.lit(False))
+    order = F.struct("seq", "kind")
+    made = rows.where("creates").groupBy("did").agg(F.min(order).alias("made"))
+    rows = rows.join(made, "did")  # owners that nothing creates have no row
+    known = order > F.col("made")
     part = F.when(F.col("seed"), F.col("amount")).when(F.col("creates"), F.when(~known | F.col("new"), F.col("amount")).otherwise(0)).otherwise(F.when(known, F.col("amount")).otherwise(0))
-    rows = rows.withColumn("part", part)
-    prefix = F.sum("part").over(Window.partitionBy("did", "kind").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("prefix", prefix)
-    per = rows.groupBy("did", "kind").agg((F.max_by("prefix", "seq") - F.least(F.lit(0).cast("bigint"), F.min("prefix"))).alias("total"), F.max("creates").alias("made"))
+    rows = rows.select("did", "kind", F.floor(F.col("seq") / span).alias("span"), "seq", part.alias("part"))
+    running = Window.partitionBy("did", "kind", "span").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    spans = rows.withColumn("low", F.sum("part").over(running)).groupBy("did", "kind", "span").agg(F.sum("part").alias("sum"), F.min("low").alias("low"))
+    zero = F.lit(0).cast("bigint")
+    step = lambda x, c: F.struct((x["sum"] + c["sum"]).alias("sum"), F.least(x["low"], x["sum"] + c["low"]).alias("low"))
+    parts = F.array_sort(F.collect_list(F.struct("span", "sum", "low")))  # a row for each span
+    per = spans.groupBy("did", "kind").agg(F.aggregate(parts, F.struct(zero.alias("sum"), zero.alias("low")), step, lambda x: x["sum"] - x["low"]).alias("total"))
     total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("total"))), F.lit(0)).cast("bigint").alias(k)
-    return per.groupBy("did").agg(*[total(k) for k in ("RBT", "FT", "NFT", "SC")], F.max("made").alias("made")).where("made").drop("made")
+    return per.groupBy("did").agg(*[total(k) for k in ("RBT", "FT", "NFT", "SC")])
 
 
 def as_did_rows(totals: DataFrame) -> DataFrame:
@@ -90,5 +99,14 @@ def as_did_rows(totals: DataFrame) -> DataFrame:
     return totals.select("did", (F.col("RBT") / 1000).alias("total_rbts"), F.col("FT").cast("double").alias("total_fts"), F.col("NFT").alias("total_nfts"), F.col("SC").alias("total_sc"))
 
 
-def registry_rows(tokens: DataFrame, ingest: Column) -> DataFrame:
-    return tokens.select("token_id", F.col("kind").alias("token_type"), ingest.alias("last_updated"))
+def registry_after(changes: DataFrame, ingest: Column, registry: DataFrame | None = None) -> DataFrame:
+    """TokenType after all changes: a row comes with a token's first upsert and goes with its deletion; a later upsert makes a new one. Known rows keep their time.
+
+    Of kinds that share an id the first counts. Grouped aggregates only."""
+    rows = changes.select("seq", "kind", "op", "token_id", ingest.alias("last_updated"))
+    if registry is not None:
+        rows = rows.unionByName(registry.select(F.lit(-1).cast("bigint").alias("seq"), F.col("token_type").alias("kind"), F.lit("UPSERT").alias("op"), "token_id", "last_updated"))
+    gone = rows.where("op = 'DELETE'").groupBy("kind", "token_id").agg(F.max("seq").alias("gone"))
+    alive = rows.where("op <> 'DELETE'").join(gone, ["kind", "token_id"], "left").where("gone IS NULL OR seq > gone")
+    first = alive.groupBy("token_id").agg(F.min_by(F.struct("kind", "last_updated"), "seq").alias("x"))
+    return first.select("token_id", F.col("x.kind").alias("token_type"), F.col("x.last_updated").alias("last_updated"))

@@ -60,7 +60,7 @@ def test_windows_equal_a_replay(spark, seed):
     changes = spark.createDataFrame(second, COLUMNS)
     state = C.token_state(changes, old[0]).collect()
     assert {(r.kind, r.token_id): (r.owner_did, r.token_value, r.token_status) for r in state} == tokens
-    got = C.did_totals(changes, *old).collect()
+    got = C.did_totals(changes, *old, span=7).collect()
     assert {r.did: (r.RBT, r.FT, r.NFT, r.SC) for r in got} == {k: tuple(v.values()) for k, v in dids.items()}
 
 
