@@ -19,10 +19,10 @@ NUMBER = re.compile(r"-?[0-9]+\Z")
 def decode(blocks: DataFrame, text: str = "value") -> DataFrame:
     """blocks with the known fields of their JSON text, whether keys are numeric or named; every scalar is text.
 
-    Unreadable texts give null fields. tokens maps a token id to (number, previous), or is null.
+    Unreadable texts give null fields. tokens maps a token id to (number, previous), or is null. A text is parsed once, however many fields are used:
+    the explode of one element keeps the optimizer from repeating the parser in each of them and in filters.
     """
-    b = F.from_json(F.col(text), schemas.BLOCK)
-    rows = blocks.withColumn("_b", b)
+    rows = blocks.withColumn("_b", F.explode(F.array(F.from_json(F.col(text), schemas.BLOCK))))
     either = lambda base, number, name: F.coalesce(F.col(f"{base}.`{number}`"), F.col(f"{base}.{name}"))
     rows = rows.withColumn("_i", F.coalesce(F.col("_b.`5`"), F.col("_b.TCTransInfoKey")))
     links = F.coalesce(F.col("_i.`6`"), F.col("_i.TITokensKey"))

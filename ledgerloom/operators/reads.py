@@ -58,14 +58,28 @@ def backfill(transfers: DataFrame, amounts: DataFrame) -> DataFrame:
     return transfers.join(wanted, "txn_id", "left").withColumn("amount", F.coalesce("txn_value", "amount")).select(transfers.columns)
 
 
+def with_total(shown: DataFrame, rows: DataFrame) -> DataFrame:
+    """A page with the count of all rows beside each of its rows."""
+    return shown.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("count"))))  # one row
+
+
+def filled(transfers: DataFrame, amounts: DataFrame) -> DataFrame:
+    """A few transfers (a page, looked-up rows) with missing amounts filled from known values other than 0; amounts are read once, against the few ids."""
+    ids = transfers.where(missing_amount(transfers) & F.col("txn_id").isNotNull() & (F.col("txn_id") != "")).select("txn_id").distinct()
+    known = amounts.where("txn_value <> 0").join(F.broadcast(ids), "txn_id", "left_semi").groupBy("txn_id").agg(F.min("txn_value").alias("txn_value"))
+    amount = F.when(missing_amount(transfers), F.coalesce("txn_value", "amount")).otherwise(F.col("amount"))
+    return transfers.join(known, "txn_id", "left").withColumn("amount", amount).select(transfers.columns)
+
+
 def burnt_page(burnt: DataFrame, page: int, limit: int) -> DataFrame:
-    return page_of(burnt, [F.desc_nulls_first("epoch"), "block_hash"], page, limit)
+    """Burns, latest first, with the count of all."""
+    return with_total(page_of(burnt, [F.desc_nulls_first("epoch"), "block_hash"], page, limit), burnt)
 
 
 def top_holders(dids: DataFrame, page: int, limit: int) -> DataFrame:
     """Holders by base-token total, with the count of all owners, unfiltered."""
     shown = page_of(dids.where("did IS NOT NULL AND did <> '0'"), [F.desc_nulls_first("total_rbts"), "did"], page, limit)
-    return shown.crossJoin(F.broadcast(dids.agg(F.count(F.lit(1)).alias("count"))))
+    return with_total(shown, dids)
 
 
 def holdings(rbt: DataFrame, dids: DataFrame, page: int, limit: int) -> DataFrame:
@@ -90,6 +104,11 @@ def first_transfer(transfers: DataFrame, txn_ids: DataFrame) -> DataFrame:
     return rows.groupBy("txn_id").agg(F.min("block_hash").alias("block_hash"), F.min_by(F.struct(*others), "block_hash").alias("_x")).select("txn_id", "block_hash", "_x.*")
 
 
+def by_key(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The whole rows whose key is among `ids` (one column, id); unknown ids are left out."""
+    return rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+
+
 def lookup(tables: dict[str, tuple[DataFrame, str]], ids: DataFrame) -> DataFrame:
     """(id, kind, data) of the rows that the ids (kind, id) name; kind names the table. data is JSON text."""
     out = None

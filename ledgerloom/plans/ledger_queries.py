@@ -14,7 +14,7 @@ from ..operators import blocks as B
 from ..operators import changes as C
 from ..operators import owners as O
 from ..operators import reads as R
-from ..sources import landed
+from ..sources import landed, tables
 from ..sources.fixtures import block_texts, chain_texts, list_texts, sql_views, view
 from ..streaming import streams
 
@@ -169,9 +169,10 @@ def ledger_counts(spark, sf_dir):
     return R.counts(transfers=transfer_table(spark, sf_dir), rbts=asset(spark, sf_dir, "RBT"), fts=asset(spark, sf_dir, "FT"), nfts=asset(spark, sf_dir, "NFT"), scs=asset(spark, sf_dir, "SC"), dids=dids(spark, sf_dir))
 
 
-@query(f"{sql_views('fx_rbt')} SELECT rbt_id, owner_did, cast(token_value AS double) AS token_value FROM fx_rbt ORDER BY rbt_id LIMIT 50 OFFSET 100")
+@query(f"{sql_views('fx_rbt')} SELECT rbt_id, owner_did, cast(token_value AS double) AS token_value, (SELECT count(*) FROM fx_rbt) AS count FROM fx_rbt ORDER BY rbt_id LIMIT 50 OFFSET 100")
 def rbt_page(spark, sf_dir):
-    return R.page_of(asset(spark, sf_dir, "RBT").select("rbt_id", "owner_did", "token_value"), ["rbt_id"], 3, 50)
+    rows = asset(spark, sf_dir, "RBT").select("rbt_id", "owner_did", "token_value")
+    return R.with_total(R.page_of(rows, ["rbt_id"], 3, 50), rows)
 
 
 OWNER_IDS = "SELECT DISTINCT concat('bafy', c_custkey % 200) AS did FROM customer"
@@ -214,8 +215,13 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.decode(block_texts(spark, sf_dir))
 
 
+def stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A ledger table, written and read back: reads below parse no block again."""
+    return tables.stored(rows, name, landed.new_folder(spark, "tables"))
+
+
 def transfer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.transfers(B.route(decoded(spark, sf_dir)).where("route = 'transfer'"))
+    return stored(spark, B.transfers(B.route(decoded(spark, sf_dir)).where("route = 'transfer'")), "TransferBlocks")
 
 
 @query(f"{BLOCK_VIEWS}, {LINKS_SQL} SELECT block_hash, trans_code AS type_code, sender_did AS owner_did, sender_did, receiver_did, comment, txn_id, amount, epoch, coalesce(len(list_distinct(string_split(tokens, '\"Q'))) - 1, 0)::int AS n_tokens FROM fx_block LEFT JOIN links USING (block_hash)")
@@ -236,7 +242,7 @@ def decode_block_json(spark, sf_dir):
 @query(f"{BLOCK_VIEWS} SELECT block_hash, {LABEL_SQL} AS block_type, coalesce(epoch, 1700000000) AS epoch, txn_id FROM fx_block")
 def all_blocks(spark, sf_dir):
     """Every block is notified twice; the second time, under another transaction id, is too late."""
-    d = decoded(spark, sf_dir).withColumn("arrival", F.lit(0))
+    d = B.keyed(decoded(spark, sf_dir))[0].withColumn("arrival", F.lit(0))
     again = d.withColumns({"arrival": F.lit(1), "txn_id": F.concat("txn_id", F.lit("-late"))})
     rows = d.unionByName(again)
     first = B.first_wins(B.all_blocks(rows, load_time()).withColumn("arrival", F.when(F.col("txn_id").endswith("-late"), 1).otherwise(0)), "block_hash")
@@ -250,7 +256,7 @@ def transfer_blocks(spark, sf_dir):
 
 @query(f"{BLOCK_VIEWS}, {LINKS_SQL} SELECT block_hash, '[\"' || block_hash || '-c\"]' AS child_tokens, CASE trans_code WHEN '13' THEN 'Burnt for FT' ELSE 'Burnt' END AS txn_type, sender_did AS owner_did, {BURN_EPOCH_SQL} AS epoch, coalesce(tokens, 'null') AS tokens FROM fx_block LEFT JOIN links USING (block_hash) WHERE trans_code IN ('08', '13')")
 def burnt_blocks(spark, sf_dir):
-    return B.burns(B.route(decoded(spark, sf_dir)).where("route = 'burnt'"))
+    return stored(spark, B.burns(B.route(decoded(spark, sf_dir)).where("route = 'burnt'")), "BurntBlocks")
 
 
 SC_SQL = f"sc AS (SELECT block_hash AS block_id, first_token AS contract_id, coalesce(first_number, 0) AS block_height, epoch, CASE trans_code WHEN '10' THEN receiver_did END AS executor_did, CASE trans_code WHEN '10' THEN '' ELSE sender_did END AS owner_did FROM fx_block LEFT JOIN links USING (block_hash) WHERE trans_code IN ('09', '10'))"
@@ -258,12 +264,13 @@ SC_SQL = f"sc AS (SELECT block_hash AS block_id, first_token AS contract_id, coa
 
 @query(f"{BLOCK_VIEWS}, {LINKS_SQL}, {SC_SQL} SELECT * FROM sc")
 def sc_blocks(spark, sf_dir):
-    return B.contract_blocks(B.route(decoded(spark, sf_dir))).withColumn("epoch", F.unix_timestamp("epoch"))
+    return stored(spark, B.contract_blocks(B.route(decoded(spark, sf_dir))), "SC_Blocks").withColumn("epoch", F.unix_timestamp("epoch"))
 
 
-@query(f"{BLOCK_VIEWS}, {LINKS_SQL}, {SC_SQL} SELECT * FROM sc ORDER BY block_id LIMIT 25 OFFSET 25")
+@query(f"{BLOCK_VIEWS}, {LINKS_SQL}, {SC_SQL} SELECT *, (SELECT count(*) FROM sc) AS count FROM sc ORDER BY block_id LIMIT 25 OFFSET 25")
 def sc_block_page(spark, sf_dir):
-    return R.page_of(sc_blocks(spark, sf_dir), ["block_id"], 2, 25)
+    rows = sc_blocks(spark, sf_dir)
+    return R.with_total(R.page_of(rows, ["block_id"], 2, 25), rows)
 
 
 @query(f"{BLOCK_VIEWS} SELECT block_hash, {BURN_EPOCH_SQL} AS epoch FROM fx_block WHERE num % 3 > 0 UNION ALL SELECT block_hash, NULL FROM fx_block WHERE num % 3 = 0")
@@ -355,25 +362,98 @@ def amount_backfill(spark, sf_dir):
     return R.backfill(transfer_table(spark, sf_dir), amounts(spark, sf_dir)).select("block_hash", "txn_id", "amount")
 
 
-@query(f"{sql_views('fx_block')} SELECT block_hash, sender_did AS owner_did, CASE trans_code WHEN '13' THEN 'Burnt for FT' ELSE 'Burnt' END AS txn_type, CASE WHEN num % 3 > 0 THEN {BURN_EPOCH_SQL} END AS epoch FROM fx_block WHERE trans_code IN ('08', '13') ORDER BY epoch DESC NULLS FIRST, block_hash LIMIT 500 OFFSET 1500")
+@query(f"{sql_views('fx_block')} SELECT block_hash, sender_did AS owner_did, CASE trans_code WHEN '13' THEN 'Burnt for FT' ELSE 'Burnt' END AS txn_type, CASE WHEN num % 3 > 0 THEN {BURN_EPOCH_SQL} END AS epoch, (SELECT count(*) FROM fx_block WHERE trans_code IN ('08', '13')) AS count FROM fx_block WHERE trans_code IN ('08', '13') ORDER BY epoch DESC NULLS FIRST, block_hash LIMIT 500 OFFSET 1500")
 def burnt_page(spark, sf_dir):
     rows = decoded(spark, sf_dir).withColumn("comment", F.when(F.col("num") % 3 > 0, F.col("comment")))
-    return R.burnt_page(B.burns(B.route(rows).where("route = 'burnt'")), 4, 500).select("block_hash", "owner_did", "txn_type", "epoch")
+    burns = stored(spark, B.burns(B.route(rows).where("route = 'burnt'")), "BurntBlocks")
+    return R.burnt_page(burns, 4, 500).select("block_hash", "owner_did", "txn_type", "epoch", "count")
+
+
+FILLED_SQL = "CASE WHEN amount IS NULL OR amount = 0 THEN coalesce(nullif(txn_value, 0), amount) ELSE amount END AS amount"
 
 
-@query(f"{sql_views('fx_block')}, {TRANSFERS_SQL} SELECT txn_id, min(block_hash) AS block_hash, min_by(sender_did, block_hash) AS sender_did, min_by(epoch, block_hash) AS epoch FROM tr WHERE txn_id IN ({IDS}) GROUP BY txn_id".replace("min_by(epoch, block_hash)", "arg_min_null(epoch, block_hash)"))
+@query(f"{sql_views('fx_block', 'fx_txn_amount')}, {TRANSFERS_SQL}, f AS (SELECT txn_id, min(block_hash) AS block_hash, min_by(sender_did, block_hash) AS sender_did, arg_min_null(epoch, block_hash) AS epoch, arg_min_null(amount, block_hash) AS amount FROM tr WHERE txn_id IN ({IDS}) GROUP BY txn_id) SELECT txn_id, block_hash, sender_did, epoch, {FILLED_SQL} FROM f LEFT JOIN fx_txn_amount USING (txn_id)")
 def transfer_by_txn(spark, sf_dir):
     ids = wanted_ids(spark, sf_dir).withColumnRenamed("id", "txn_id")
-    return R.first_transfer(transfer_table(spark, sf_dir), ids).select("txn_id", "block_hash", "sender_did", "epoch")
+    found = landed.kept(R.first_transfer(transfer_table(spark, sf_dir), ids), "found")
+    return R.filled(found, amounts(spark, sf_dir)).select("txn_id", "block_hash", "sender_did", "epoch", "amount")
+
+
+HASHES = "SELECT concat('bh', o_orderkey) AS id FROM orders WHERE o_orderkey % 25 = 0 UNION SELECT concat('none', n_nationkey) FROM nation"
+
+
+def wanted_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block hashes to look up, some of them unknown."""
+    return spark.sql(HASHES.replace(" orders", " {orders}").replace(" nation", " {nation}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "nation")})
+
+
+TRANSFER_SQL = """SELECT block_hash, cast(NULL AS varchar) AS prev_block_id, sender_did, receiver_did, trans_code AS txn_type, amount, epoch, coalesce(tokens, 'null') AS tokens, '{"' || receiver_did || '":"' || txn_id || '"}' AS validator_pledge_map, txn_id FROM fx_block LEFT JOIN links USING (block_hash) WHERE trans_code = '02'"""
+
+
+@query(f"{sql_views('fx_block', 'fx_block_token', 'fx_txn_amount')}, {LINKS_SQL}, t AS ({TRANSFER_SQL}) SELECT t.* REPLACE ({FILLED_SQL}) FROM t LEFT JOIN fx_txn_amount USING (txn_id) WHERE block_hash IN ({HASHES})")
+def transfer_by_hash(spark, sf_dir):
+    found = landed.kept(R.by_key(transfer_table(spark, sf_dir), "block_hash", wanted_hashes(spark, sf_dir)), "found")
+    return R.filled(found, amounts(spark, sf_dir))
+
+
+@query(f"{BLOCK_VIEWS}, {LINKS_SQL} SELECT block_hash, '[\"' || block_hash || '-c\"]' AS child_tokens, CASE trans_code WHEN '13' THEN 'Burnt for FT' ELSE 'Burnt' END AS txn_type, sender_did AS owner_did, {BURN_EPOCH_SQL} AS epoch, coalesce(tokens, 'null') AS tokens FROM fx_block LEFT JOIN links USING (block_hash) WHERE trans_code IN ('08', '13') AND block_hash IN ({HASHES})")
+def burnt_by_hash(spark, sf_dir):
+    return R.by_key(burnt_blocks(spark, sf_dir), "block_hash", wanted_hashes(spark, sf_dir))
+
+
+@query(f"{BLOCK_VIEWS}, {LINKS_SQL}, {SC_SQL} SELECT * FROM sc WHERE block_id IN ({HASHES})")
+def contract_block_by_id(spark, sf_dir):
+    return R.by_key(sc_blocks(spark, sf_dir), "block_id", wanted_hashes(spark, sf_dir))
+
+
+def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Rows of the eleven tables; the blocks are decoded once for the five tables that come from them."""
+    d = landed.kept(decoded(spark, sf_dir), "decoded")
+    routed, types = B.route(d), token_types(spark, sf_dir)
+    measures = d.select("block_hash", S.lenient_double(F.col("amount_text")).alias("amount"), S.lenient_long(F.col("epoch_text")).alias("epoch"))
+    return {
+        "TransferBlocks": B.transfers(routed.where("route = 'transfer'")),
+        "BurntBlocks": B.burns(routed.where("route = 'burnt'")),
+        "SC_Blocks": B.contract_blocks(routed),
+        "AllBlocks": B.all_blocks(d, load_time()),
+        "TokenType": types,
+        "RBT": asset(spark, sf_dir, "RBT"),
+        "FT": asset(spark, sf_dir, "FT"),
+        "NFT": asset(spark, sf_dir, "NFT"),
+        "SmartContract": asset(spark, sf_dir, "SC"),
+        "DIDs": dids(spark, sf_dir),
+        "TxnAnalytics": R.analytics(measures, B.token_links(d), types),
+    }
+
+
+WRITTEN_SQL = {"TransferBlocks": "fx_block WHERE trans_code = '02'", "BurntBlocks": "fx_block WHERE trans_code IN ('08', '13')", "SC_Blocks": "fx_block WHERE trans_code IN ('09', '10')", "AllBlocks": "fx_block", "TokenType": "t", "RBT": "fx_rbt", "FT": "fx_ft", "NFT": "fx_nft", "SmartContract": "fx_sc", "DIDs": "dids", "TxnAnalytics": "(ANALYTICS)"}
+
+
+def _written_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n_rows, cast({len(tables.COLUMNS[name])} AS int) AS n_columns FROM {source}" for name, source in WRITTEN_SQL.items())
+    views, _, analytics = ANALYTICS_SQL.rpartition("SELECT epoch // 3600")
+    return f"{views}, {DIDS_SQL} {parts.replace('(ANALYTICS)', '(SELECT epoch // 3600' + analytics + ') a')}"
+
+
+def write_ledger_tables(spark, sf_dir):
+    """All tables, the block tables by years of their epoch, written and read back: how many rows and columns each has."""
+    folder, out = landed.new_folder(spark, "ledger"), None
+    for name, rows in all_tables(spark, sf_dir).items():
+        tables.write_table(rows, name, folder, days=365)
+        back = tables.read_table(spark, name, folder)
+        one = back.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(back.columns)).alias("n_columns"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def narrow_tables(spark: SparkSession, sf_dir: str) -> dict:
+    owners = landed.kept(dids(spark, sf_dir).select("did", "total_nfts", "total_sc"), "dids")
     return {
         "RBT": (asset(spark, sf_dir, "RBT").select("rbt_id", "owner_did", "token_status"), "rbt_id"),
         "FT": (asset(spark, sf_dir, "FT").select("ft_id", "owner_did", "ft_name"), "ft_id"),
         "NFT": (asset(spark, sf_dir, "NFT").select("nft_id", "owner_did", "txn_id"), "nft_id"),
         "SC": (asset(spark, sf_dir, "SC").select("contract_id", "deployer_did"), "contract_id"),
-        "DID": (dids(spark, sf_dir).select("did", "total_nfts", "total_sc"), "did"),
+        "DID": (owners, "did"),
     }
 
 
@@ -388,27 +468,33 @@ DATA_SQL = """data AS (
 @query(f"{sql_views('fx_block', *ASSETS)}, {DIDS_SQL}, {DATA_SQL}, {TRANSFERS_SQL} SELECT id, kind AS type, data FROM data WHERE id IN ({IDS}) UNION ALL SELECT txn_id, 'TransferBlock', '{{\"block_hash\":\"' || min(block_hash) || '\",\"receiver_did\":\"' || min_by(receiver_did, block_hash) || '\",\"txn_id\":\"' || txn_id || '\"}}' FROM tr WHERE txn_id IN ({IDS}) GROUP BY txn_id")
 def search_resolve(spark, sf_dir):
     transfers = transfer_table(spark, sf_dir).select("block_hash", "receiver_did", "txn_id")
-    return R.resolve(wanted_ids(spark, sf_dir), token_types(spark, sf_dir), narrow_tables(spark, sf_dir), transfers)
+    ids, types = landed.kept(wanted_ids(spark, sf_dir), "ids"), stored(spark, token_types(spark, sf_dir), "TokenType")
+    return R.resolve(ids, types, narrow_tables(spark, sf_dir), transfers)
 
 
 @query(f"{sql_views(*ASSETS)}, {DIDS_SQL}, {DATA_SQL} SELECT id, kind, data FROM data WHERE id IN ({IDS})")
 def lookup_by_id(spark, sf_dir):
-    ids = wanted_ids(spark, sf_dir)
+    ids = landed.kept(wanted_ids(spark, sf_dir), "ids")
     kinds = {"QmR": "RBT", "QmF": "FT", "QmN": "NFT", "QmS": "SC"}
     named = ids.select("id", F.coalesce(S.look_up(kinds, F.substring("id", 1, 3)), F.when(F.col("id").startswith("bafy"), "DID")).alias("kind"))
     return R.lookup(narrow_tables(spark, sf_dir), named)
 
 
-@query(f"""{sql_views('fx_block', 'fx_block_token', *ASSETS)}, t AS ({ALL_TOKENS}), k AS (SELECT DISTINCT block_hash, token_type FROM fx_block_token JOIN t USING (token_id))
+ANALYTICS_SQL = f"""{sql_views('fx_block', 'fx_block_token', *ASSETS)}, t AS ({ALL_TOKENS}), k AS (SELECT DISTINCT block_hash, token_type FROM fx_block_token JOIN t USING (token_id))
 , e AS (SELECT epoch, cast(round(coalesce(amount, 0) * 100) AS bigint) AS cents, coalesce(token_type, 'UNKNOWN') AS token_type FROM fx_block LEFT JOIN k USING (block_hash) WHERE epoch IS NOT NULL AND epoch <> 0)
-SELECT epoch // 3600 * 3600 AS interval_start, epoch // 3600 * 3600 + 3600 AS interval_end, count(*) AS txn_count, cast(sum(cents) AS bigint) / 100 AS total_value, token_type FROM e GROUP BY ALL""")
+SELECT epoch // 3600 * 3600 AS interval_start, epoch // 3600 * 3600 + 3600 AS interval_end, count(*) AS txn_count, cast(sum(cents) AS bigint) / 100 AS total_value, token_type FROM e GROUP BY ALL"""
+
+
+@query(ANALYTICS_SQL)
 def txn_analytics(spark, sf_dir):
-    d = decoded(spark, sf_dir)
+    d = landed.kept(decoded(spark, sf_dir).select("block_hash", "amount_text", "epoch_text", "tokens"), "decoded")
     rows = d.select("block_hash", S.lenient_double(F.col("amount_text")).alias("amount"), S.lenient_long(F.col("epoch_text")).alias("epoch"))
     out = R.analytics(rows, B.token_links(d), token_types(spark, sf_dir))
     return out.withColumns({c: F.unix_timestamp(c) for c in ("interval_start", "interval_end")})
 
 
+query(_written_sql())(write_ledger_tables)
+
 # ---- changes
 
 CHANGES_SQL = """ch AS (SELECT seq, CASE table_name WHEN 'FullnodeRBTtable' THEN 'RBT' WHEN 'FullnodeFTtable' THEN 'FT' WHEN 'FullnodeNFTtable' THEN 'NFT' ELSE 'SC' END AS kind,
@@ -460,29 +546,81 @@ def did_totals_from_changes(spark, sf_dir):
     return C.as_did_rows(C.did_totals(changes(spark, sf_dir)))
 
 
+REGISTRY_SQL = """g AS (SELECT *, max(CASE WHEN op = 'DELETE' THEN seq END) OVER (PARTITION BY kind, token_id) AS gone FROM ch)
+SELECT token_id, arg_min(kind, seq) AS token_type, cast(1700000000 AS bigint) AS last_updated FROM g WHERE op <> 'DELETE' AND (gone IS NULL OR seq > gone) GROUP BY token_id"""
+
+
+@query(f"{sql_views('fx_change')}, {CHANGES_SQL}, {REGISTRY_SQL}")
+def registry_from_changes(spark, sf_dir):
+    return C.registry_after(changes(spark, sf_dir), load_time()).withColumn("last_updated", F.unix_timestamp("last_updated"))
+
+
 # ---- streams; each lands its input as files in order, and runs until all of them are read
 
 def land_in_order(parts: list[DataFrame], folder: str) -> str:
+    """Each part as one file, since one file is one batch; a part is sorted out by Spark and only its lines pass the one writing task."""
     for part in parts:
-        part.select("value").coalesce(1).write.mode("append").text(folder)  # test input: one file is one batch
+        part.select("value").coalesce(1).write.mode("append").text(folder)
     return folder
 
 
-@query(f"{sql_views('fx_change')}, {REPLAY_SQL} SELECT * FROM totals")
-def stream_token_totals(spark, sf_dir):
+def stream_changes(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(source, folder): the changes as three files in order."""
     folder, texts = landed.new_folder(spark, "stream-tokens"), change_texts(spark, sf_dir)
     bounds = texts.agg(F.max("seq")).first()[0] or 0
-    source = land_in_order([texts.where((F.col("seq") * 3 >= bounds * k) & ((F.col("seq") * 3 < bounds * (k + 1)) | F.lit(k == 2))) for k in range(3)], f"{folder}/in")
-    return C.as_did_rows(streams.token_totals(spark, source, folder))
+    return land_in_order([texts.where((F.col("seq") * 3 >= bounds * k) & ((F.col("seq") * 3 < bounds * (k + 1)) | F.lit(k == 2))) for k in range(3)], f"{folder}/in"), folder
+
+
+@query(f"{sql_views('fx_change')}, {REPLAY_SQL} SELECT * FROM totals")
+def stream_token_totals(spark, sf_dir):
+    return C.as_did_rows(streams.token_totals(spark, *stream_changes(spark, sf_dir), load_time()))
+
+
+@query(f"{sql_views('fx_change')}, {CHANGES_SQL}, {REGISTRY_SQL}")
+def stream_token_registry(spark, sf_dir):
+    source, folder = stream_changes(spark, sf_dir)
+    streams.token_totals(spark, source, folder, load_time())
+    return streams.registry_table(spark, folder).withColumn("last_updated", F.unix_timestamp("last_updated"))
 
 
 @query(f"""{sql_views('fx_block')} SELECT 'all' AS sink, block_hash, txn_id, {LABEL_SQL} AS label FROM fx_block
 UNION ALL SELECT CASE trans_code WHEN '02' THEN 'transfer' WHEN '08' THEN 'burnt' WHEN '13' THEN 'burnt' WHEN '09' THEN 'deploy' ELSE 'execute' END, block_hash, CASE WHEN num % 3 = 0 THEN replace(txn_id, 'tx', 'late') ELSE txn_id END, {LABEL_SQL} FROM fx_block""")
 def stream_block_router(spark, sf_dir):
     """Every third block is notified again later under another transaction id: AllBlocks keeps the first, the routed tables the last."""
-    folder, texts = landed.new_folder(spark, "stream-blocks"), block_texts(spark, sf_dir)
+    return routed_stream(spark, sf_dir)[0]
+
+
+def routed_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """(index, folder) of the stream over all blocks, then every third one again; some of the later lines have no hash."""
+    folder, texts = landed.new_folder(spark, "stream-blocks"), landed.kept(block_texts(spark, sf_dir), "blocks")
     again = texts.where("num % 3 = 0").withColumn("value", F.regexp_replace("value", '"tx([0-9]+)"', '"late$1"'))
-    return streams.route_blocks(spark, land_in_order([texts, again], f"{folder}/in"), folder, load_time())
+    bare = texts.where("num % 50 = 1").select(F.regexp_replace("value", ',"98":"[^"]*"', "").alias("value"))
+    return streams.route_blocks(spark, land_in_order([texts, again.select("value").unionAll(bare)], f"{folder}/in"), folder, load_time()), folder
+
+
+LATE = "CASE WHEN num % 3 = 0 THEN replace(txn_id, 'tx', 'late') ELSE txn_id END"
+
+
+@query(f"{BLOCK_VIEWS}, {LINKS_SQL} {TRANSFER_SQL.replace('FROM fx_block', f'FROM (SELECT * REPLACE ({LATE} AS txn_id) FROM fx_block) b')}")
+def stream_transfer_blocks(spark, sf_dir):
+    """All columns of TransferBlocks under live blocks: of every third one the later row."""
+    return streams.block_table(spark, routed_stream(spark, sf_dir)[1], "TransferBlocks")
+
+
+@query(ORACLES["burnt_blocks"])
+def stream_burnt_blocks(spark, sf_dir):
+    return streams.block_table(spark, routed_stream(spark, sf_dir)[1], "BurntBlocks")
+
+
+@query(ORACLES["sc_blocks"])
+def stream_sc_blocks(spark, sf_dir):
+    return streams.block_table(spark, routed_stream(spark, sf_dir)[1], "SC_Blocks").withColumn("epoch", F.unix_timestamp("epoch"))
+
+
+@query(f"{sql_views('fx_block')} SELECT cast(1 AS int) AS batch, count(*) AS n FROM fx_block WHERE num % 50 = 1")
+def stream_rejects(spark, sf_dir):
+    """Blocks without a hash, by the batch that brought them."""
+    return streams.rejected_blocks(spark, routed_stream(spark, sf_dir)[1]).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{sql_views('fx_block')} SELECT block_hash, {LABEL_SQL} AS block_type, coalesce(epoch, 1700000000) AS epoch, txn_id FROM fx_block")
@@ -497,3 +635,12 @@ def stream_all_blocks(spark, sf_dir):
 def stream_txn_analytics(spark, sf_dir):
     folder, texts = landed.new_folder(spark, "stream-analytics"), block_texts(spark, sf_dir)
     return streams.live_analytics(spark, land_in_order([texts], f"{folder}/in"), folder)
+
+
+@query(ANALYTICS_SQL)
+def stream_analytics_by_type(spark, sf_dir):
+    """TxnAnalytics by token type under live blocks; every third block is notified again, which changes nothing."""
+    folder, texts = landed.new_folder(spark, "stream-by-type"), landed.kept(block_texts(spark, sf_dir), "blocks")
+    types = stored(spark, token_types(spark, sf_dir), "TokenType")
+    out = streams.live_txn_analytics(spark, land_in_order([texts, texts.where("num % 3 = 0")], f"{folder}/in"), folder, types)
+    return out.withColumns({c: F.unix_timestamp(c) for c in ("interval_start", "interval_end")})

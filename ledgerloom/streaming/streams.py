@@ -1,4 +1,4 @@
-"""Structured Streaming jobs. State that outlives a batch is a folder of Parquet versions, one per batch, so that a batch that runs again overwrites its own."""
+"""Structured Streaming jobs. State that outlives a batch is a log of Parquet folders: each batch adds the rows that it changes, and now and then a base takes them in."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import changes as C
+from ..operators import reads as R
 from ..sources import schemas
 
 
@@ -19,61 +20,90 @@ def run_now(stream: DataFrame, write, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def version(spark: SparkSession, folder: str, number: int, schema: str) -> DataFrame | None:
-    """The table that batch `number` left; null before the first."""
-    return spark.read.schema(schema).parquet(f"{folder}/v{number}") if number >= 0 else None
+#: After so many batches a log's rows are merged into a new base.
+COMPACT = 20
+FOLDERS = "part string, batch int"
+
+
+def log_start(spark: SparkSession, folder: str, schema: str) -> None:
+    """An empty base, so that a log can be read before its first batch."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/part=base/batch=-1")
+
+
+def log_append(rows: DataFrame, folder: str, number: int) -> None:
+    """A batch adds the rows that it changes, as a folder of its own: one that runs again overwrites its own."""
+    rows.write.mode("overwrite").parquet(f"{folder}/part=delta/batch={number}")
+
+
+def log_rows(spark: SparkSession, folder: str, schema: str, upto: int | None = None) -> DataFrame:
+    """The newest base and all later rows, with the number of their batch, of the batches up to `upto`."""
+    rows = spark.read.schema(f"{schema}, {FOLDERS}").parquet(folder)
+    if upto is not None:
+        rows = rows.where(F.col("batch") <= upto)
+    base = rows.where("part = 'base'").agg(F.max("batch")).first()[0]  # of folders: few rows
+    base = -1 if base is None else base
+    return rows.where(((F.col("part") == "base") & (F.col("batch") == base)) | ((F.col("part") == "delta") & (F.col("batch") > base))).drop("part")
+
+
+def log_table(spark: SparkSession, folder: str, schema: str, key: list[str], upto: int | None = None) -> DataFrame:
+    """One row for each key, the one of the last batch that wrote it."""
+    rows = log_rows(spark, folder, schema, upto)
+    others = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("_x")).select(*key, "_x.*")
+
+
+def log_compact(spark: SparkSession, folder: str, schema: str, key: list[str], number: int) -> None:
+    """Every COMPACT batches one full write, so that a batch costs what it changes and a read a bounded number of files."""
+    if number % COMPACT == COMPACT - 1:
+        log_table(spark, folder, schema, key, number).write.mode("overwrite").parquet(f"{folder}/part=base/batch={number}")
 
 
 #: Tables that live blocks are merged into: key, routes, projection. The last notification of a key replaces its row.
 ROUTED = {"TransferBlocks": ("block_hash", ("transfer",), B.transfers), "BurntBlocks": ("block_hash", ("burnt",), B.burns), "SC_Blocks": ("block_id", ("deploy", "execute"), B.contract_blocks)}
+INDEX = "sink string, block_hash string, txn_id string, label string, arrival string"
+REJECTS = "value string"
 
 
-def upserted(old: DataFrame | None, new: DataFrame, key: str, last: bool) -> DataFrame:
-    """Whole rows of both, each with one row per key; of a key in both the new row stays if `last`, else the old one."""
-    if old is None:
-        return new
-    return new.unionByName(old.join(new.select(key), key, "left_anti")) if last else old.unionByName(new.join(old.select(key), key, "left_anti"))
+def block_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """AllBlocks, TransferBlocks, BurntBlocks or SC_Blocks as route_blocks left it."""
+    key = ROUTED[name][0] if name in ROUTED else "block_hash"
+    return log_table(spark, f"{folder}/{name}", schemas.TABLES[name], [key])
 
 
-def block_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """AllBlocks, TransferBlocks, BurntBlocks or SC_Blocks as route_blocks left it. Tables never shrink, so the newest version with rows is the newest one."""
-    rows = spark.read.schema(f"{schemas.TABLES[name]}, v int").parquet(f"{folder}/{name}")
-    newest = rows.agg(F.max("v")).first()[0]
-    return rows.where(F.col("v") == newest).drop("v")
+def rejected_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """(value, batch): texts of blocks without a hash, as they came."""
+    return log_rows(spark, f"{folder}/Rejects", REJECTS)
 
 
 def route_blocks(spark: SparkSession, source: str, folder: str, ingest: Column | None = None) -> DataFrame:
     """Live blocks, merged as whole rows into AllBlocks (the first notification of a hash stays) and the routed tables (the last one stays); block_table reads them.
+    Blocks without a hash go to the rejects.
 
     Returns their index: (sink, block_hash, txn_id, label). A row arrives with its batch; within one batch, where lines have no order of their own, the text breaks ties."""
-    schema = "sink string, block_hash string, txn_id string, label string, arrival string"
     ingest = F.current_timestamp() if ingest is None else ingest
-
-    def merge(name: str, new: DataFrame, number: int, key: str, last: bool) -> None:
-        new = new.persist()
-        old = spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}/v={number - 1}") if number else None
-        upserted(old, new, key, last).write.mode("overwrite").parquet(f"{folder}/{name}/v={number}")
-        new.unpersist()
+    logs = {"Index": INDEX, "Rejects": REJECTS, "AllBlocks": schemas.TABLES["AllBlocks"], **{name: schemas.TABLES[name] for name in ROUTED}}
+    for name, schema in logs.items():
+        log_start(spark, f"{folder}/{name}", schema)
 
     def write(batch: DataFrame, number: int) -> None:
-        decoded = B.keyed(B.decode(batch))[0].withColumn("arrival", F.format_string("%012d %s", F.lit(number), F.col("value"))).persist()
+        good, bad = B.keyed(B.decode(batch))
+        log_append(bad.select("value"), f"{folder}/Rejects", number)
+        decoded = good.withColumn("arrival", F.format_string("%012d %s", F.lit(number), F.col("value"))).persist()
         label = B.S.block_type(F.col("type_code"))
-        every = decoded.select(F.lit("all").alias("sink"), "block_hash", "txn_id", label.alias("label"), "arrival")
         routed = B.route(decoded).where("route IS NOT NULL")
-        new = every.unionByName(routed.select(F.col("route").alias("sink"), "block_hash", "txn_id", label.alias("label"), "arrival"))
-        if (old := version(spark, folder, number - 1, schema)) is not None:
-            new = new.unionByName(old)
-        others = F.struct("txn_id", "label", "arrival")
-        pick = F.when(F.col("sink") == "all", F.min_by(others, "arrival")).otherwise(F.max_by(others, "arrival"))
-        new.groupBy("sink", "block_hash").agg(pick.alias("x")).select("sink", "block_hash", "x.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
-        merge("AllBlocks", B.all_blocks(B.first_wins(decoded, "block_hash"), ingest), number, "block_hash", False)
+        log_append(B.last_wins(routed.select("block_hash", F.col("route").alias("sink"), "txn_id", label.alias("label"), "arrival").withColumn("key", F.concat_ws(" ", "sink", "block_hash")).withColumn("at", F.col("arrival")), "key", "at").select("sink", "block_hash", "txn_id", "label", "arrival"), f"{folder}/Index", number)
+        log_compact(spark, f"{folder}/Index", INDEX, ["sink", "block_hash"], number)
+        before = log_rows(spark, f"{folder}/AllBlocks", logs["AllBlocks"], number - 1).select("block_hash")
+        log_append(B.all_blocks(B.first_wins(decoded, "block_hash"), ingest).join(before, "block_hash", "left_anti").select(*schemas.COLUMNS["AllBlocks"]), f"{folder}/AllBlocks", number)
+        log_compact(spark, f"{folder}/AllBlocks", logs["AllBlocks"], ["block_hash"], number)
         for name, (key, routes, rows) in ROUTED.items():
-            merge(name, rows(B.last_wins(routed.where(F.col("route").isin(*routes)), "block_hash")), number, key, True)
+            log_append(rows(B.last_wins(routed.where(F.col("route").isin(*routes)), "block_hash")).select(*schemas.COLUMNS[name]), f"{folder}/{name}", number)
+            log_compact(spark, f"{folder}/{name}", logs[name], [key], number)
         decoded.unpersist()
 
-    seen = []
-    run_now(texts(spark, source), lambda b, n: (write(b, n), seen.append(n))[0], f"{folder}/checkpoint")
-    return version(spark, folder, max(seen, default=-1), schema).drop("arrival") if seen else spark.createDataFrame([], schema).drop("arrival")
+    run_now(texts(spark, source), write, f"{folder}/checkpoint")
+    every = block_table(spark, folder, "AllBlocks").select(F.lit("all").alias("sink"), "block_hash", "txn_id", F.col("block_type").alias("label"))
+    return every.unionByName(log_table(spark, f"{folder}/Index", INDEX, ["sink", "block_hash"]).select("sink", "block_hash", "txn_id", "label"))
 
 
 def first_blocks(spark: SparkSession, source: str, folder: str, ingest: Column) -> DataFrame:
@@ -93,30 +123,67 @@ def first_blocks(spark: SparkSession, source: str, folder: str, ingest: Column)
     return spark.read.schema(schema).parquet(f"{folder}/rows").drop("batch")
 
 
-def token_totals(spark: SparkSession, source: str, folder: str) -> DataFrame:
-    """Live token changes: owner totals after all of them. Each batch reads the states of the tokens and owners that it touches and replays its changes on them."""
-    tokens_schema = "kind string, token_id string, owner_did string, token_value double, token_status int"
-    dids_schema = "did string, RBT bigint, FT bigint, NFT bigint, SC bigint"
+TOKENS = "kind string, token_id string, owner_did string, token_value double, token_status int, gone boolean"
+OWNERS = "did string, RBT bigint, FT bigint, NFT bigint, SC bigint"
+REGISTRY = f"{schemas.TABLES['TokenType']}, gone boolean"
+
+
+def registry_table(spark: SparkSession, folder: str) -> DataFrame:
+    """TokenType as token_totals left it."""
+    return log_table(spark, f"{folder}/registry", REGISTRY, ["token_id"]).where("NOT gone").drop("gone")
+
+
+def token_totals(spark: SparkSession, source: str, folder: str, ingest: Column | None = None) -> DataFrame:
+    """Live token changes: owner totals after all of them; registry_table reads the token registry, which is kept beside them.
+
+    Each batch reads the states of the tokens and owners that it touches, replays its changes on them and appends the states that it leaves; tokens that are deleted leave a mark."""
+    ingest = F.current_timestamp() if ingest is None else ingest
+    for name, schema in (("tokens", TOKENS), ("dids", OWNERS), ("registry", REGISTRY)):
+        log_start(spark, f"{folder}/{name}", schema)
 
     def write(batch: DataFrame, number: int) -> None:
-        new = C.parsed(batch).persist()
-        tokens, dids = version(spark, f"{folder}/tokens", number - 1, tokens_schema), version(spark, f"{folder}/dids", number - 1, dids_schema)
-        if tokens is None:
-            now, totals = C.token_state(new), C.did_totals(new)
-        else:
-            key = ["kind", "token_id"]
-            touched = new.select(*key).distinct()
-            own = tokens.join(touched, key, "left_semi")
-            now = C.token_state(new, own).unionByName(tokens.join(touched, key, "left_anti"))
-            of = C.effects(new, own).select("did").distinct()
-            totals = C.did_totals(new, own, dids.join(of, "did", "left_semi")).unionByName(dids.join(of, "did", "left_anti"))
-        now.write.mode("overwrite").parquet(f"{folder}/tokens/v{number}")
-        totals.write.mode("overwrite").parquet(f"{folder}/dids/v{number}")
+        new, key = C.parsed(batch).persist(), ["kind", "token_id"]
+        touched = new.select(*key).distinct()
+        mark = lambda ids, now, on: ids.join(now.withColumn("gone", F.lit(False)), on, "left").withColumn("gone", F.coalesce("gone", F.lit(True)))
+        own = log_table(spark, f"{folder}/tokens", TOKENS, key, number - 1).where("NOT gone").drop("gone").join(touched, key, "left_semi")
+        log_append(mark(touched, C.token_state(new, own), key), f"{folder}/tokens", number)
+        ids = touched.select("token_id").distinct()
+        listed = log_table(spark, f"{folder}/registry", REGISTRY, ["token_id"], number - 1).where("NOT gone").drop("gone").join(ids, "token_id", "left_semi")
+        log_append(mark(ids, C.registry_after(new, ingest, listed), "token_id"), f"{folder}/registry", number)
+        of = C.effects(new, own).select("did").distinct()
+        dids = log_table(spark, f"{folder}/dids", OWNERS, ["did"], number - 1).join(of, "did", "left_semi")
+        log_append(C.did_totals(new, own, dids), f"{folder}/dids", number)
+        for name, schema, at in (("tokens", TOKENS, key), ("registry", REGISTRY, ["token_id"]), ("dids", OWNERS, ["did"])):
+            log_compact(spark, f"{folder}/{name}", schema, at, number)
         new.unpersist()
 
-    seen = []
-    run_now(texts(spark, source), lambda b, n: (write(b, n), seen.append(n))[0], f"{folder}/checkpoint")
-    return version(spark, f"{folder}/dids", max(seen, default=-1), dids_schema) if seen else spark.createDataFrame([], dids_schema)
+    run_now(texts(spark, source), write, f"{folder}/checkpoint")
+    return log_table(spark, f"{folder}/dids", OWNERS, ["did"])
+
+
+SUMS = "interval_start timestamp, interval_end timestamp, token_type string, txn_count bigint, cents bigint"
+
+
+def live_txn_analytics(spark: SparkSession, source: str, folder: str, token_type: DataFrame, interval: str = "1 hour") -> DataFrame:
+    """TxnAnalytics by token type under live blocks: each batch appends its own sums, which are added up when they are read. No row is late, so open intervals show too.
+
+    token_type is the registry. A block counts once, when it is first notified."""
+    log_start(spark, f"{folder}/sums", SUMS)
+    log_start(spark, f"{folder}/seen", "block_hash string")
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = log_rows(spark, f"{folder}/seen", "block_hash string", number - 1).select("block_hash")
+        first = B.first_wins(B.keyed(B.decode(batch))[0], "block_hash", "value").join(before, "block_hash", "left_anti")
+        decoded = first.select("block_hash", "amount_text", "epoch_text", "tokens").persist()
+        log_append(decoded.select("block_hash"), f"{folder}/seen", number)
+        rows = decoded.select("block_hash", B.S.lenient_double(F.col("amount_text")).alias("amount"), B.S.lenient_long(F.col("epoch_text")).alias("epoch"))
+        sums = R.analytics(rows, B.token_links(decoded), token_type, interval)
+        log_append(sums.select("interval_start", "interval_end", "token_type", "txn_count", F.round(F.col("total_value") * 100).cast("bigint").alias("cents")), f"{folder}/sums", number)
+        decoded.unpersist()
+
+    run_now(texts(spark, source), write, f"{folder}/checkpoint")
+    total = log_rows(spark, f"{folder}/sums", SUMS).groupBy("interval_start", "interval_end", "token_type").agg(F.sum("txn_count").alias("txn_count"), F.sum("cents").alias("cents"))
+    return total.select("interval_start", "interval_end", "txn_count", (F.col("cents") / 100).alias("total_value"), "token_type")
 
 
 def live_analytics(spark: SparkSession, source: str, folder: str, interval: str = "1 hour", delay: str = "1 hour") -> DataFrame:

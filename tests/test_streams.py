@@ -46,14 +46,27 @@ def test_first_blocks_of_an_empty_folder(spark, tmp_path):
 def test_routed_tables_hold_whole_rows(spark, tmp_path):
     """Every column of each table equals the batch projection of the notification that wins."""
     full = lambda name, code, n: block(name, 1_700_000_000 + n, f"t{n}", code, **{"3": f"o{n}", "8": {f"p{n}": n}, "10": n + 0.5, "11": [f"c{n}"]}) | {"5": {"1": f"s{n}", "2": f"r{n}", "3": f"Token burnt at : 2024-01-02 03:04:{n:02d}", "4": f"t{n}", "8": f"d{n}", "9": f"e{n}", "6": {f"Qm{n}": {"4": str(n), "5": f"prev{n}"}}}}
-    first = [full("a", "02", 1), full("b", "08", 2), full("c", "09", 3), full("d", "10", 4), full("e", "02", 5), full("f", "99", 6)]
+    bare = {"2": "02", "5": {"4": "t"}}
+    first = [bare, full("a", "02", 1), full("b", "08", 2), full("c", "09", 3), full("d", "10", 4), full("e", "02", 5), full("f", "99", 6)]
     second = [full("a", "02", 11), full("b", "13", 12), full("c", "10", 13), full("g", "02", 17)]
     out = str(tmp_path / "out")
     streams.route_blocks(spark, land(tmp_path / "in", first, second, []), out, load_time())
     of = lambda blocks: B.route(B.decode(spark.createDataFrame([(json.dumps(b),) for b in blocks], "value string")))
+    first = first[1:]
+    assert [r.value for r in streams.rejected_blocks(spark, out).collect()] == [json.dumps(bare)]
     last = of(second + [b for b in first if b["98"] in "def"])
     wanted = {"AllBlocks": B.all_blocks(of(first + second[3:]), load_time()), "TransferBlocks": B.transfers(last.where("route = 'transfer'")), "BurntBlocks": B.burns(last.where("route = 'burnt'")), "SC_Blocks": B.contract_blocks(last)}
     for name, rows in wanted.items():
         got = streams.block_table(spark, out, name)
         assert sorted(got.columns) == sorted(rows.columns) and rows.count() > 0
         assert sorted(map(str, got.select(*rows.columns).collect())) == sorted(map(str, rows.collect())), name
+
+
+def test_registry_follows_changes(spark, tmp_path):
+    """A row comes with a token's first upsert, keeps its time under later ones, goes with the deletion and comes back anew."""
+    change = lambda seq, op, token: {"table": "FullnodeRBTtable", "operation": op, "seq": seq, "data": {"token_id" if op == "DELETE" else "TokenID": token, "OwnerDID": "o", "TokenValue": 1.0, "TokenStatus": 0}}
+    source = land(tmp_path / "in", [change(1, "CREATE", "a"), change(2, "CREATE", "b"), change(3, "DELETE", "none")], [change(4, "UPDATE", "a"), change(5, "DELETE", "b")], [change(6, "CREATE", "b"), change(7, "CREATE", "c"), change(8, "DELETE", "c")])
+    out = str(tmp_path / "out")
+    totals = {r.did: r.RBT for r in streams.token_totals(spark, source, out, load_time()).collect()}
+    assert totals == {"o": 2000}
+    assert {(r.token_id, r.token_type) for r in streams.registry_table(spark, out).collect()} == {("a", "RBT"), ("b", "RBT")}
