@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset and there is one machine only (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_checkpoint_dir", None)
     if not path:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
         spark._own_checkpoint_dir = path
@@ -36,6 +41,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow with batches bounded in bytes as well as in rows: both sides of the pipe hold a batch or two."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?[0-9]+)([a-z]?)b?", conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit if unit and unit != "b" else " ") <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def widened(schema: StructType, more: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
 
@@ -52,7 +66,7 @@ def crc_mod(col: str, m: int):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % m, F.lit(0).cast("bigint"))
 
 
-def bounded_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def bounded_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have at most about max_bytes together; one longer text is a part of its own."""
     if batch.num_rows == 0:
         return
@@ -97,6 +111,26 @@ def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binary_parts(column: pa.Array, kind=np.uint8) -> list[np.ndarray]:
+    """A binary column without nulls as one array for each row, without copies."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+    return [raw[a:b].view(kind) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def binary_array(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of the bytes between 0 and the first end, the first and the second, and so on."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... (size of them) of each pair, one after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, dtype=np.int64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit values (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

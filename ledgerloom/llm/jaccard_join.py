@@ -8,7 +8,7 @@ group, where the same traversal runs with exact verification of each pair that i
 
 Groups with more tokens than a task may hold are dealt in chunks: each chunk is joined within itself and with one leader, and the classes that
 the leader's component has not reached are then joined with every chunk. No link between different components is lost.
-Tokens and classes are named by 64-bit hashes.
+Tokens are named by 64-bit hashes. So are classes; a second hash tells names that different sets share, and then names those sets.
 """
 
 from __future__ import annotations
@@ -21,15 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, checked_broadcast, components, saved
+from .common import binary_parts, bounded_slices, checked_broadcast, components, in_arrow, saved
 from .shingles import shingle_sets
 from .signature_tree import Links, bitmap, candidates, width_of
 
-SLOT_BITS = 17
+SLOT_BITS, SLICE = 17, 1 << 20
+NAMES = ["sid", "other"]
 
 
-def class_of(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def names_of(tokens: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set."""
+    told = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(told[:8], "little", signed=True), int.from_bytes(told[8:], "little", signed=True)
+
+
+def class_of(tokens: np.ndarray, shared: frozenset) -> int:
+    """The first name of a set, or the second where different sets share the first."""
+    name, other = names_of(tokens)
+    return other if name in shared else name
 
 
 def slot(tokens: np.ndarray) -> np.ndarray:
@@ -37,80 +46,82 @@ def slot(tokens: np.ndarray) -> np.ndarray:
 
 
 def over_sets(rows: DataFrame, size: int, schema: str, make: Callable) -> DataFrame:
-    """make(batch, sets) for batches of (doc_id, text) with the sets of the texts."""
+    """make(batch, sets) for batches of (doc_id, text) with the sets of the texts; about a megabyte of texts (or one text) at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for whole in batches:
-            for batch in bounded_slices(whole, "text"):
+            for batch in bounded_slices(whole, "text", SLICE):
                 yield from make(state, batch, shingle_sets(batch.column("text"), size))
         yield from make(state, None, None)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
-def grouped(rows: DataFrame, key: str, schema: str, work: Callable, aside: list[str]) -> DataFrame:
-    """work(list of row dicts) for the rows of each key, which stand together after a shuffle; a few groups at a time are in memory."""
+def grouped(rows: DataFrame, key: str, work: Callable, aside: list[str]) -> DataFrame:
+    """(a, b) edges from work(batch), called with the rows of each key, which stand together after a shuffle; one group at a time is in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, a, b = [], None, [], []
+        held: list[pa.RecordBatch] = []
+        now, edges = None, []
+
+        def told() -> None:
+            if held:
+                whole = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                edges.extend(work(whole))
+
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            for values in zip(*columns.values(), strict=True):
-                row = dict(zip(columns, values, strict=True))
-                if held and row[key] != now:
-                    for x, y in work(held):
-                        a.append(x)
-                        b.append(y)
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist() if len(keys) else [0]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if held and keys[a] != now:
+                    told()
                     held = []
-                now = row[key]
-                held.append(row)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if held:
-            for x, y in work(held):
-                a.append(x)
-                b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                now = keys[a]
+                held.append(batch.slice(a, b - a))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
+                edges.clear()
+        told()
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, *aside).mapInArrow(run, schema)
+    return in_arrow(rows.repartition(F.col(key)).sortWithinPartitions(key, *aside), run, "a bigint, b bigint")
 
 
-def measured(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of each row (sid null: empty set), and how common each hash slot is, as a small number."""
+def measured(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, frozenset]:
+    """(doc_id, n, sid) of each row (sid null: empty set), how common each hash slot is, as a small number, and the first names that different sets share."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "n", *NAMES, "slot", "count"]
 
     def make(state, batch, sets):
         counts = state.setdefault("counts", np.zeros(1 << SLOT_BITS, dtype=np.int64))
         if batch is not None:
-            for s in sets:
-                counts += 0 if not len(s) else np.bincount(slot(s), minlength=1 << SLOT_BITS) if len(s) > 1 << 15 else 0
-            small = [s for s in sets if 0 < len(s) <= 1 << 15]
-            if small:
-                counts += np.bincount(slot(np.concatenate(small)), minlength=1 << SLOT_BITS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], ["doc_id", "n", "sid", "slot", "count"])
-        else:
+            state["id"] = batch.schema.field("doc_id").type
+            if full := [s for s in sets if len(s)]:
+                np.add.at(counts, slot(np.concatenate(full)), 1)
+            names = [names_of(s) if len(s) else (None, None) for s in sets]
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)], none, none], columns)
+        elif "id" in state:
             at = np.flatnonzero(counts)
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([none.cast(state["id"]) if "id" in state else none, none, none, pa.array(at), pa.array(counts[at])], ["doc_id", "n", "sid", "slot", "count"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def typed(state, batch, sets):
-        if batch is not None:
-            state["id"] = batch.schema.field("doc_id").type
-        yield from make(state, batch, sets)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), state["id"]), none, none, none, pa.array(at), pa.array(counts[at])], columns)
 
-    both = saved(over_sets(docs, size, f"doc_id {id_type}, n bigint, sid bigint, slot bigint, count bigint", typed), "jaccard-rows")
+    both = saved(over_sets(docs, size, f"doc_id {id_type}, n bigint, sid bigint, other bigint, slot bigint, count bigint", make), "jaccard-rows")
     counts = np.zeros(1 << SLOT_BITS)
     for r in both.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("n")).collect():  # at most 2**SLOT_BITS rows
         counts[r["slot"]] = r["n"]
     usual = counts.sum() / len(counts)
-    return both.where("slot IS NULL").select("doc_id", "n", "sid"), np.floor(np.log2(np.maximum(counts / max(usual, 1e-9), 1))).astype(np.uint8)
+    rows = both.where("slot IS NULL")
+    # of n sets about n * n / 2**65 pairs share a name by chance: a handful among 10**10
+    shared = frozenset(r["sid"] for r in rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("sid").collect())
+    if shared:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(*shared), F.col("other")).otherwise(F.col("sid")))
+    return rows.select("doc_id", "n", "sid"), np.floor(np.log2(np.maximum(counts / max(usual, 1e-9), 1))).astype(np.uint8), shared
 
 
-def prefixed(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+def prefixed(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray, shared: frozenset) -> DataFrame:
     """(sid, n, keys, bits): each class once per task, with its prefix tokens and bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(common)  # 2**SLOT_BITS bytes
 
@@ -119,7 +130,7 @@ def prefixed(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray)
             return
         seen, out = state.setdefault("seen", set()), ([], [], [], [])
         for s in sets:
-            if not len(s) or (sid := class_of(s)) in seen:
+            if not len(s) or (sid := class_of(s, shared)) in seen:
                 continue
             seen.add(sid)  # copies within a task go no further; a task's rows bound this set
             n = len(s)
@@ -128,7 +139,9 @@ def prefixed(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray)
             keys = s[np.argpartition(order, p - 1)[:p]] if p < n else s
             for column, x in zip(out, (sid, n, keys.view(np.int64), bitmap(s, width_of(n)).tobytes()), strict=True):
                 column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["sid", "n", "keys", "bits"])
+        ends = np.cumsum([0, *map(len, out[2])]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *out[2]])))
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), keys, pa.array(out[3], pa.binary())], ["sid", "n", "keys", "bits"])
 
     return saved(over_sets(docs, size, "sid bigint, n bigint, keys array<bigint>, bits binary", make), "jaccard-prefixes")
 
@@ -145,30 +158,32 @@ def candidate_edges(prefixes: DataFrame, num: int, den: int, most: int) -> DataF
     large = member.where(F.col("k") > most).where("sid <> first").selectExpr("first AS a", "sid AS b")
     signed = member.where(F.col("k") <= most).select("key", "sid").distinct().join(prefixes.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "sid")
 
-    def work(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        if len(rows) < 2:
+    def work(rows: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        if rows.num_rows < 2:
             return
-        links = Links([r["sid"] for r in rows])
-        for i, j in candidates(np.array([r["n"] for r in rows]), [np.frombuffer(r["bits"], dtype=np.uint64) for r in rows], num, den, links):
+        sids = rows.column("sid").to_pylist()
+        links = Links(sids)
+        for i, j in candidates(rows.column("n").to_numpy(), binary_parts(rows.column("bits"), np.uint64), num, den, links):
             links.join(i, j)
-            yield rows[i]["sid"], rows[j]["sid"]
+            yield sids[i], sids[j]
 
-    return large.unionAll(grouped(signed, "key", "a bigint, b bigint", work, ["sid"]))
+    return large.unionAll(grouped(signed, "key", work, ["sid"]))
 
 
-def verified(rows: list[dict], num: int, den: int) -> Iterator[tuple[int, int]]:
+def verified(rows: pa.RecordBatch, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Links that connect what is not connected by the labels; each is verified exactly."""
-    rows = list({r["sid"]: r for r in rows}.values())
-    sets = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows]
+    sids = rows.column("sid").to_numpy()
+    rows = rows.take(pa.array(np.unique(sids, return_index=True)[1]))
+    sids, sets = rows.column("sid").to_pylist(), binary_parts(rows.column("tokens"), np.uint64)
     sizes = np.array([len(s) for s in sets])
-    links = Links([r["label"] for r in rows])
+    links = Links(rows.column("label").to_pylist())
     for i, j in candidates(sizes, [bitmap(s, width_of(len(s))) for s in sets], num, den, links):
         small, large = (i, j) if sizes[i] <= sizes[j] else (j, i)
         at = np.searchsorted(sets[large], sets[small])
         same = int((sets[large][np.minimum(at, sizes[large] - 1)] == sets[small]).sum())
         if den * same >= num * (sizes[i] + sizes[j] - same):
             links.join(i, j)
-            yield rows[i]["sid"], rows[j]["sid"]
+            yield sids[i], sids[j]
 
 
 def links_of(sets: DataFrame, num: int, den: int, most_tokens: int) -> DataFrame:
@@ -177,11 +192,11 @@ def links_of(sets: DataFrame, num: int, den: int, most_tokens: int) -> DataFrame
     groups = saved(sets.select("grp", "sid", "n").distinct().groupBy("grp").agg(F.sum("n").alias("all"), F.min("sid").alias("leader")).withColumn("chunks", F.ceil(F.col("all") / most_tokens).cast("bigint")), "jaccard-groups")
     dealt = sets.join(groups.select("grp", "chunks", "leader"), "grp").withColumn("label", F.col("sid"))
     if groups.where("chunks > 1").isEmpty():
-        return saved(grouped(dealt.withColumn("task", F.col("grp")).select("task", "sid", "label", "tokens"), "task", "a bigint, b bigint", work, ["sid"]), "jaccard-links")
+        return saved(grouped(dealt.withColumn("task", F.col("grp")).select("task", "sid", "label", "tokens"), "task", work, ["sid"]), "jaccard-links")
     chunk = F.pmod(F.xxhash64("sid"), F.col("chunks"))
     leads = F.when((F.col("sid") == F.col("leader")) & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).otherwise(F.array(chunk))
     first = dealt.withColumn("task", F.explode(leads)).select(F.xxhash64("grp", "task").alias("task"), "sid", "label", "tokens")
-    links = saved(grouped(first, "task", "a bigint, b bigint", work, ["sid"]), "jaccard-links")
+    links = saved(grouped(first, "task", work, ["sid"]), "jaccard-links")
     labels = components(links, "jaccard-labels")
     big = dealt.where("chunks > 1").drop("label").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid")).drop("component")
     big = saved(big, "jaccard-big")
@@ -191,7 +206,7 @@ def links_of(sets: DataFrame, num: int, den: int, most_tokens: int) -> DataFrame
     all_rows = big.join(parts, "grp").withColumn("x", F.pmod(F.xxhash64("sid"), F.col("chunks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     rest = rest.join(parts, "grp").withColumn("y", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     second = all_rows.unionByName(rest).select(F.xxhash64("grp", "x", "y").alias("task"), "sid", "label", "tokens")
-    return links.unionAll(saved(grouped(second, "task", "a bigint, b bigint", work, ["sid"]), "jaccard-links"))
+    return links.unionAll(saved(grouped(second, "task", work, ["sid"]), "jaccard-links"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, most_block: int = 2048, most_tokens: int = 2_000_000) -> DataFrame:
@@ -203,8 +218,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     tokens bound what one task holds; results don't depend on them.
     """
     docs = docs.select("doc_id", "text")
-    rows, common = measured(docs, size)
-    prefixes = prefixed(docs, size, num, den, common)
+    rows, common, shared = measured(docs, size)
+    prefixes = prefixed(docs, size, num, den, common, shared)
     groups = components(candidate_edges(prefixes, num, den, most_block), "jaccard-candidates").select(F.col("node").alias("sid"), F.col("component").alias("grp"))
     groups = saved(groups, "jaccard-grouped")
     classes = saved(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least")), "jaccard-classes")
@@ -214,7 +229,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     def make(state, batch, sets):
         if batch is not None:
             sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s, shared) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "tokens"])
 
     whole = over_sets(texts, size, "sid bigint, n bigint, tokens binary", make)
     whole = saved(whole.join(checked_broadcast(groups), "sid").select("grp", "sid", "n", "tokens"), "jaccard-sets")
@@ -227,4 +242,5 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document: runs of four words, similarity of 0.85 or more."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

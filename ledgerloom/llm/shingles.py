@@ -14,6 +14,8 @@ BYTE = mixed(np.arange(1, 257, dtype=np.uint64))  # a 64-bit value for each byte
 BYTE[65:91] = BYTE[97:123]  # A-Z as a-z
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Bytes that are hashed at once: the 64-bit values of a piece are all that is held beside the text.
+PIECE = 1 << 17
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -22,27 +24,54 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+UP, DOWN = powers(STEP, PIECE), powers(BACK, PIECE)
+
+
+def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words (runs without [\\x20\\x09-\\x0D]) of all texts start and stop; a text's end parts words."""
+    starts, stops = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    edges = np.unique(at)
+    for low in range(0, len(raw), 8 * PIECE):
+        high = min(len(raw), low + 8 * PIECE)
+        full = ~SPACE[raw[max(low - 1, 0) : high + 1]]
+        before = full[: high - low] if low else np.concatenate([[False], full[: high - 1]])
+        own = full[1 : high - low + 1] if low else full[:high]
+        after = full[2 if low else 1 :]
+        begins, ends = own & ~before, own.copy()
+        ends[: len(after)] &= ~after[: high - low]
+        edge = edges[np.searchsorted(edges, low) : np.searchsorted(edges, high + 1)]
+        inside = edge[edge < high] - low
+        begins[inside] |= own[inside]
+        inside = edge[edge > low] - low - 1
+        ends[inside] |= own[inside]
+        starts.append(np.flatnonzero(begins) + low)
+        stops.append(np.flatnonzero(ends) + low + 1)
+    return np.concatenate(starts), np.concatenate(stops)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without [\\x20\\x09-\\x0D], A-Z lower-cased) of all texts, and where each text's begin (one more than texts)."""
+    """Hashes of the words (A-Z lower-cased) of all texts, and where each text's begin (one more than texts)."""
     raw, at = string_bytes(pc.fill_null(texts, ""))
-    n = len(raw)
-    if n == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(at), dtype=np.int64)
-    blank = SPACE[raw]
-    full = ~blank
-    begins = full.copy()
-    begins[1:] &= blank[:-1]
-    ends = full.copy()
-    ends[:-1] &= blank[1:]
-    edge = at[1:-1]
-    edge = edge[(edge > 0) & (edge < n)]
-    begins[edge] |= full[edge]
-    ends[edge - 1] |= full[edge - 1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(BYTE[raw] * powers(STEP, n - 1), out=sums[1:], dtype=np.uint64)
-    hashes = mixed((sums[stop] - sums[start]) * powers(BACK, n - 1)[start] + (stop - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, at)
+    start, stop = word_bounds(raw, at)
+    hashes = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(stop, base + PIECE, side="right")))
+        if stop[j - 1] - base <= PIECE:
+            part = raw[base : stop[j - 1]]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(BYTE[part] * UP[: len(part)], out=sums[1:], dtype=np.uint64)
+            hashes[i:j] = (sums[stop[i:j] - base] - sums[start[i:j] - base]) * DOWN[start[i:j] - base]
+        else:  # one word that is longer than a piece
+            total, factor = 0, 1
+            for low in range(base, stop[i], PIECE):
+                part = raw[low : min(low + PIECE, stop[i])]
+                total += factor * int((BYTE[part] * UP[: len(part)]).sum(dtype=np.uint64))
+                factor = factor * int(UP[PIECE]) & 0xFFFFFFFFFFFFFFFF
+            hashes[i] = np.uint64(total & 0xFFFFFFFFFFFFFFFF)
+        i = j
+    return mixed(hashes + (stop - start).astype(np.uint64)), np.searchsorted(start, at)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:

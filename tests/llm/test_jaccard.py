@@ -77,6 +77,27 @@ def test_small_limits_change_nothing(spark):
     assert got == plain_components(rows, 4, 85, 100)
 
 
+def test_sets_that_share_a_name(spark, monkeypatch):
+    """Half of the sets get one first name: the second tells them apart."""
+    whole = J.names_of
+    monkeypatch.setattr(J, "names_of", lambda tokens: (7 if len(tokens) % 2 else whole(tokens)[0], whole(tokens)[1]))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c d e f g")], "doc_id bigint, text string")
+    rows, _, shared = J.measured(docs, 4)
+    assert shared in (frozenset(), frozenset({7}))  # workers that import the module anew see no clash
+    got = {r.doc_id: r.sid for r in rows.collect()}
+    assert got[1] == got[3] and len({got[1], got[2], got[4]}) == 3
+
+
+def test_long_words_and_pieces():
+    import ledgerloom.llm.shingles as N
+
+    text = "x" * (3 * N.PIECE) + " y " + "z" * N.PIECE + " w"
+    start, stop = N.word_bounds(*N.string_bytes(pa.array([text])))
+    assert (stop - start).tolist() == [3 * N.PIECE, 1, N.PIECE, 1]
+    one, other = N.word_hashes(pa.array([text]))[0], N.word_hashes(pa.array(["a", "x" * (3 * N.PIECE), "y"]))[0]
+    assert one[0] == other[1] and one[1] == other[2] and len(set(one.tolist())) == 4
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
