@@ -6,17 +6,18 @@ its longest character n-grams that are known (5, 4, 3, 2, then 1 characters, wit
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, crc_mod, per_text_sum, split_tokens, widened
+from .common import bounded_slices, crc_mod, in_arrow, per_text_sum, split_tokens, widened
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters as Spark's side takes them.
+LETTERS = regex.compile(r"\p{L}+")
 LONGEST_GRAM = 5
 
 
@@ -24,8 +25,8 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1500, max_words: int = 120_000
     """Learn from (text, lang) rows of `labelled` (also doc_id, which only draws the sample).
 
     About `rows_per_lang` rows of each language are drawn by a hash of doc_id and text; this bounds the sample.
-    Rows with a null text or lang are not used. Spark counts the words and n-grams; the driver gets at most `max_words`
-    and `max_grams` rows of counts. An empty training set gives a model without languages.
+    Rows with a null text or lang are not used. Spark counts the words and n-grams; the driver gets the `max_words` and `max_grams` most frequent ones
+    with their counts (those seen once too, while there is room; ties by name). A word beyond these counts as unseen. An empty training set gives a model without languages.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -43,7 +44,7 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1500, max_words: int = 120_000
 
     def top(counts: DataFrame, limit: int):
         each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-        return counts.groupBy("gram").agg(F.sum("n").alias("total"), *each).where("total > 1").orderBy(F.desc("total"), "gram").limit(limit).drop("total").toArrow()
+        return counts.groupBy("gram").agg(F.sum("n").alias("total"), *each).orderBy(F.desc("total"), "gram").limit(limit).drop("total").toArrow()
 
     known, table = {}, []
     for kind, found in (("w", top(words, max_words)), ("g", top(grams, max_grams))):
@@ -60,32 +61,39 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1500, max_words: int = 120_000
     return {"langs": langs, "known": known, "scores": np.concatenate(table).astype(np.float32)}
 
 
+def words_in(token: str) -> list[str]:
+    """Lower-case runs of letters."""
+    low = token.lower()
+    return [low] if low.isalpha() else LETTERS.findall(low)
+
+
 class WordScores(dict):
-    """Word (lower-case letters) → row of `rows`: its score by language, then 1. Row 0 is no word."""
+    """Word (lower-case letters) → row of `rows`: its score by language, 1, and 1 if it or one of its n-grams is known. Row 0 is no word."""
 
-    def __init__(self, model: dict, limit: int = 300_000):
+    def __init__(self, model: dict, limit: int = 150_000):
         self.model, self.limit = model, limit
-        self.rows = np.zeros((1024, len(model["langs"]) + 1), dtype=np.float32)
+        self.rows = np.zeros((1024, len(model["langs"]) + 2), dtype=np.float32)
         self.used = 1
 
     def __missing__(self, word: str) -> int:
         if self.used == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used, :-1], self.rows[self.used, -1] = self.score(word), 1
+        told = self.score(word)
+        self.rows[self.used, :-2], self.rows[self.used, -2:] = (0, (1, 0)) if told is None else (told, (1, 1))
         self.used += 1
         self[word] = self.used - 1
         return self.used - 1
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, word: str) -> np.ndarray | None:
         known, scores = self.model["known"], self.model["scores"]
         if (at := known.get("w" + word)) is not None:
             return scores[at]
-        marked = f"<{word}>"
-        for k in range(min(LONGEST_GRAM, len(marked)), 0, -1):
+        for k in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
+            marked = f"<{word}>" if k > 1 else word  # a mark alone says nothing
             found = [at for i in range(len(marked) - k + 1) if (at := known.get("g" + marked[i : i + k])) is not None]
             if found:
                 return scores[found].mean(axis=0)
-        return np.zeros(len(self.model["langs"]), dtype=np.float32)
+        return None
 
     def table(self, tokens: list[str]) -> np.ndarray:
         """For each token the sum of its words' rows. Most tokens are one word with marks around it; the others are summed one by one."""
@@ -94,7 +102,7 @@ class WordScores(dict):
             self.used = 1
         at, more = np.zeros(len(tokens), dtype=np.int64), []
         for i, token in enumerate(tokens):
-            words = LETTERS.findall(token.lower())
+            words = words_in(token)
             if len(words) == 1:
                 at[i] = self[words[0]]
             elif words:
@@ -106,13 +114,13 @@ class WordScores(dict):
 
 
 def predict(docs: DataFrame, model: dict, undecided: str = "und") -> DataFrame:
-    """docs with lang_pred and score added (columns of these names are replaced).
+    """docs with lang_pred, score and evidence added (columns of these names are replaced).
 
-    score is the posterior of the predicted language under equal priors. Null texts, texts without a letter, and any
-    text when the model knows no language give `undecided` and 0. Ties go to the language that sorts first. Whole texts count.
+    score is the posterior of the predicted language under equal priors, evidence the share of words that are known or hold a known n-gram. Null texts, texts
+    without a letter, and any text when the model knows no language give `undecided`, 0 and 0. Ties go to the language that sorts first. Whole texts count.
     """
-    kept = docs.drop("lang_pred", "score")
-    schema = widened(kept.schema, "lang_pred string, score double")
+    kept = docs.drop("lang_pred", "score", "evidence")
+    schema = widened(kept.schema, "lang_pred string, score double, evidence double")
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,16 +129,17 @@ def predict(docs: DataFrame, model: dict, undecided: str = "und") -> DataFrame:
         for whole in batches:
             for batch in bounded_slices(whole, "text"):
                 codes, bounds, tokens = split_tokens(batch.column("text"))
-                sums = per_text_sum(cache.table(tokens.to_pylist())[codes] if len(codes) else np.zeros((0, len(langs) + 1)), bounds)
-                words, logs = sums[:, -1], sums[:, :-1]
-                ok = (np.rint(words) > 0) & bool(langs)
+                sums = per_text_sum(cache.table(tokens.to_pylist())[codes] if len(codes) else np.zeros((0, len(langs) + 2)), bounds)
+                words, seen, logs = np.rint(sums[:, -2]), np.rint(sums[:, -1]), sums[:, :-2]
+                ok = (words > 0) & bool(langs)
                 best = logs.argmax(axis=1) if langs else np.zeros(len(sums), dtype=int)
                 share = np.exp(logs - logs.max(axis=1, keepdims=True)) if langs else np.ones((len(sums), 1))
                 score = np.where(ok, 1 / share.sum(axis=1), 0.0)
+                evidence = np.where(ok, seen / np.maximum(words, 1), 0.0)
                 names = np.array([*langs, undecided], dtype=object)[np.where(ok, best, len(langs))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(evidence)], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
