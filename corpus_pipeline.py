@@ -13,32 +13,40 @@ from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.token_output import encode_and_read
 
 TOKENIZER = "word_bpe_49k.json"
-#: How far an expected share of tokens may be from its target weight.
-MIX_WITHIN = 0.005
+#: Share of words that must be known to the language model, or hold an n-gram that is.
+LEAST_EVIDENCE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters, null text) go; lang becomes the predicted language."""
-    told = predict(docs, fit(docs))
-    return told.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Documents without a language go: null texts, no letters, or fewer than LEAST_EVIDENCE of their words known or like known ones. lang becomes the predicted language."""
+    told = predict(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_EVIDENCE))
+    return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (runs of five words, similarity 0.8 or more) the smallest doc_id stays, one row of it. Rows without an id can't be told apart and go."""
-    groups = saved(jaccard_components(docs, size=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct(), "pipeline-kept")
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near duplicates (runs of five words, similarity 0.8 or more) one row stays: the smallest doc_id, null ids last, then by hashes of the text.
+
+    Rows with one id and different texts count as different documents. Documents without words are near no other, but of rows that are equal in id and text one stays."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit("second"), "text").alias("u"))
+    told = saved(jaccard_components(docs.select(key.alias("doc_id"), "text"), size=5, num=80, den=100).groupBy("doc_id").agg(F.first("component_id").alias("least"), F.count(F.lit(1)).alias("n")), "pipeline-groups")
+    gone = checked_broadcast(saved(told.where("doc_id <> least").select(F.col("doc_id").alias("_key")), "pipeline-gone"))
+    again = checked_broadcast(saved(told.where("doc_id = least AND n > 1").select(F.col("doc_id").alias("_key")), "pipeline-again"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_key")).join(gone, "_key", "left_anti")
+    once = rows.join(again, "_key", "left_anti").unionAll(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return once.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go. Ids are unique here, so that only they are joined back."""
-    told = decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = saved(told.where("contaminated").select("doc_id"), "pipeline-contaminated")
-    return docs.join(checked_broadcast(hit), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a window of a benchmark item go, told by hashes of their text; null texts stay."""
+    key = {"_t": F.xxhash64("text"), "_u": F.xxhash64(F.lit("second"), "text")}
+    told = decontaminate(docs.select("text").withColumns(key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = checked_broadcast(saved(told.where("contaminated").select("_t", "_u").distinct(), "pipeline-contaminated"))
+    return docs.select(F.struct(*docs.columns).alias("row"), *[x.alias(c) for c, x in key.items()]).join(hit, ["_t", "_u"], "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target weights, as many as these allow."""
-    return mix(docs, within=MIX_WITHIN).where("kept").select(*docs.columns)
+    """Documents are sampled to the target weights, as many as the scarcest texts allow."""
+    return mix(docs).where("kept").select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
