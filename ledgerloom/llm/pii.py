@@ -3,13 +3,16 @@
 Validated values (cards by their check digit, phones, social security numbers, IBANs by modulo 97, IPv4 addresses, calendar dates,
 e-mail addresses, quoted tokens) are found in the text and permuted within their format under a key: digits stay digits, letters
 stay letters, check digits stay right, dates stay dates. Equal values get equal pseudonyms in all documents; without the key they
-can't be reversed. Numbers that fail validation are left alone.
+can't be reversed. Numbers that fail validation are left alone, as are
+ten digits in a row without a mark, a country code or a group: they may be anything.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from datetime import date
 from functools import lru_cache
@@ -18,15 +21,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_slices, widened
+from .common import bounded_slices, in_arrow, widened
 
 ROUNDS = 8
 DIGITS = "0123456789"
+#: Conf key of the secret that op9_pii takes.
+KEY_CONF = "spark.ledgerloom.pii.key"
 #: Characters that stay within their class.
 CLASSES = [DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)]
 CLASS_OF = {ch: c for c in CLASSES for ch in c}
 
 
+@lru_cache(maxsize=4096)
+def class_of(ch: str) -> str | None:
+    """The characters that may stand for ch: for letters and digits beyond CLASSES those of its kind among the 128 code points around it."""
+    if ch in CLASS_OF or ch.isascii():
+        return CLASS_OF.get(ch)
+    kind, low = unicodedata.category(ch), ord(ch) & ~127
+    return "".join(chr(c) for c in range(low, low + 128) if unicodedata.category(chr(c)) == kind and chr(c) not in CLASS_OF) if kind[0] == "L" or kind == "Nd" else None
+
+
 def permuted(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
     """A keyed permutation of range(size): a balanced Feistel network, walked until the value is in range again."""
     if size < 2:
@@ -35,8 +49,9 @@ def permuted(value: int, size: int, key: bytes, tweak: str, back: bool = False)
     mask = (1 << half) - 1
 
     def f(k: int, x: int) -> int:
-        told = f"{tweak}|{size}|{k}|{x}".encode()
-        return int.from_bytes(hashlib.blake2b(told, key=key, digest_size=(half + 7) // 8 if half <= 512 else 64).digest(), "big") & mask
+        told = f"{tweak}|{size:x}|{k}|{x:x}|".encode()
+        blocks = [hashlib.blake2b(told + str(n).encode(), key=key).digest() for n in range(-(-half // 512))]
+        return int.from_bytes(b"".join(blocks), "big") & mask
 
     while True:
         left, right = value >> half, value & mask
@@ -48,8 +63,8 @@ def permuted(value: int, size: int, key: bytes, tweak: str, back: bool = False)
 
 
 def permuted_text(text: str, key: bytes, tweak: str, back: bool = False) -> str:
-    """Characters of CLASSES permuted within their classes; others stay."""
-    classes = [CLASS_OF.get(ch) for ch in text]
+    """Letters and digits permuted within their classes; other characters stay."""
+    classes = [class_of(ch) for ch in text]
     value, size = 0, 1
     for ch, own in zip(text, classes, strict=True):
         if own:
@@ -161,19 +176,19 @@ def secret(found: str, key: bytes, back: bool) -> str:
 
 KINDS = {"email": email, "secret": secret, "iban": iban, "date": calendar, "ip": address, "social": social, "phone": phone, "card": card}
 PATTERN = re.compile(
-    r"(?P<email>[\w.%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w@]))"
+    r"(?<![\w.%+-])(?P<email>[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w@]))"
     r"""|(?<=["'])(?P<secret>[0-9a-f]{20,128}|[0-9A-F]{20,128})(?=["'])"""
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![0-9./-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
     r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])"
     r"|(?<![0-9-])(?P<social>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])"
-    r"|(?<![0-9])(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9]|-[0-9])"
-    r"|(?<![0-9])(?P<card>[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})(?![0-9])"
+    r"|(?<![0-9])(?P<phone>\+[0-9]{11,13}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9]|-[0-9])"
+    r"|(?<![0-9])(?P<card>[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])"
 )
 
 
 def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with its values replaced, and how many of each kind; back=True restores the original."""
+    """The text with its values replaced, and how many of each kind have changed; back=True restores the original."""
     counts: dict[str, int] = {}
 
     @lru_cache(maxsize=4096)
@@ -182,7 +197,7 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, dict[
 
     def put(m: re.Match) -> str:
         changed = new(m.lastgroup, m[0])
-        if changed is None:
+        if changed is None or changed == m[0]:  # nothing to permute, or the rare value that stands for itself
             return m[0]
         counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
         return changed
@@ -216,9 +231,11 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
                 columns[at] = pc.replace_with_mask(texts, may, pa.array(changed, texts.type)) if pick else texts
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], [*batch.schema.names, "n_values", "kinds"])
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, n_values, kinds. The key is read from KEY_CONF; where that is unset, a new one is drawn, which makes the pseudonyms final."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, b"replace this key")
+    key = spark.conf.get(KEY_CONF, None)
+    return pseudonymise(docs, key.encode() if key else os.urandom(32))

@@ -14,16 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, crc_mod, mixed, per_text_sum, split_tokens, string_bytes, widened
+from .common import bounded_slices, crc_mod, in_arrow, mixed, per_text_sum, split_tokens, string_bytes, widened
 
 BUCKETS, GRAMS = 1 << 16, (2, 3, 4)
 REPEATED = BUCKETS  # the feature of a repeated word
-BEGIN, END = np.uint8(2), np.uint8(3)
+BEGIN, END = 2, 3
+
+
+def characters(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all strings, each as the number that its UTF-8 bytes make, and where each string's begin (one more than strings)."""
+    raw, at = string_bytes(tokens)
+    start = np.flatnonzero((raw & 0xC0) != 0x80)
+    size = np.diff(np.append(start, len(raw)))
+    out = raw[start].astype(np.uint64)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        out[more] |= raw[start[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return out, np.searchsorted(start, at)
 
 
 def token_features(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of every token: buckets, and where each token's features begin (one more than tokens)."""
-    raw, at = string_bytes(tokens)
+    chars, at = characters(tokens)
     n = len(tokens)
     length = np.diff(at) + 2
     begin = np.concatenate([[0], np.cumsum(length)])
@@ -31,11 +43,11 @@ def token_features(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inner = np.ones(begin[-1], dtype=bool)
     inner[begin[:-1]] = inner[begin[1:] - 1] = False
     data[begin[:-1]], data[begin[1:] - 1] = BEGIN, END
-    data[inner] = raw
+    data[inner] = chars
     data = mixed(data + np.uint64(1))
     owner = np.repeat(np.arange(n), length)
-    left = np.repeat(begin[1:], length) - np.arange(begin[-1])  # bytes from here to the token's end
-    # the whole word: a polynomial hash of its bytes
+    left = np.repeat(begin[1:], length) - np.arange(begin[-1])  # characters from here to the token's end
+    # the whole word: a sum over its characters by place
     power = np.uint64(0x9E3779B97F4A7C15)
     place = (np.arange(begin[-1]) - np.repeat(begin[:-1], length)).astype(np.uint64)
     whole = np.add.reduceat(data * mixed(place + power), begin[:-1]) if n else np.zeros(0, dtype=np.uint64)
@@ -103,13 +115,14 @@ def train(texts: list[str | None], labels: list[int], dim: int = 12, epochs: int
     return {"effect": (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64), "bias": float(bias[1] - bias[0])}
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, **settings) -> dict:
-    """Train on at most `most_rows` labelled rows, the first in the order of a hash of doc_id; null labels and texts are left out.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_chars: int = 200_000, **settings) -> dict:
+    """Train on at most `most_rows` labelled rows, the first in the order of a hash of doc_id; null labels, ids and texts and texts of over `most_chars` characters are left out.
 
-    Of repeated labels of a doc_id the lowest counts. Only the sample's texts come to the driver."""
+    Of repeated labels of a doc_id the lowest counts, of its texts the first in order. Only the sample's texts come to the driver."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # bounded by the parameter
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").limit(2 * most_rows).collect()
+    fitting = docs.where(F.length("text") <= most_chars).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = fitting.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [int(r["quality"] > 0) for r in rows], **settings)
 
@@ -136,7 +149,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 logit = bias + np.divide(total, n, out=np.zeros_like(total), where=n > 0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -50, 50))))], [*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def held_out():
@@ -144,6 +157,7 @@ def held_out():
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document; labels of held-out rows are not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
     scored = score(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")

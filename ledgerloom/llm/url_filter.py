@@ -45,8 +45,9 @@ def longest_rule(host, path, rules):
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
-    """pages with host, path, rule and by_rule."""
-    plain = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    """(row: pages' columns without html, html, host, path, rule, by_rule)."""
+    row = F.struct(*[c for c in pages.columns if c != "html"]).alias("row")
+    plain = pages.select(row, "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     return plain.withColumns({"rule": name, "by_rule": verdict})
 
@@ -83,13 +84,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
 
 def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of pages without html, with host, path, rule and verdict; columns of these names are replaced.
+    """Every row of pages without html, with host, path, rule and verdict; columns of these names are replaced, others stay, whatever their names.
 
     A rule decides where one fits. Otherwise the host's scores do: a host's trust seed is the share of its pages that rules
     allow, its distrust seed the share that they block. Null, empty or unseen hosts are allowed. Empty tables and
     pages without html work; repeated rows each give a row.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "by_rule")
+    pages = pages.drop("host", "path", "rule", "verdict")
     known = judged(pages, rules)
     hosts = known.where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("by_rule") == "allow", 1.0).otherwise(0.0)).alias("t"), F.avg(F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0)).alias("d"))
     seeds = saved(hosts.selectExpr("stack(2, 't', host, t, 'd', host, d) AS (kind, host, seed)").where("seed > 0"), "url-seeds")
@@ -97,10 +98,11 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
     scores = propagate(edges, seeds, damping, rounds).groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("score")).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("kind") == "d", F.col("score")).otherwise(0.0)).alias("d"))
     blocked = saved(scores.where(f"round(d, 9) >= {threshold}D AND round(d, 9) > round(t, 9)").select("host", F.lit("block").alias("by_host")), "url-blocked")
     out = known.drop("html").join(checked_broadcast(blocked), "host", "left")
-    return out.withColumn("verdict", F.coalesce("by_rule", "by_host", F.lit("allow"))).drop("by_rule", "by_host")
+    return out.select("row.*", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of each page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 

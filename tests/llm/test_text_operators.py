@@ -1,9 +1,12 @@
 """op4, op8 and op9: held-out accuracy, edge rows and exact inverses."""
 
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
+import regex
 
 from ledgerloom.llm import language_id, pii, quality
 
@@ -42,6 +45,78 @@ def test_unseen_words_fall_back(spark):
     assert [r.lang_pred for r in got] == ["en", "de"]
 
 
+def test_texts_without_a_letter(spark):
+    """Numerals and marks that regular expressions count as word characters are no letters."""
+    train = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("the of and to the of", "en"), ("der die und der das", "de")] * 5)], "doc_id bigint, text string, lang string")
+    texts = ["½ ¾", "² ³", "①②", "Ⅷ", "_ __ 12", "の", "ª", "the½"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), language_id.fit(train)).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in got] == [not regex.search(r"\p{L}", t) for t in texts]
+
+
+def plain_language(text, model):
+    """Words one by one: known words, else the longest known n-grams."""
+    langs, known, scores = model["langs"], model["known"], model["scores"].astype(float)
+    total, words = np.zeros(len(langs)), regex.findall(r"\p{L}+", (text or "").lower())
+    for w in words:
+        if "w" + w in known:
+            total += scores[known["w" + w]]
+            continue
+        for k in (5, 4, 3, 2, 1):
+            marked = f"<{w}>" if k > 1 else w
+            found = [scores[known["g" + marked[i : i + k]]] for i in range(len(marked) - k + 1) if "g" + marked[i : i + k] in known]
+            if found:
+                total += np.mean(found, axis=0)
+                break
+    if not words:
+        return "und", 0.0
+    return langs[int(np.argmax(total))], 1 / np.exp(total - total.max()).sum()
+
+
+def test_language_equals_a_plain_backoff(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where("doc_id % 3 = 0"), rows_per_lang=60, max_words=300, max_grams=2000)
+    got = language_id.predict(docs, model).collect()
+    assert len(got) > 900
+    for r in got[:400]:
+        lang, score = plain_language(r.text, model)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3, r.doc_id
+
+
+def plain_quality(text, model):
+    """The score of one text, feature by feature, in whole numbers."""
+    mask, power = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x &= mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    words, found = regex.findall(r"[^\x20\x09-\x0D]+", text or ""), []
+    for k, w in enumerate(words):
+        chars = [mix(c + 1) for c in (2, *[int.from_bytes(ch.encode(), "little") for ch in w], 3)]
+        found.append(mix(sum(c * mix(i + power) for i, c in enumerate(chars))) % quality.BUCKETS)
+        for n in quality.GRAMS:
+            for i in range(len(chars) - n + 1):
+                key = 0
+                for c in chars[i : i + n]:
+                    key = (key + c) * power & mask
+                found.append(mix(key + n) % quality.BUCKETS)
+        if k and w == words[k - 1]:
+            found += [quality.REPEATED] * 4
+    logit = model["bias"] + (sum(model["effect"][b] for b in found) / len(found) if found else 0)
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_quality_equals_plain_features(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"), most_rows=200)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["é é été", "日本 a a a", "", None, "x" * 300]
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    for r in got:
+        assert abs(r.score - plain_quality(r.text, model)) < 1e-9, r.doc_id
+
+
 def test_quality_accuracy(spark):
     out = quality.op4_quality(spark, DATA).toPandas()
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
@@ -86,6 +161,20 @@ def test_pii_keeps_formats_and_comes_back():
         assert set(more) == set(counts) and len(new.split()) == len(text.split())
 
 
+@pytest.mark.parametrize("text", ["иван.петров@mail.ru", "ŁukaszŻ@x.pl", "ελένη@x.gr", "田中@x.jp", "a" * 300 + "@x.com", "378282 246310005".replace("378282 246310005", "3782 822463 10005"), "+491711234567", "٣٤٥@x.eg"])
+def test_pii_of_all_alphabets(text):
+    new, counts = pii.pseudonymised(f"to {text} now", b"key")
+    assert sum(counts.values()) == 1 and pii.pseudonymised(new, b"key", back=True)[0] == f"to {text} now"
+    name, old = new[3:-4].rpartition("@")[0] or new[3:-4], text.rpartition("@")[0] or text
+    assert len(name) == len(old) and all(a.isalpha() == b.isalpha() and a.isdigit() == b.isdigit() and a.isupper() == b.isupper() for a, b in zip(name, old, strict=True))
+    assert sum(a != b for a, b in zip(name, old, strict=True)) >= len(old) / 3
+
+
+def test_pii_counts_only_changes():
+    assert pii.pseudonymised("__@x.com", b"k") == ("__@x.com", {})
+    assert pii.pseudonymised("w" * 300_000, b"k") == ("w" * 300_000, {})  # in linear time
+
+
 def test_pii_leaves_other_numbers():
     text = "1234567890123456 999.1.1.1 2024-13-45 000-12-3456 666-12-3456 7.7.7 v1.2 0000000000000000 a@b"
     assert pii.pseudonymised(text, b"k") == (text, {})
@@ -104,8 +193,10 @@ def test_equal_values_stay_linked(spark):
 
 def test_query_equals_plain_calls(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    spark.conf.set(pii.KEY_CONF, "some key")
     out = pii.op9_pii(spark, DATA).collect()
+    spark.conf.unset(pii.KEY_CONF)
     assert len(out) == len(docs)
     for r in out:
-        new, counts = pii.pseudonymised(docs[r.doc_id], b"replace this key")
+        new, counts = pii.pseudonymised(docs[r.doc_id], b"some key")
         assert (r.text, r.n_values, r.kinds) == (new, sum(counts.values()), ",".join(sorted(counts)))
