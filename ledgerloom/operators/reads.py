@@ -63,6 +63,13 @@ def with_total(shown: DataFrame, rows: DataFrame) -> DataFrame:
     return shown.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("count"))))  # one row
 
 
+def page_json(shown: DataFrame, name: str, order: str) -> DataFrame:
+    """One row, json: a page (with_total's columns) as the object that an endpoint answers with, {name: [rows by `order`], "count": total}; nulls are written. An empty page has no rows and counts 0."""
+    fields = [c for c in shown.columns if c not in (order, "count")]
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(order, *fields))), lambda x: F.struct(*[x[c].alias(c) for c in shown.columns if c != "count"]))  # a page's rows
+    return shown.agg(F.to_json(F.struct(rows.alias(name), F.coalesce(F.max("count"), F.lit(0)).alias("count")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def filled(transfers: DataFrame, amounts: DataFrame) -> DataFrame:
     """A few transfers (a page, looked-up rows) with missing amounts filled from known values other than 0; amounts are read once, against the few ids."""
     ids = transfers.where(missing_amount(transfers) & F.col("txn_id").isNotNull() & (F.col("txn_id") != "")).select("txn_id").distinct()

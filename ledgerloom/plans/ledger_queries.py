@@ -273,6 +273,12 @@ def sc_block_page(spark, sf_dir):
     return R.with_total(R.page_of(rows, ["block_id"], 2, 25), rows)
 
 
+@query(f"""{BLOCK_VIEWS}, {LINKS_SQL}, {SC_SQL}, page AS (SELECT * FROM sc ORDER BY block_id LIMIT 25 OFFSET 25)
+SELECT '{{"SC_Blocks":[' || string_agg('{{"block_id":"' || block_id || '","executor_did":' || coalesce('"' || executor_did || '"', 'null') || ',"block_height":' || block_height || ',"owner_did":"' || owner_did || '"}}', ',' ORDER BY block_id) || '],"count":' || (SELECT count(*) FROM sc) || '}}' AS json FROM page""")
+def sc_block_page_json(spark, sf_dir):
+    return R.page_json(sc_block_page(spark, sf_dir).select("block_id", "executor_did", "block_height", "owner_did", "count"), "SC_Blocks", "block_id")
+
+
 @query(f"{BLOCK_VIEWS} SELECT block_hash, {BURN_EPOCH_SQL} AS epoch FROM fx_block WHERE num % 3 > 0 UNION ALL SELECT block_hash, NULL FROM fx_block WHERE num % 3 = 0")
 def burnt_epoch(spark, sf_dir):
     """Every third comment has no valid time."""
