@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ledgerloom.llm import suffix_dedup as S
 from ledgerloom.llm import token_output as T
-from ledgerloom.llm.common import new_folder, split_tokens
+from ledgerloom.llm.common import new_folder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DATA = "/root/testdata/sf0.001"
@@ -47,17 +47,27 @@ def repeats(rng):
     return rows
 
 
-@pytest.mark.parametrize(("most", "block"), [(200_000, S.BLOCK_BYTES), (3, 2000)])
+@pytest.mark.parametrize(("most", "block"), [(4 << 20, S.BLOCK_BYTES), (400, 2000)])
 def test_suffix_dedup(spark, most, block):
     """The second case takes the way for hot buckets, and many small blocks."""
     rows = repeats(random.Random(1))
     shuffled = list(rows)
     random.Random(2).shuffle(shuffled)
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in shuffled], "doc_id bigint, text string, tid string, n_bytes int").repartition(3)
-    got = sorted(map(tuple, S.deduplicate_spans(docs, most_contexts=most, block_bytes=block).collect()))
+    got = sorted(map(tuple, S.deduplicate_spans(docs, most_bytes=most, block_bytes=block).collect()))
     assert got == plain_spans(rows)
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    """A megabyte of one character, and of ruled lines (their period is over a window): no more runs than ordinary text has, and nothing but the first strings stays."""
+    texts = ["x" * 1_000_000, ("-" * 79 + "\n") * 12_000, "y" * 150 + "x" * 400]
+    runs = [sum(len(r[0]) for r in S.text_runs(pa.array([t]), 100)) for t in texts]
+    assert runs[0] < 1000 and runs[1] < len(texts[1]) / 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.deduplicate_spans(docs).collect()}
+    assert got == {0: (999_999, 1), 1: (960_000 - 80, 1), 2: (549, 1)}
+
+
 def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
     text = "some long text " * 10
     docs = spark.createDataFrame([(1, text), (1, text), (None, text + "z"), (2, "short")], "doc_id bigint, text string")
@@ -97,12 +107,20 @@ def test_words_equal_whole_texts():
     js = open(PATH, encoding="utf-8").read()
     words, plain, rng = T.WordIds(js), Tokenizer.from_str(js), random.Random(1)
     letters = "abcXYZéÉßÿÞñöÜ.,!*&%$#|-_'’09 \t\n\x0b\x0c\x85 ́<|>endoftext"
-    for _ in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 15)))
-        codes, _, tokens = split_tokens(pa.array([text]))
-        at = words.places(tokens.to_pylist())
-        got = [i for c in codes for i in words.flat[words.start[at[c]] : words.start[at[c]] + words.size[at[c]]].tolist()]
-        assert got == plain.encode(text, add_special_tokens=False).ids, text
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 15))) for _ in range(3000)] + ["of<|endoftext|>.", "<|ENDOFTEXT|> A,b", "a.Σ", "e\u0301.", "x=\u0338"]
+    for at in range(0, len(texts), 5):
+        part = texts[at : at + 5]
+        ids, ends = words.of_texts(pa.array([*part, None, ""]))
+        got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert got == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in part] + [[1], [1]], part
+
+
+def test_words_are_forgotten_and_found_again():
+    words, plain = T.WordIds(open(PATH, encoding="utf-8").read(), limit=20), Tokenizer.from_file(PATH)
+    for k in range(0, 200, 7):
+        text = " ".join(f"word{chr(97 + (k + i) % 26)}{chr(97 + i)}" for i in range(15))
+        assert words.of_texts(pa.array([text]))[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+        assert len(words.words) < 60
 
 
 EDGES = [(7, None), (3, ""), (9, "the of <|endoftext|>"), (4, "Été, DU ***"), (4, "Été, DU ***"), (1, "x" * 50_000), (2, "a " * 300_000), (None, "b")]
@@ -159,6 +177,7 @@ def test_pipeline_stages(spark):
 
             told = plain_components([(r.doc_id, r.text) for r in before.collect()], 5, 80, 100)
             assert kept == {d for d, _, c in told if d == c}
+            assert docs.count() == len(kept)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     plain = Tokenizer.from_file(PATH)
     text = {r.doc_id: r.text for r in docs.collect()}
@@ -171,5 +190,10 @@ def test_pipeline_on_edge_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, None), (None, "x")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids"]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (2, "other words of an equal id"), (2, "other words of an equal id"), (None, "no id here at all then"), (None, "no id and another text now"), (None, "a b c d e f")], "doc_id bigint, text string")
+    kept = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == [(1, "a b c d e f"), (2, "other words of an equal id"), (None, "no id and another text now"), (None, "no id here at all then")]
+    train = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("the of and to", "en"), ("der die und das", "de")] * 9)] + [(50, "щфы жзц юэя", None), (51, "the of", None)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, train, "").collect()} == set(range(18)) | {51}
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
