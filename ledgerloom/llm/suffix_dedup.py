@@ -36,6 +36,8 @@ STEPS = DISTANCE.tolist()
 BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
 #: The low bits of a gram hash that give way to its place in a piece.
 PLACE = np.uint64(PIECE - 1)
+#: Keys of so many texts are broadcast to leave other texts out before a shuffle.
+FEW = 200_000
 #: Two 64-bit hashes of a text, together its identity.
 TEXT = ("t", "u")
 
@@ -64,7 +66,7 @@ def anchored(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):  # a string ends in its own text
         end = max(a, b - length + 1)
         full[end:b] = False
-        new[min(a, m - 1)] = new[min(end, m - 1)] = True
+        new[a : a + 1] = new[end : end + 1] = True
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, m))
     begin, count = begin[full[begin]], count[full[begin]]
@@ -365,7 +367,10 @@ def deduplicate_spans(docs: DataFrame, length: int = 100, most_bytes: int = 4 <<
 
     def with_texts(told: DataFrame) -> DataFrame:
         """told's rows with their texts, each read from a row of the text's first id."""
-        texts = long.join(checked_broadcast(told.select(*TEXT)), [*TEXT], "left_semi").withColumnsRenamed({"t": "_t", "u": "_u"})
+        texts = long
+        if told.limit(FEW + 1).count() <= FEW:  # else the join below shuffles all texts, once
+            texts = texts.join(F.broadcast(told.select(*TEXT)), [*TEXT], "left_semi")
+        texts = texts.withColumnsRenamed({"t": "_t", "u": "_u"})
         return texts.join(told, (F.col("_t") == F.col("t")) & (F.col("_u") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("id")))
 
     one = with_texts(per_text)
@@ -386,4 +391,5 @@ def deduplicate_spans(docs: DataFrame, length: int = 100, most_bytes: int = 4 <<
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, for repeated strings of 100 bytes."""
     return deduplicate_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
