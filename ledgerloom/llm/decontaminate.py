@@ -2,9 +2,10 @@
 
 An item's windows are its runs of `window` words (an item of fewer words is one window). A document holds a window only
 if it holds all of the window's shingles of `shingle` words, so one necessary shingle is enough to find candidates: the
-prefix of a window is its rarest shingle, with rarity counted over all documents. Candidates are bounded by position (the
-shingle's place in the window must fit its place in the document) and by the document's length, and are verified word by
-word over the item-sized window.
+prefix of a window is its rarest shingle, with rarity counted over all documents. One pass over the texts finds every place of the
+items' shingles; rows there are a text's hash, a place and a key, never its words, so that the work is linear in a text's length.
+Candidates are bounded by position (the shingle's place in the window must fit its place in the document) and by the document's length.
+Texts with candidates are read again and verified word by word over the item-sized windows, once for each text.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import checked_broadcast, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words counted in the text as it is.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
@@ -40,62 +43,65 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     return cut.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("win"))
 
 
-def prefixes(tokens: DataFrame, wins: DataFrame, shingle: int, sizes: list[int], few: bool) -> DataFrame:
-    """(key, offset, win, len, items): each window's rarest shingle. A window with a shingle that no document holds is left out."""
+def shingles_of(wins: DataFrame, shingle: int, sizes: list[int]) -> DataFrame:
+    """(win, len, items, offset, key) for each shingle of each window."""
     parts = [wins.where(F.least("len", F.lit(shingle)) == s).select("*", F.posexplode(shingle_keys(F.col("win"), F.col("len"), s)).alias("offset", "key")) for s in sizes]
-    needed = saved(reduce(DataFrame.unionAll, parts), "decontaminate-shingles")
-    distinct = needed.select("key").distinct()
-    keys = F.concat(*[shingle_keys(F.col("_w"), F.col("_n"), s) for s in sizes])
-    counts = tokens.select(F.explode(keys).alias("key")).join(F.broadcast(distinct) if few else distinct, "key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    return saved(reduce(DataFrame.unionAll, parts), "decontaminate-shingles")
+
+
+def prefixes(needed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, offset, win, len, items): each window's rarest shingle. A window with a shingle that no document holds is left out."""
     ranked = needed.join(counts, "key", "left").withColumn("missing", F.max(F.col("df").isNull()).over(Window.partitionBy("win")))
     order = Window.partitionBy("win").orderBy("df", "key", "offset")
     return ranked.where("NOT missing").withColumn("k", F.row_number().over(order)).where("k = 1").select("key", "offset", "win", "len", "items")
 
 
+def covered(found):
+    """Words inside the runs (at, len) of an array that is sorted by at."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+    step = lambda x, c: F.struct((x["n"] + F.greatest(F.lit(0), c["at"] + c["len"] - F.greatest(c["at"], x["reach"]))).alias("n"), F.greatest(x["reach"], c["at"] + c["len"]).alias("reach"))
+    return F.aggregate(found, start, step, lambda x: x["n"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, most_windows: int = 100_000) -> DataFrame:
     """docs' rows without text, with n_words, n_hit, n_items, items_sha256 and contaminated added.
 
     n_hit counts the words inside any occurrence of a window; n_items the items with an occurring window; items_sha256 is the
     digest of their ids, sorted as strings and comma-joined. Null or wordless texts have 0 words and no hits; null or
-    wordless items have no windows. Every row, repeated ones too, gives a row; columns of the added names are replaced.
-    Up to `most_windows` different windows, prefixes are broadcast and candidates verified inside the scan; beyond that
-    prefixes are joined by a shuffle and candidates verified after a join by row. The result is the same.
+    wordless items have no windows, and items without an id are left out. Every row, repeated ones too, gives a row; equal texts are verified
+    once. Columns of the added names are replaced; others, whatever their names, stay. Empty tables work. Texts are told apart by two 64-bit hashes.
+    Up to `most_windows` different windows, keys are broadcast; beyond that they are joined by a shuffle. The result is the same.
     """
     docs = docs.drop(*ADDED)
-    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    texts = docs.select(row, F.coalesce("text", F.lit("")).alias("text")).withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit("second"), F.col("text"))})
     wins = saved(windows_of(benchmark, window), "decontaminate-windows")
-    few = wins.limit(most_windows + 1).count() <= most_windows
+    small = F.broadcast if wins.limit(most_windows + 1).count() <= most_windows else lambda df: df
     sizes = [r["s"] for r in wins.select(F.least("len", F.lit(shingle)).alias("s")).distinct().orderBy("s").collect()] or [shingle]  # at most `shingle` values
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*others).alias("_row"), words_of(F.col("text")).alias("_w")).withColumn("_n", F.size("_w"))
-    if not few or len(sizes) > 1:
-        rows = saved(rows, "decontaminate-rows")  # row ids must be the same in every pass
-    prefix = saved(prefixes(rows.select("_w", "_n"), wins, shingle, sizes, few), "decontaminate-prefix")
-
-    # key null stands for the row itself, so that one pass gives a row for each document as well as its hits
-    itself = prefix.limit(0).unionAll(prefix.sparkSession.range(1).select(F.lit(0).cast("bigint"), F.lit(0), F.array().cast("array<string>"), F.lit(0), F.array().cast("array<string>")))
-    fits = "_pos >= offset AND _pos - offset + len <= _n"
-    parts = []
-    for k, s in enumerate(sizes):
-        own = prefix.where(F.least("len", F.lit(shingle)) == s)
-        keys = shingle_keys(F.col("_w"), F.col("_n"), s)
-        if k == 0:
-            own, keys = own.unionAll(itself), F.concat(keys, F.array(F.lit(0).cast("bigint")))
-        if few:
-            hits = rows.select("_rid", "_row", "_n", "_w", F.posexplode(keys).alias("_pos", "key")).join(F.broadcast(own), "key")
-            hits = hits.where(f"len = 0 OR ({fits} AND slice(_w, _pos - offset + 1, len) = win)")
-        else:
-            hits = rows.select("_rid", "_n", F.posexplode(keys).alias("_pos", "key")).join(own, "key").where(f"len = 0 OR ({fits})")
-            hits = hits.drop("_n").join(rows, "_rid").where("len = 0 OR slice(_w, _pos - offset + 1, len) = win")
-        parts.append(hits.select("_rid", F.when(F.col("len") == 0, F.col("_row")).alias("_row"), "_n", (F.col("_pos") - F.col("offset")).alias("_at"), F.when(F.col("len") == 0, -1).otherwise(F.col("_pos") - F.col("offset") + F.col("len")).alias("_to"), "items"))
-    hits = reduce(DataFrame.unionAll, parts)
-    before = F.max("_to").over(Window.partitionBy("_rid").orderBy("_at", "_to").rowsBetween(Window.unboundedPreceding, -1))
-    covered = F.greatest(F.lit(0), F.col("_to") - F.greatest("_at", F.coalesce(before, F.lit(0))))
-    each = hits.withColumn("_new", covered).groupBy("_rid").agg(
-        F.first("_row", ignorenulls=True).alias("_row"), F.max("_n").cast("bigint").alias("n_words"), F.sum("_new").cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
-    return each.select("_row.*", "n_words", "n_hit", F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    needed = shingles_of(wins, shingle, sizes)
+    keys = small(needed.select("key").distinct())
+    words = texts.select("t", "u", words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    places = [words.select("t", "u", "n", F.posexplode(shingle_keys(F.col("w"), F.col("n"), s)).alias("pos", "key")).join(keys, "key", "left_semi") for s in sizes]
+    places = saved(reduce(DataFrame.unionAll, places), "decontaminate-places")
+    prefix = saved(prefixes(needed, places.groupBy("key").agg(F.count(F.lit(1)).alias("df"))), "decontaminate-prefix")
+
+    fits = places.join(small(prefix), "key").where("pos >= offset AND pos - offset + len <= n")
+    fits = fits.select("t", "u", (F.col("pos") - F.col("offset")).alias("at"), "len", "win", "items").distinct()  # equal texts have equal candidates
+    fits = saved(fits.groupBy("t", "u").agg(F.sort_array(F.collect_list(F.struct("at", "len", "win", "items"))).alias("fits")), "decontaminate-candidates")
+    read = texts.select("t", "u", "text").join(checked_broadcast(fits.select("t", "u")), ["t", "u"], "left_semi").join(fits, ["t", "u"])
+    read = read.select("t", "u", "fits", F.explode(F.array(words_of(F.col("text")))).alias("w"))  # split once, not for each candidate
+    found = read.select("t", "u", F.filter("fits", lambda c: F.slice(F.col("w"), c["at"] + 1, c["len"]) == c["win"]).alias("found")).where("size(found) > 0")
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
+    told = found.select("t", "u", covered(F.col("found")).cast("bigint").alias("n_hit"), items.alias("items")).dropDuplicates(["t", "u"])
+    told = saved(told.select("t", "u", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "decontaminate-found")
+
+    rows = texts.select("row", "t", "u", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words")).join(checked_broadcast(told), ["t", "u"], "left")
+    hits = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    return rows.select("row.*", "n_words", hits.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document, for windows of ten words of the benchmark."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -103,6 +103,7 @@ def deduplicate(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of each document."""
     return deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
