@@ -9,6 +9,7 @@ from .jaccard_join import op1_jaccard_join
 from .language_id import op8_language_id
 from .pii import op9_pii
 from .quality import op4_quality
+from .spelling import OP11_SQL, op11_spelling_variants
 from .suffix_dedup import op5_suffix_dedup
 from .token_output import op7_token_output
 from .url_filter import OP3_SQL, op3_url_filter
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
