@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,6 +66,12 @@ def crc_mod(col: str, m: int):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % m, F.lit(0).cast("bigint"))
 
 
+def text_names(text: Column) -> dict[str, Column]:
+    """t and u: 128 bits of the text's sha256, as two numbers; null for a null text."""
+    told = F.sha2(text.cast("binary"), 256)
+    return {c: F.conv(F.substring(told, at, 16), 16, -10).cast("bigint") for c, at in (("t", 1), ("u", 17))}
+
+
 def bounded_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have at most about max_bytes together; one longer text is a part of its own."""
     if batch.num_rows == 0:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, saved
+from .common import checked_broadcast, saved, text_names
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,7 +74,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     """
     docs = docs.drop(*ADDED)
     row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
-    texts = docs.select(row, F.coalesce("text", F.lit("")).alias("text")).withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit("second"), F.col("text"))})
+    texts = docs.select(row, F.coalesce("text", F.lit("")).alias("text")).withColumns(text_names(F.col("text")))
     wins = saved(windows_of(benchmark, window), "decontaminate-windows")
     small = F.broadcast if wins.limit(most_windows + 1).count() <= most_windows else lambda df: df
     sizes = [r["s"] for r in wins.select(F.least("len", F.lit(shingle)).alias("s")).distinct().orderBy("s").collect()] or [shingle]  # at most `shingle` values

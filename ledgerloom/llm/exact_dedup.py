@@ -8,6 +8,8 @@ the rare digest that covers different texts is split by the texts themselves.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,17 @@ def stream_state(spark: SparkSession, stream: DataFrame, id_col: str = "doc_id",
     return last.select("digest", "last.keeper", "last.rows")
 
 
+def literal(path: str) -> str:
+    """The path with no slash at its end, its marks of patterns escaped."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path.rstrip("/") or "/")
+
+
+def pattern(path: str) -> str:
+    """A pattern that only this (escaped) path meets: a stream reads patterns of files as well as of folders. Its last letter or digit becomes a class of one."""
+    head, slash, name = path.rpartition("/")
+    return head + slash + re.sub(r"([0-9A-Za-z])([^0-9A-Za-z]*)\Z", r"[\1]\2", name)
+
+
 def deduplicate(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000) -> DataFrame:
     """Every row of the Parquet table at `path`: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -73,8 +86,9 @@ def deduplicate(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     first by file and row number stays, so exactly one row of a group has kept = true. A null id loses against any other.
     Only the two named columns are read. An empty table gives an empty result.
     """
+    path = literal(path)
     table = spark.read.parquet(path)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name one file as well as a folder
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern(path))
     state = saved(stream_state(spark, stream, id_col, text_col), "exact-dedup-state")
 
     # full bytes of all hits: equal texts are combined before the shuffle

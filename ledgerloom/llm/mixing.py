@@ -29,7 +29,7 @@ SIGNALS = [
 LEAST, REST = 2, "prose"
 TOPICS = list(dict.fromkeys(t for t, _, _ in SIGNALS))
 #: Shares of tokens; values that are not named share the rest in proportion to their tokens. Sources: no named value means that all get equal shares.
-TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15}, "topic": {"prose": 0.5, "symbols": 0.1}}
+TARGETS = {"lang": {"en": 0.6, "de": 0.15, "fr": 0.15}, "topic": {"prose": 0.85}}
 ROUNDS, KEEP, CUT, SEED = 8, 0.8, 0.005, "mix"
 #: Scales fall by this root of 2.
 STEPS = 16

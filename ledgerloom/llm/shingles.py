@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ BYTE = mixed(np.arange(1, 257, dtype=np.uint64))  # a 64-bit value for each byte
 BYTE[65:91] = BYTE[97:123]  # A-Z as a-z
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Words of more bytes are named by a digest: sums modulo 2**64 are equal for some long words of two letters, whatever the factors.
+LONG = 16
 #: Bytes that are hashed at once: the 64-bit values of a piece are all that is held beside the text.
 PIECE = 1 << 17
 
@@ -63,15 +67,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             sums = np.zeros(len(part) + 1, dtype=np.uint64)
             np.cumsum(BYTE[part] * UP[: len(part)], out=sums[1:], dtype=np.uint64)
             hashes[i:j] = (sums[stop[i:j] - base] - sums[start[i:j] - base]) * DOWN[start[i:j] - base]
-        else:  # one word that is longer than a piece
-            total, factor = 0, 1
-            for low in range(base, stop[i], PIECE):
-                part = raw[low : min(low + PIECE, stop[i])]
-                total += factor * int((BYTE[part] * UP[: len(part)]).sum(dtype=np.uint64))
-                factor = factor * int(UP[PIECE]) & 0xFFFFFFFFFFFFFFFF
-            hashes[i] = np.uint64(total & 0xFFFFFFFFFFFFFFFF)
         i = j
-    return mixed(hashes + (stop - start).astype(np.uint64)), np.searchsorted(start, at)
+    hashes = mixed(hashes + (stop - start).astype(np.uint64))
+    long = np.flatnonzero(stop - start > LONG)
+    for i, a, b in zip(long.tolist(), start[long].tolist(), stop[long].tolist(), strict=True):
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[a:b].tobytes().lower(), digest_size=8).digest(), "little")
+    return hashes, np.searchsorted(start, at)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, checked_broadcast, in_arrow, mixed, ranges, saved, string_bytes
+from .common import bounded_slices, checked_broadcast, in_arrow, mixed, ranges, saved, string_bytes, text_names
 from .shingles import DOWN, PIECE, STEP, UP
 
 GRAM, RUN, BLOCK_BYTES = 32, 1024, 2 << 20
@@ -347,7 +347,7 @@ def deduplicate_spans(docs: DataFrame, length: int = 100, most_bytes: int = 4 <<
     are UTF-8; null counts as empty, texts under `length` bytes lose nothing, and matches never cross texts. Null ids come last; different texts under one id are
     ordered by a hash, equal ones by row. `most_bytes` and `block_bytes` bound what a task holds; results don't depend on them.
     """
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit("second"), F.col("text"))})
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(text_names(F.col("text")))
     table = plain.select("doc_id", *TEXT, F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.monotonically_increasing_id().alias("row"))
     table = saved(table, "suffix-rows")
     first = table.groupBy(*TEXT).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")).alias("f")).select(*TEXT, "f.*")

@@ -98,6 +98,17 @@ def test_long_words_and_pieces():
     assert one[0] == other[1] and one[1] == other[2] and len(set(one.tolist())) == 4
 
 
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_of_two_letters_get_their_own_names(n):
+    """Words whose letters follow the parity of bits have equal sums modulo 2**64 for every factor; capitals make no other word."""
+    import ledgerloom.llm.shingles as N
+
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    texts = [f"one two {w} four five" for w in (one, one.translate(str.maketrans("ab", "ba")), one.upper())]
+    sets = [s.tolist() for s in shingle_sets(pa.array(texts), 4)]
+    assert not set(sets[0]) & set(sets[1]) and sets[0] == sets[2] and len(set(N.word_hashes(pa.array(texts))[0].tolist())) == 6
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

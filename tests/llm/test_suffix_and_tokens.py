@@ -12,6 +12,8 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm import suffix_dedup as S
 from ledgerloom.llm import token_output as T
@@ -179,6 +181,7 @@ def test_pipeline_stages(spark):
             assert kept == {d for d, _, c in told if d == c}
             assert docs.count() == len(kept)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert len(last) > 0
     plain = Tokenizer.from_file(PATH)
     text = {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id for r in last} == set(text) and len(clean) > len(last) > 0
@@ -197,3 +200,15 @@ def test_pipeline_on_edge_rows(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, train, "").collect()} == set(range(18)) | {51}
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    """Columns that operators use for their own results come through every stage as they were, and in their order."""
+    names = ["score", "lang_pred", "evidence", "topic", "n_tokens", "probability", "kept", "row", "_row", "t", "u", "_key", "component_id", "contaminated"]
+    text = F.concat_ws(" ", F.col("text"), F.lit("and"), F.col("doc_id"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("text", text).select(*[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names[:7]], "*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names[7:]])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) > 50 and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names), name
