@@ -44,17 +44,16 @@ def transfer_page(transfers: DataFrame, amounts: DataFrame, page: int, limit: in
     """Latest transfers; a missing amount is filled for the rows of the page only. With the count of listed transfers."""
     rows = usable(transfers)
     shown = page_of(rows, [F.desc("epoch"), "block_hash"], page, limit)
-    filled = amounts.join(F.broadcast(shown), "txn_id", "right")  # a page has at most `limit` rows
-    amount = F.when(missing_amount(transfers), F.coalesce("txn_value", "amount")).otherwise(F.col("amount"))
-    total = rows.agg(F.count(F.lit(1)).alias("count"))
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return filled.crossJoin(F.broadcast(total)).select("block_hash", text("sender_did"), text("receiver_did"), text("txn_type"), text("txn_id"), F.coalesce(amount, F.lit(0.0)).alias("amount"), "epoch", "count")
+    page = with_total(filled(shown, amounts, limit), rows)
+    return page.select("block_hash", text("sender_did"), text("receiver_did"), text("txn_type"), text("txn_id"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "epoch", "count")
 
 
 def backfill(transfers: DataFrame, amounts: DataFrame) -> DataFrame:
-    """Transfers with the known value written to all rows of every transaction that has a row without an amount. Null and empty ids don't join."""
+    """Transfers with the known value written to all rows of every transaction that has a row without an amount. Null and empty ids don't join; amounts has a transaction once
+    (landed.read_amounts), and a repeated one gives its largest value, so that no transfer is multiplied."""
     named = transfers.where("txn_id IS NOT NULL AND txn_id <> ''")
-    wanted = named.where(missing_amount(named)).select("txn_id").distinct().join(amounts, "txn_id")
+    wanted = named.where(missing_amount(named)).select("txn_id").distinct().join(amounts, "txn_id").groupBy("txn_id").agg(F.max("txn_value").alias("txn_value"))
     return transfers.join(wanted, "txn_id", "left").withColumn("amount", F.coalesce("txn_value", "amount")).select(transfers.columns)
 
 
@@ -70,10 +69,18 @@ def page_json(shown: DataFrame, name: str, order: str) -> DataFrame:
     return shown.agg(F.to_json(F.struct(rows.alias(name), F.coalesce(F.max("count"), F.lit(0)).alias("count")), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def filled(transfers: DataFrame, amounts: DataFrame) -> DataFrame:
-    """A few transfers (a page, looked-up rows) with missing amounts filled from known values other than 0; amounts are read once, against the few ids."""
+#: Ids that are sent to every task to read amounts against; more are joined by a shuffle.
+MOST_IDS = 10_000
+
+
+def filled(transfers: DataFrame, amounts: DataFrame, most: int | None = None) -> DataFrame:
+    """Transfers (a page, looked-up rows) with missing amounts filled from known values other than 0; amounts are read once, against their ids.
+
+    most: how many rows transfers has at most, where that is known (a page's limit); else its ids are counted, up to MOST_IDS."""
     ids = transfers.where(missing_amount(transfers) & F.col("txn_id").isNotNull() & (F.col("txn_id") != "")).select("txn_id").distinct()
-    known = amounts.where("txn_value <> 0").join(F.broadcast(ids), "txn_id", "left_semi").groupBy("txn_id").agg(F.min("txn_value").alias("txn_value"))
+    if (ids.limit(MOST_IDS + 1).count() if most is None else most) <= MOST_IDS:
+        ids = F.broadcast(ids)
+    known = amounts.where("txn_value <> 0").join(ids, "txn_id", "left_semi").groupBy("txn_id").agg(F.max("txn_value").alias("txn_value"))
     amount = F.when(missing_amount(transfers), F.coalesce("txn_value", "amount")).otherwise(F.col("amount"))
     return transfers.join(known, "txn_id", "left").withColumn("amount", amount).select(transfers.columns)
 

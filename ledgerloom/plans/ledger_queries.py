@@ -14,6 +14,7 @@ from ..operators import blocks as B
 from ..operators import changes as C
 from ..operators import owners as O
 from ..operators import reads as R
+from ..operators import sync
 from ..sources import landed, tables
 from ..sources.fixtures import block_texts, chain_texts, list_texts, sql_views, view
 from ..streaming import streams
@@ -338,6 +339,42 @@ def route_chain_blocks(spark, sf_dir):
     return routed.groupBy(F.coalesce("route", F.lit("none")).alias("route")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block_hash").alias("blocks"))
 
 
+# ---- the full sync: chains merged into the block tables, in two loads
+
+def synced(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table after two loads: first the chains of tokens whose id ends in an even digit, with older transaction ids, then all chains."""
+    folder, types, texts = landed.new_folder(spark, "sync"), stored(spark, token_types(spark, sf_dir), "TokenType"), landed.kept(chain_texts(spark, sf_dir), "chains")
+    older = texts.where("token_id RLIKE '[02468]$'").withColumn("value", F.regexp_replace("value", '"tx([0-9]+)"', '"old$1"'))
+    for chains in (older, texts):
+        sync.sync_chains(chains, types, folder, load_time(), (name,), buckets=8)
+    return sync.synced(spark, folder, name)
+
+
+SYNC_VIEWS = f"{sql_views('fx_block', 'fx_block_token', *ASSETS)}, {LINKS_SQL}, t AS ({ALL_TOKENS}), k AS (SELECT block_hash, bool_or(coalesce(token_type, '') = 'SC') AS sc, bool_or(coalesce(token_type, '') <> 'SC') AS other, bool_or(regexp_matches(token_id, '[02468]$')) AS older FROM fx_block_token LEFT JOIN t USING (token_id) GROUP BY block_hash)"
+
+
+@query(f"{SYNC_VIEWS} SELECT block_hash, {LABEL_SQL} AS block_type, coalesce(epoch, 1700000000) AS epoch, CASE WHEN older THEN replace(txn_id, 'tx', 'old') ELSE txn_id END AS txn_id FROM fx_block JOIN k USING (block_hash)")
+def sync_all_blocks(spark, sf_dir):
+    """Each block once, as it came first."""
+    return synced(spark, sf_dir, "AllBlocks").withColumn("epoch", F.unix_timestamp("epoch"))
+
+
+@query(f"""{SYNC_VIEWS} SELECT block_hash, cast(NULL AS varchar) AS prev_block_id, sender_did, receiver_did, trans_code AS txn_type, amount, epoch, coalesce(tokens, 'null') AS tokens, '{{"' || receiver_did || '":"' || txn_id || '"}}' AS validator_pledge_map, txn_id
+FROM fx_block JOIN k USING (block_hash) LEFT JOIN links USING (block_hash) WHERE trans_code = '02' AND other""")
+def sync_transfer_blocks(spark, sf_dir):
+    return synced(spark, sf_dir, "TransferBlocks")
+
+
+@query(f"{SYNC_VIEWS} SELECT block_hash, '[\"' || block_hash || '-c\"]' AS child_tokens, CASE trans_code WHEN '13' THEN 'Burnt for FT' ELSE 'Burnt' END AS txn_type, sender_did AS owner_did, {BURN_EPOCH_SQL} AS epoch, coalesce(tokens, 'null') AS tokens FROM fx_block JOIN k USING (block_hash) LEFT JOIN links USING (block_hash) WHERE trans_code IN ('08', '13') AND other")
+def sync_burnt_blocks(spark, sf_dir):
+    return synced(spark, sf_dir, "BurntBlocks")
+
+
+@query(f"{SYNC_VIEWS}, sc AS (SELECT block_hash AS block_id, first_token AS contract_id, coalesce(first_number, 0) AS block_height, epoch, CASE trans_code WHEN '10' THEN receiver_did END AS executor_did, CASE trans_code WHEN '10' THEN '' ELSE sender_did END AS owner_did FROM fx_block JOIN k USING (block_hash) LEFT JOIN links USING (block_hash) WHERE trans_code IN ('09', '10') AND k.sc) SELECT * FROM sc")
+def sync_contract_blocks(spark, sf_dir):
+    return synced(spark, sf_dir, "SC_Blocks").withColumn("epoch", F.unix_timestamp("epoch"))
+
+
 @query(f"{sql_views('fx_block')} SELECT block_hash, CASE WHEN num % 3 = 0 THEN sender_did || '-new' ELSE sender_did END AS sender_did, CASE WHEN num % 3 = 0 THEN NULL ELSE amount END AS amount FROM fx_block")
 def upsert_last_wins(spark, sf_dir):
     """Every third block arrives again with another sender and no amount, and is replaced whole."""
@@ -352,10 +389,10 @@ TRANSFERS_SQL = "tr AS (SELECT * FROM fx_block WHERE trans_code = '02')"
 
 
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer came before with twice the value, and comes again later as a failure."""
     rows = view(spark, sf_dir, "fx_txn_amount")
-    texts = rows.select(F.to_json(F.struct(F.lit(True).alias("status"), F.struct(F.col("txn_id").alias("TransactionID"), F.col("txn_value").alias("TransactionValue")).alias("result"))).alias("value"))
-    failed = rows.select(F.to_json(F.struct(F.lit(False).alias("status"), F.struct(F.col("txn_id").alias("TransactionID"), F.lit(-1.0).alias("TransactionValue")).alias("result"))).alias("value"))
-    return landed.read_amounts(texts.unionAll(failed))
+    answer = lambda ok, value, arrival: rows.select(F.to_json(F.struct(F.lit(ok).alias("status"), F.struct(F.col("txn_id").alias("TransactionID"), value.alias("TransactionValue")).alias("result"))).alias("value"), F.lit(arrival).alias("arrival"))
+    return landed.read_amounts(answer(True, F.col("txn_value"), 1).unionAll(answer(True, F.col("txn_value") * 2, 0)).unionAll(answer(False, F.lit(-1.0), 2)))
 
 
 @query(f"{sql_views('fx_block', 'fx_txn_amount')}, {TRANSFERS_SQL}, page AS (SELECT * FROM tr WHERE epoch IS NOT NULL AND epoch <> 0 ORDER BY epoch DESC, block_hash LIMIT 20 OFFSET 20) SELECT block_hash, sender_did, receiver_did, trans_code AS txn_type, txn_id, coalesce(CASE WHEN amount IS NULL OR amount = 0 THEN coalesce(txn_value, amount) ELSE amount END, 0.0) AS amount, epoch, (SELECT count(*) FROM tr WHERE epoch IS NOT NULL AND epoch <> 0) AS count FROM page LEFT JOIN fx_txn_amount USING (txn_id)")

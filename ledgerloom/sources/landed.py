@@ -42,20 +42,24 @@ def read_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return list_items(spark.read.text(path), kind)
 
 
-def explode_chains(chains: DataFrame) -> DataFrame:
-    """(token_id, pos, block) from chain texts (token_id, value): blocks stand under TokenChainData, else under blocks. A long chain comes in parts, with
+def explode_chains(chains: DataFrame, *more: str) -> DataFrame:
+    """(token_id, *more, pos, block) from chain texts (token_id, value, *more): blocks stand under TokenChainData, else under blocks. A long chain comes in parts, with
     the place of each part's first block in a column `first`.
 
     Chains whose status is false, and those without blocks, are skipped, and so are items that are no objects; pos keeps the place in the chain.
     """
     first = F.col("first") if "first" in chains.columns else F.lit(0)
-    told = chains.select("token_id", first.alias("first"), F.from_json("value", "status boolean, TokenChainData array<string>, blocks array<string>").alias("c")).where(F.coalesce(F.col("c.status"), F.lit(True)))
-    parts = told.select("token_id", "first", F.posexplode(F.coalesce("c.TokenChainData", "c.blocks")).alias("at", "block"))
-    blocks = parts.select("token_id", (F.col("first") + F.col("at")).alias("pos"), "block")
+    told = chains.select("token_id", *more, first.alias("first"), F.from_json("value", "status boolean, TokenChainData array<string>, blocks array<string>").alias("c")).where(F.coalesce(F.col("c.status"), F.lit(True)))
+    parts = told.select("token_id", *more, "first", F.posexplode(F.coalesce("c.TokenChainData", "c.blocks")).alias("at", "block"))
+    blocks = parts.select("token_id", *more, (F.col("first") + F.col("at")).alias("pos"), "block")
     return blocks.where(F.ltrim("block").startswith("{"))
 
 
 def read_amounts(text: DataFrame) -> DataFrame:
-    """(txn_id, value) of landed amount answers; answers whose status is not true are left out."""
-    told = text.select(F.from_json("value", schemas.AMOUNT).alias("a")).where("a.status")
-    return told.selectExpr("a.result.TransactionID AS txn_id", "a.result.TransactionValue AS txn_value").where("txn_id IS NOT NULL")
+    """(txn_id, txn_value), once for each transaction: of the landed answers (value, perhaps arrival) the one that arrived last. Without arrivals the largest value counts.
+
+    Answers whose status is not true, and those without an id or a value, are left out."""
+    arrival = F.col("arrival") if "arrival" in text.columns else F.lit(0)
+    told = text.select(F.from_json("value", schemas.AMOUNT).alias("a"), arrival.alias("arrival")).where("a.status")
+    rows = told.selectExpr("a.result.TransactionID AS txn_id", "a.result.TransactionValue AS txn_value", "arrival").where("txn_id IS NOT NULL AND txn_value IS NOT NULL")
+    return rows.groupBy("txn_id").agg(F.max_by("txn_value", F.struct("arrival", "txn_value")).alias("txn_value"))
