@@ -97,8 +97,8 @@ def route_in_bulk(decoded: DataFrame, asset_type: str = "asset_type") -> DataFra
     return route(decoded).withColumn("route", F.when(contract == own, F.col("route")))
 
 
-def all_blocks(decoded: DataFrame, ingest: Column) -> DataFrame:
-    return decoded.select("block_hash", S.block_type(F.col("type_code")).alias("block_type"), S.block_time(F.col("epoch_text"), ingest).alias("epoch"), "txn_id")
+def all_blocks(decoded: DataFrame, ingest: Column, *more: str) -> DataFrame:
+    return decoded.select("block_hash", S.block_type(F.col("type_code")).alias("block_type"), S.block_time(F.col("epoch_text"), ingest).alias("epoch"), "txn_id", *more)
 
 
 def transfers(decoded: DataFrame) -> DataFrame:

@@ -598,32 +598,36 @@ def registry_from_changes(spark, sf_dir):
     return C.registry_after(changes(spark, sf_dir), load_time()).withColumn("last_updated", F.unix_timestamp("last_updated"))
 
 
-# ---- streams; each lands its input as files in order, and runs until all of them are read
+# ---- streams; each lands its input in parts, with as many files as Spark writes, and runs after each of them
 
-def land_in_order(parts: list[DataFrame], folder: str) -> str:
-    """Each part as one file, since one file is one batch; a part is sorted out by Spark and only its lines pass the one writing task."""
+MANY = 10_000  # files of a batch: all of a part
+
+
+def run_parts(parts: list[DataFrame], folder: str, run):
+    """run(source) after each part has landed in the source; what it gave last."""
+    out = None
     for part in parts:
-        part.select("value").coalesce(1).write.mode("append").text(folder)
-    return folder
+        part.select("value").write.mode("append").text(f"{folder}/in")
+        out = run(f"{folder}/in")
+    return out
 
 
-def stream_changes(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """(source, folder): the changes as three files in order."""
+def changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """(totals, folder) of the changes in three parts in order."""
     folder, texts = landed.new_folder(spark, "stream-tokens"), change_texts(spark, sf_dir)
     bounds = texts.agg(F.max("seq")).first()[0] or 0
-    return land_in_order([texts.where((F.col("seq") * 3 >= bounds * k) & ((F.col("seq") * 3 < bounds * (k + 1)) | F.lit(k == 2))) for k in range(3)], f"{folder}/in"), folder
+    parts = [texts.where((F.col("seq") * 3 >= bounds * k) & ((F.col("seq") * 3 < bounds * (k + 1)) | F.lit(k == 2))) for k in range(3)]
+    return run_parts(parts, folder, lambda source: streams.token_totals(spark, source, folder, load_time(), MANY)), folder
 
 
 @query(f"{sql_views('fx_change')}, {REPLAY_SQL} SELECT * FROM totals")
 def stream_token_totals(spark, sf_dir):
-    return C.as_did_rows(streams.token_totals(spark, *stream_changes(spark, sf_dir), load_time()))
+    return C.as_did_rows(changed(spark, sf_dir)[0])
 
 
 @query(f"{sql_views('fx_change')}, {CHANGES_SQL}, {REGISTRY_SQL}")
 def stream_token_registry(spark, sf_dir):
-    source, folder = stream_changes(spark, sf_dir)
-    streams.token_totals(spark, source, folder, load_time())
-    return streams.registry_table(spark, folder).withColumn("last_updated", F.unix_timestamp("last_updated"))
+    return streams.registry_table(spark, changed(spark, sf_dir)[1]).withColumn("last_updated", F.unix_timestamp("last_updated"))
 
 
 @query(f"""{sql_views('fx_block')} SELECT 'all' AS sink, block_hash, txn_id, {LABEL_SQL} AS label FROM fx_block
@@ -638,7 +642,7 @@ def routed_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     folder, texts = landed.new_folder(spark, "stream-blocks"), landed.kept(block_texts(spark, sf_dir), "blocks")
     again = texts.where("num % 3 = 0").withColumn("value", F.regexp_replace("value", '"tx([0-9]+)"', '"late$1"'))
     bare = texts.where("num % 50 = 1").select(F.regexp_replace("value", ',"98":"[^"]*"', "").alias("value"))
-    return streams.route_blocks(spark, land_in_order([texts, again.select("value").unionAll(bare)], f"{folder}/in"), folder, load_time()), folder
+    return run_parts([texts, again.select("value").unionAll(bare)], folder, lambda source: streams.route_blocks(spark, source, folder, load_time(), MANY)), folder
 
 
 LATE = "CASE WHEN num % 3 = 0 THEN replace(txn_id, 'tx', 'late') ELSE txn_id END"
@@ -669,21 +673,45 @@ def stream_rejects(spark, sf_dir):
 @query(f"{sql_views('fx_block')} SELECT block_hash, {LABEL_SQL} AS block_type, coalesce(epoch, 1700000000) AS epoch, txn_id FROM fx_block")
 def stream_all_blocks(spark, sf_dir):
     folder, texts = landed.new_folder(spark, "stream-all"), block_texts(spark, sf_dir)
-    source = land_in_order([texts, texts.where("num % 3 = 0")], f"{folder}/in")
-    return streams.first_blocks(spark, source, folder, load_time()).withColumn("epoch", F.unix_timestamp("epoch"))
+    out = run_parts([texts, texts.where("num % 3 = 0")], folder, lambda source: streams.first_blocks(spark, source, folder, load_time(), MANY))
+    return out.withColumn("epoch", F.unix_timestamp("epoch"))
 
 
 @query(f"""{sql_views('fx_block')}, b AS (SELECT epoch // 3600 * 3600 AS interval_start, {LABEL_SQL} AS block_type, cast(round(coalesce(amount, 0) * 100) AS bigint) AS cents FROM fx_block WHERE epoch > 0)
 , top AS (SELECT max(epoch) - 3600 AS mark FROM fx_block) SELECT interval_start, block_type, count(*) AS txn_count, cast(sum(cents) AS bigint) AS cents FROM b, top WHERE interval_start + 3600 <= mark GROUP BY ALL""")
 def stream_txn_analytics(spark, sf_dir):
     folder, texts = landed.new_folder(spark, "stream-analytics"), block_texts(spark, sf_dir)
-    return streams.live_analytics(spark, land_in_order([texts], f"{folder}/in"), folder)
+    return run_parts([texts], folder, lambda source: streams.live_analytics(spark, source, folder, files_per_batch=MANY))
 
 
-@query(ANALYTICS_SQL)
-def stream_analytics_by_type(spark, sf_dir):
-    """TxnAnalytics by token type under live blocks; every third block is notified again, which changes nothing."""
+def analytics_stream(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
+    """Two parts of blocks, of which the second repeats every third block of the first and brings the rest; the registry comes before them, or half of it between them and half after."""
     folder, texts = landed.new_folder(spark, "stream-by-type"), landed.kept(block_texts(spark, sf_dir), "blocks")
-    types = stored(spark, token_types(spark, sf_dir), "TokenType")
-    out = streams.live_txn_analytics(spark, land_in_order([texts, texts.where("num % 3 = 0")], f"{folder}/in"), folder, types)
+    types = stored(spark, token_types(spark, sf_dir), "TokenType").select("token_id", "token_type")
+    half = F.crc32(F.col("token_id").cast("binary")) % 2 == 0
+    blocks = [texts.where("num % 2 = 0"), texts.where("num % 2 = 1 OR num % 3 = 0")]
+    steps = [(blocks[0], None), (None, types.where(half)), (blocks[1], None), (None, types.where(~half))] if late else [(None, types), (blocks[0], None), (blocks[1], None)]
+    nothing = texts.limit(0).select("value"), types.limit(0)
+    for rows, name in zip(nothing, ("in", "types"), strict=True):
+        rows.write.text(f"{folder}/{name}") if name == "in" else rows.write.parquet(f"{folder}/{name}")
+    out = None
+    for lines, rows in steps:
+        if lines is not None:
+            lines.select("value").write.mode("append").text(f"{folder}/in")
+        else:
+            rows.write.mode("append").parquet(f"{folder}/types")
+        registry = spark.readStream.schema("token_id string, token_type string").parquet(f"{folder}/types")
+        out = streams.live_txn_analytics(spark, f"{folder}/in", registry, folder, files_per_batch=MANY)
     return out.withColumns({c: F.unix_timestamp(c) for c in ("interval_start", "interval_end")})
+
+
+@query(ANALYTICS_SQL)
+def stream_analytics_by_type(spark, sf_dir):
+    """TxnAnalytics by token type under live blocks; every sixth block is notified again, which changes nothing."""
+    return analytics_stream(spark, sf_dir, late=False)
+
+
+@query(ANALYTICS_SQL)
+def stream_analytics_late_registry(spark, sf_dir):
+    """The same where blocks come before their tokens are registered: they end under their types, and nothing stays UNKNOWN that has one."""
+    return analytics_stream(spark, sf_dir, late=True)

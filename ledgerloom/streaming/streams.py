@@ -1,200 +1,185 @@
-"""Structured Streaming jobs. State that outlives a batch is a log of Parquet folders: each batch adds the rows that it changes, and now and then a base takes them in."""
+"""Structured Streaming jobs. What later batches must know is keyed state in RocksDB, so that a batch costs what it changes; what they find is appended to logs of Parquet folders."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import changes as C
-from ..operators import reads as R
 from ..sources import schemas
+from . import logs, state
 
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition's store reserves megabytes of disk
+}
 
-def texts(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Landed JSON lines as a stream of one column, value."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-
-
-def run_now(stream: DataFrame, write, checkpoint: str) -> None:
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-#: After so many batches a log's rows are merged into a new base.
-COMPACT = 20
-FOLDERS = "part string, batch int"
-
-
-def log_start(spark: SparkSession, folder: str, schema: str) -> None:
-    """An empty base, so that a log can be read before its first batch."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/part=base/batch=-1")
-
-
-def log_append(rows: DataFrame, folder: str, number: int) -> None:
-    """A batch adds the rows that it changes, as a folder of its own: one that runs again overwrites its own."""
-    rows.write.mode("overwrite").parquet(f"{folder}/part=delta/batch={number}")
 
+def texts(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Landed JSON lines as a stream (value, arrival): lines arrive in the order of their files' times, then names, then as they stand in the file.
 
-def log_rows(spark: SparkSession, folder: str, schema: str, upto: int | None = None) -> DataFrame:
-    """The newest base and all later rows, with the number of their batch, of the batches up to `upto`."""
-    rows = spark.read.schema(f"{schema}, {FOLDERS}").parquet(folder)
-    if upto is not None:
-        rows = rows.where(F.col("batch") <= upto)
-    base = rows.where("part = 'base'").agg(F.max("batch")).first()[0]  # of folders: few rows
-    base = -1 if base is None else base
-    return rows.where(((F.col("part") == "base") & (F.col("batch") == base)) | ((F.col("part") == "delta") & (F.col("batch") > base))).drop("part")
+    A file is read as a whole to number its lines: land files of some hundred megabytes at most. Many files make a batch, each read by its own task."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
+    lines = files.select(F.unix_micros("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    return lines.where("value <> ''").select("value", F.struct("at", "file", "line").alias("arrival"))
 
 
-def log_table(spark: SparkSession, folder: str, schema: str, key: list[str], upto: int | None = None) -> DataFrame:
-    """One row for each key, the one of the last batch that wrote it."""
-    rows = log_rows(spark, folder, schema, upto)
-    others = [c for c in rows.columns if c not in (*key, "batch")]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("_x")).select(*key, "_x.*")
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def log_compact(spark: SparkSession, folder: str, schema: str, key: list[str], number: int) -> None:
-    """Every COMPACT batches one full write, so that a batch costs what it changes and a read a bounded number of files."""
-    if number % COMPACT == COMPACT - 1:
-        log_table(spark, folder, schema, key, number).write.mode("overwrite").parquet(f"{folder}/part=base/batch={number}")
+def run_now(stream: DataFrame, write: Callable, checkpoint: str, mode: str = "append") -> None:
+    with rocksdb(stream.sparkSession):
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 #: Tables that live blocks are merged into: key, routes, projection. The last notification of a key replaces its row.
 ROUTED = {"TransferBlocks": ("block_hash", ("transfer",), B.transfers), "BurntBlocks": ("block_hash", ("burnt",), B.burns), "SC_Blocks": ("block_id", ("deploy", "execute"), B.contract_blocks)}
-INDEX = "sink string, block_hash string, txn_id string, label string, arrival string"
+INDEX = "sink string, block_hash string, txn_id string, label string"
 REJECTS = "value string"
 
 
 def block_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """AllBlocks, TransferBlocks, BurntBlocks or SC_Blocks as route_blocks left it."""
-    key = ROUTED[name][0] if name in ROUTED else "block_hash"
-    return log_table(spark, f"{folder}/{name}", schemas.TABLES[name], [key])
+    return logs.table(spark, f"{folder}/{name}", schemas.TABLES[name], [ROUTED[name][0] if name in ROUTED else "block_hash"])
 
 
 def rejected_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """(value, batch): texts of blocks without a hash, as they came."""
-    return log_rows(spark, f"{folder}/Rejects", REJECTS)
+    return logs.rows_of(spark, f"{folder}/Rejects", REJECTS)
 
 
-def route_blocks(spark: SparkSession, source: str, folder: str, ingest: Column | None = None) -> DataFrame:
+def route_blocks(spark: SparkSession, source: str, folder: str, ingest: Column | None = None, files_per_batch: int = 1) -> DataFrame:
     """Live blocks, merged as whole rows into AllBlocks (the first notification of a hash stays) and the routed tables (the last one stays); block_table reads them.
     Blocks without a hash go to the rejects.
 
-    Returns their index: (sink, block_hash, txn_id, label). A row arrives with its batch; within one batch, where lines have no order of their own, the text breaks ties."""
-    ingest = F.current_timestamp() if ingest is None else ingest
-    logs = {"Index": INDEX, "Rejects": REJECTS, "AllBlocks": schemas.TABLES["AllBlocks"], **{name: schemas.TABLES[name] for name in ROUTED}}
-    for name, schema in logs.items():
-        log_start(spark, f"{folder}/{name}", schema)
+    Returns their index: (sink, block_hash, txn_id, label). Two queries over one source: first_blocks knows the hashes before; the routed rows need nothing from earlier batches."""
 
     def write(batch: DataFrame, number: int) -> None:
         good, bad = B.keyed(B.decode(batch))
-        log_append(bad.select("value"), f"{folder}/Rejects", number)
-        decoded = good.withColumn("arrival", F.format_string("%012d %s", F.lit(number), F.col("value"))).persist()
+        logs.append(bad.select("value"), f"{folder}/Rejects", number)
+        routed = B.route(good).where("route IS NOT NULL").persist()
         label = B.S.block_type(F.col("type_code"))
-        routed = B.route(decoded).where("route IS NOT NULL")
-        log_append(B.last_wins(routed.select("block_hash", F.col("route").alias("sink"), "txn_id", label.alias("label"), "arrival").withColumn("key", F.concat_ws(" ", "sink", "block_hash")).withColumn("at", F.col("arrival")), "key", "at").select("sink", "block_hash", "txn_id", "label", "arrival"), f"{folder}/Index", number)
-        log_compact(spark, f"{folder}/Index", INDEX, ["sink", "block_hash"], number)
-        before = log_rows(spark, f"{folder}/AllBlocks", logs["AllBlocks"], number - 1).select("block_hash")
-        log_append(B.all_blocks(B.first_wins(decoded, "block_hash"), ingest).join(before, "block_hash", "left_anti").select(*schemas.COLUMNS["AllBlocks"]), f"{folder}/AllBlocks", number)
-        log_compact(spark, f"{folder}/AllBlocks", logs["AllBlocks"], ["block_hash"], number)
-        for name, (key, routes, rows) in ROUTED.items():
-            log_append(rows(B.last_wins(routed.where(F.col("route").isin(*routes)), "block_hash")).select(*schemas.COLUMNS[name]), f"{folder}/{name}", number)
-            log_compact(spark, f"{folder}/{name}", logs[name], [key], number)
-        decoded.unpersist()
+        index = routed.groupBy(F.col("route").alias("sink"), "block_hash").agg(F.max_by(F.struct("txn_id", label.alias("label")), "arrival").alias("x")).select("sink", "block_hash", "x.*")
+        for name, schema, key, rows in [("Index", INDEX, ["sink", "block_hash"], index), *[(n, schemas.TABLES[n], [key], project(B.last_wins(routed.where(F.col("route").isin(*routes)), "block_hash")).select(*schemas.COLUMNS[n])) for n, (key, routes, project) in ROUTED.items()]]:
+            logs.append(rows, f"{folder}/{name}", number)
+            logs.compact(spark, f"{folder}/{name}", schema, lambda df, key=key: logs.last_of(df, key), number)
+        routed.unpersist()
 
-    run_now(texts(spark, source), write, f"{folder}/checkpoint")
-    every = block_table(spark, folder, "AllBlocks").select(F.lit("all").alias("sink"), "block_hash", "txn_id", F.col("block_type").alias("label"))
-    return every.unionByName(log_table(spark, f"{folder}/Index", INDEX, ["sink", "block_hash"]).select("sink", "block_hash", "txn_id", "label"))
+    run_now(texts(spark, source, files_per_batch), write, f"{folder}/checkpoint")
+    every = first_blocks(spark, source, folder, ingest, files_per_batch)
+    return every.select(F.lit("all").alias("sink"), "block_hash", "txn_id", F.col("block_type").alias("label")).unionByName(logs.table(spark, f"{folder}/Index", INDEX, ["sink", "block_hash"]))
 
 
-def first_blocks(spark: SparkSession, source: str, folder: str, ingest: Column) -> DataFrame:
-    """One AllBlocks row per hash under repeated notification, the first to arrive, whatever its epoch.
+def first_blocks(spark: SparkSession, source: str, folder: str, ingest: Column | None = None, files_per_batch: int = 1) -> DataFrame:
+    """AllBlocks: one row per hash under repeated notification, the first to arrive, whatever its epoch.
 
-    Each batch adds the first row of every hash that no earlier batch has, as one folder; the rows themselves are the state, of which only the hashes are read.
-    Within one batch, where lines have no order of their own, the text breaks ties."""
-    schema = "block_hash string, block_type string, epoch timestamp, txn_id string, batch int"
+    The state holds each hash with its row and the times of the first and the last batch that named it; where these are one, the hash is new and its row is appended. No
+    earlier row is read."""
+    decoded = B.keyed(B.decode(texts(spark, source, files_per_batch)))[0].withColumn("now", F.current_timestamp())
+    rows = B.all_blocks(decoded, F.col("now") if ingest is None else ingest, "arrival", "now")
+    columns = schemas.COLUMNS["AllBlocks"]
+    kept = rows.select("block_hash", "arrival", "now", F.struct(*[c for c in columns if c != "block_hash"]).alias("row"))
+    known = kept.groupBy("block_hash").agg(F.min_by("row", "arrival").alias("row"), F.min("now").alias("born"), F.max("now").alias("named"))
+    at = f"{folder}/AllBlocks"
 
     def write(batch: DataFrame, number: int) -> None:
-        first = B.first_wins(B.keyed(B.decode(batch))[0], "block_hash", "value")
-        before = spark.read.schema(schema).parquet(f"{folder}/rows").where(F.col("batch") < number).select("block_hash")
-        B.all_blocks(first, ingest).join(before, "block_hash", "left_anti").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        logs.append(batch.where("born = named").select("block_hash", "row.*").select(columns), at, number)
+        logs.compact(spark, at, schemas.TABLES["AllBlocks"], lambda df: logs.last_of(df, ["block_hash"]), number)
 
-    spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
-    run_now(texts(spark, source), write, f"{folder}/checkpoint")
-    return spark.read.schema(schema).parquet(f"{folder}/rows").drop("batch")
+    run_now(known, write, f"{folder}/checkpoint-first", "update")
+    return logs.rows_of(spark, at, schemas.TABLES["AllBlocks"]).drop("batch")
 
 
-TOKENS = "kind string, token_id string, owner_did string, token_value double, token_status int, gone boolean"
+TOKENS = "kind string, token_id string, owner_did string, token_value double, token_status int, first_seq bigint, made bigint, gone boolean"
 OWNERS = "did string, RBT bigint, FT bigint, NFT bigint, SC bigint"
-REGISTRY = f"{schemas.TABLES['TokenType']}, gone boolean"
+
+
+def token_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens that exist, as token_totals left them."""
+    return logs.table(spark, f"{folder}/tokens", TOKENS, ["kind", "token_id"]).where("NOT gone").drop("gone")
 
 
 def registry_table(spark: SparkSession, folder: str) -> DataFrame:
-    """TokenType as token_totals left it."""
-    return log_table(spark, f"{folder}/registry", REGISTRY, ["token_id"]).where("NOT gone").drop("gone")
+    """TokenType as token_totals left it; of kinds that share an id the one that came first."""
+    first = F.min_by(F.struct("kind", "made"), "first_seq").alias("x")
+    return token_table(spark, folder).groupBy("token_id").agg(first).select("token_id", F.col("x.kind").alias("token_type"), F.timestamp_micros("x.made").alias("last_updated"))
 
 
-def token_totals(spark: SparkSession, source: str, folder: str, ingest: Column | None = None) -> DataFrame:
-    """Live token changes: owner totals after all of them; registry_table reads the token registry, which is kept beside them.
+def token_totals(spark: SparkSession, source: str, folder: str, ingest: Column | None = None, files_per_batch: int = 1) -> DataFrame:
+    """Live token changes: owner totals after all of them (did, RBT, FT, NFT, SC; RBT in thousandths); token_table and registry_table read what is kept beside them.
 
-    Each batch reads the states of the tokens and owners that it touches, replays its changes on them and appends the states that it leaves; tokens that are deleted leave a mark."""
-    ingest = F.current_timestamp() if ingest is None else ingest
-    for name, schema in (("tokens", TOKENS), ("dids", OWNERS), ("registry", REGISTRY)):
-        log_start(spark, f"{folder}/{name}", schema)
+    Changes go to the state of their token, which knows the stored owner and value, and from there as effects to the state of their owner. A batch appends the rows of the tokens and owners that it touched."""
+    changes = C.parsed(texts(spark, source, files_per_batch).select("value")).withColumn("ingest", F.unix_micros(F.current_timestamp() if ingest is None else ingest))
+    effects = changes.where("token_id IS NOT NULL").groupBy("kind", "token_id").transformWithState(state.Tokens(), state.EFFECTS, "Append", "None")
+    told = effects.groupBy("did").transformWithState(state.Owners(), state.TOTALS, "Append", "None")
 
     def write(batch: DataFrame, number: int) -> None:
-        new, key = C.parsed(batch).persist(), ["kind", "token_id"]
-        touched = new.select(*key).distinct()
-        mark = lambda ids, now, on: ids.join(now.withColumn("gone", F.lit(False)), on, "left").withColumn("gone", F.coalesce("gone", F.lit(True)))
-        own = log_table(spark, f"{folder}/tokens", TOKENS, key, number - 1).where("NOT gone").drop("gone").join(touched, key, "left_semi")
-        log_append(mark(touched, C.token_state(new, own), key), f"{folder}/tokens", number)
-        ids = touched.select("token_id").distinct()
-        listed = log_table(spark, f"{folder}/registry", REGISTRY, ["token_id"], number - 1).where("NOT gone").drop("gone").join(ids, "token_id", "left_semi")
-        log_append(mark(ids, C.registry_after(new, ingest, listed), "token_id"), f"{folder}/registry", number)
-        of = C.effects(new, own).select("did").distinct()
-        dids = log_table(spark, f"{folder}/dids", OWNERS, ["did"], number - 1).join(of, "did", "left_semi")
-        log_append(C.did_totals(new, own, dids), f"{folder}/dids", number)
-        for name, schema, at in (("tokens", TOKENS, key), ("registry", REGISTRY, ["token_id"]), ("dids", OWNERS, ["did"])):
-            log_compact(spark, f"{folder}/{name}", schema, at, number)
-        new.unpersist()
+        batch.persist()
+        for name, out, schema, key in (("tokens", "token", TOKENS, ["kind", "token_id"]), ("dids", "owner", OWNERS, ["did"])):
+            logs.append(batch.where(F.col("out") == out).select(*[c.split()[0] for c in schema.split(", ")]), f"{folder}/{name}", number)
+            logs.compact(spark, f"{folder}/{name}", schema, lambda df, key=key: logs.last_of(df, key), number)
+        batch.unpersist()
 
-    run_now(texts(spark, source), write, f"{folder}/checkpoint")
-    return log_table(spark, f"{folder}/dids", OWNERS, ["did"])
+    run_now(told, write, f"{folder}/checkpoint")
+    return logs.table(spark, f"{folder}/dids", OWNERS, ["did"])
 
 
-SUMS = "interval_start timestamp, interval_end timestamp, token_type string, txn_count bigint, cents bigint"
+def live_txn_analytics(spark: SparkSession, source: str, registry: DataFrame, folder: str, interval: str = "1 hour", files_per_batch: int = 1) -> DataFrame:
+    """TxnAnalytics by token type under live blocks and a growing registry, a stream of (token_id, token_type). No row is late, so open intervals show too.
 
+    A block counts once, when it is first notified: once for each type among its tokens, as UNKNOWN while none has one. When a token gets its type, its blocks so far count under it, and those that were
+    UNKNOWN are taken back. A batch appends the signed sums of what it changes. A token's first type stays; of two in one batch the smaller name counts."""
+    decoded = B.keyed(B.decode(texts(spark, source, files_per_batch)))[0]
+    epoch = B.S.lenient_long(F.col("epoch_text"))
+    rows = decoded.select("block_hash", "arrival", F.map_keys("tokens").alias("token_ids"), F.round(F.coalesce(B.S.lenient_double(F.col("amount_text")), F.lit(0.0)) * 100).cast("bigint").alias("cents"), F.when(epoch != 0, F.timestamp_seconds(epoch)).alias("ts"))
+    length = F.lit(_seconds(interval))
+    begin = (F.floor(F.unix_timestamp("ts") / length) * length).cast("bigint")
+    rows = rows.select("block_hash", "arrival", "token_ids", "cents", begin.alias("interval_start"), (begin + length).alias("interval_end"))
+    links = rows.groupBy("block_hash").transformWithState(state.Firsts(), state.LINKS, "Append", "None")
+    none = {c: F.lit(None).cast(t) for c, t in (x.split() for x in state.LINKS.split(", "))}
+    types = registry.where("token_id IS NOT NULL AND token_type <> ''").select(*[x.alias(c) for c, x in (none | {"what": F.lit("type"), "token_id": F.col("token_id"), "token_type": F.col("token_type")}).items()])
+    typed = links.unionByName(types).groupBy("token_id").transformWithState(state.Types(), state.TYPED, "Append", "None")
+    deltas = typed.groupBy("block_hash").transformWithState(state.Counted(), state.DELTAS, "Append", "None")
+    added = lambda df: df.groupBy("interval_start", "interval_end", "token_type").agg(F.sum("txn_count").alias("txn_count"), F.sum("cents").alias("cents")).where("txn_count <> 0 OR cents <> 0")
 
-def live_txn_analytics(spark: SparkSession, source: str, folder: str, token_type: DataFrame, interval: str = "1 hour") -> DataFrame:
-    """TxnAnalytics by token type under live blocks: each batch appends its own sums, which are added up when they are read. No row is late, so open intervals show too.
+    def write(batch: DataFrame, number: int) -> None:
+        logs.append(added(batch), f"{folder}/sums", number)
+        logs.compact(spark, f"{folder}/sums", state.DELTAS, added, number)
 
-    token_type is the registry. A block counts once, when it is first notified."""
-    log_start(spark, f"{folder}/sums", SUMS)
-    log_start(spark, f"{folder}/seen", "block_hash string")
+    run_now(deltas, write, f"{folder}/checkpoint")
+    return added(logs.rows_of(spark, f"{folder}/sums", state.DELTAS)).where("txn_count <> 0").select(F.timestamp_seconds("interval_start").alias("interval_start"), F.timestamp_seconds("interval_end").alias("interval_end"), "txn_count", (F.col("cents") / 100).alias("total_value"), "token_type")
 
-    def write(batch: DataFrame, number: int) -> None:
-        before = log_rows(spark, f"{folder}/seen", "block_hash string", number - 1).select("block_hash")
-        first = B.first_wins(B.keyed(B.decode(batch))[0], "block_hash", "value").join(before, "block_hash", "left_anti")
-        decoded = first.select("block_hash", "amount_text", "epoch_text", "tokens").persist()
-        log_append(decoded.select("block_hash"), f"{folder}/seen", number)
-        rows = decoded.select("block_hash", B.S.lenient_double(F.col("amount_text")).alias("amount"), B.S.lenient_long(F.col("epoch_text")).alias("epoch"))
-        sums = R.analytics(rows, B.token_links(decoded), token_type, interval)
-        log_append(sums.select("interval_start", "interval_end", "token_type", "txn_count", F.round(F.col("total_value") * 100).cast("bigint").alias("cents")), f"{folder}/sums", number)
-        decoded.unpersist()
 
-    run_now(texts(spark, source), write, f"{folder}/checkpoint")
-    total = log_rows(spark, f"{folder}/sums", SUMS).groupBy("interval_start", "interval_end", "token_type").agg(F.sum("txn_count").alias("txn_count"), F.sum("cents").alias("cents"))
-    return total.select("interval_start", "interval_end", "txn_count", (F.col("cents") / 100).alias("total_value"), "token_type")
+def _seconds(interval: str) -> int:
+    """Seconds of an interval such as '1 hour' or '15 minutes'."""
+    number, unit = interval.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
 
 
-def live_analytics(spark: SparkSession, source: str, folder: str, interval: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+def live_analytics(spark: SparkSession, source: str, folder: str, interval: str = "1 hour", delay: str = "1 hour", files_per_batch: int = 1) -> DataFrame:
     """Transactions and value per closed interval and block type, in append mode under a watermark.
 
     An interval is written once the watermark has passed its end, so the newest intervals stay open. Landed files must come in the order of time to within
     `delay`; later rows are dropped by the watermark."""
-    decoded = B.decode(texts(spark, source)).where("block_hash IS NOT NULL")
+    decoded = B.decode(texts(spark, source, files_per_batch).select("value")).where("block_hash IS NOT NULL")
     epoch = B.S.lenient_long(F.col("epoch_text"))
     rows = decoded.select(F.timestamp_seconds(epoch).alias("ts"), B.S.block_type(F.col("type_code")).alias("block_type"), F.round(F.coalesce(B.S.lenient_double(F.col("amount_text")), F.lit(0.0)) * 100).cast("bigint").alias("cents")).where(epoch > 0)
     sums = rows.withWatermark("ts", delay).groupBy(F.window("ts", interval).alias("w"), "block_type").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("cents").alias("cents"))
     out = sums.select(F.unix_timestamp("w.start").alias("interval_start"), "block_type", "txn_count", "cents")
-    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark):
+        out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
