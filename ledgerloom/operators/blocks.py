@@ -138,7 +138,7 @@ def first_wins(rows: DataFrame, key: str, arrival: str = "arrival") -> DataFrame
     return _one_per_key(rows, key, arrival, False)
 
 
-def chain_blocks(exploded: DataFrame) -> DataFrame:
+def chain_blocks(exploded: DataFrame, *more: str) -> DataFrame:
     """(token_id, pos, block_hash, owner_did, epoch, transaction_type, transaction_id) of each block of a chain."""
     d = decode(exploded, "block")
-    return d.select("token_id", "pos", "block_hash", "owner_did", F.col("epoch_text").alias("epoch"), S.transaction_name(F.col("type_code")).alias("transaction_type"), F.col("txn_id").alias("transaction_id"))
+    return d.select("token_id", "pos", "block_hash", "owner_did", F.col("epoch_text").alias("epoch"), S.transaction_name(F.col("type_code")).alias("transaction_type"), F.col("txn_id").alias("transaction_id"), *more)

@@ -5,12 +5,13 @@ Inputs are derived from the test tables (sources/fixtures.py): asset lists, chai
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import assets as A
 from ..operators import blocks as B
+from ..operators import chains
 from ..operators import changes as C
 from ..operators import owners as O
 from ..operators import reads as R
@@ -320,7 +321,22 @@ def explode_token_chains(spark, sf_dir):
 
 @query(f"{BLOCK_VIEWS}, {CHAIN_SQL} SELECT token_id, pos, block_hash, sender_did AS owner_did, cast(epoch AS varchar) AS epoch, CASE trans_code WHEN '02' THEN 'Transfer' WHEN '08' THEN 'Burnt' WHEN '09' THEN 'Deployed' WHEN '10' THEN 'Executed' WHEN '13' THEN 'BurntForFT' END AS transaction_type, txn_id AS transaction_id, count(*) OVER (PARTITION BY token_id) AS total, cast(greatest(1, ceil(count(*) OVER (PARTITION BY token_id) / 3.0)) AS bigint) AS total_pages FROM chain QUALIFY pos BETWEEN 3 AND 5")
 def token_block_page(spark, sf_dir):
-    return R.chain_page(B.chain_blocks(chain(spark, sf_dir)), 2, 3)
+    """The chains are landed once, with their directory; the page cuts and decodes its own segments."""
+    texts = landed.kept(chain_texts(spark, sf_dir), "chains")
+    return chains.page(texts, landed.kept(chains.directory(texts), "directory"), 2, 3)
+
+
+#: Each link names the block before it in the token's chain; every 97th block names one that is lost.
+LINKED_SQL = "linked AS (SELECT token_id, pos, block_hash, num, CASE WHEN num % 97 = 0 THEN 'lost' || num ELSE lag(block_hash) OVER (PARTITION BY token_id ORDER BY num) END AS prev FROM chain)"
+
+
+@query(f"""{BLOCK_VIEWS}, {CHAIN_SQL}, {LINKED_SQL}, part AS (SELECT *, sum(CASE WHEN num % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY token_id ORDER BY num) AS island FROM linked)
+SELECT token_id, block_hash, cast(row_number() OVER own - 1 AS bigint) AS pos, first_value(block_hash) OVER own AS root, cast(0 AS bigint) AS forks, num % 97 = 0 AS gap, false AS ring FROM part WINDOW own AS (PARTITION BY token_id, island ORDER BY num)""")
+def chain_from_links(spark, sf_dir):
+    own = Window.partitionBy("token_id").orderBy("num")
+    links = view(spark, sf_dir, "fx_block_token").select("token_id", "block_hash").join(view(spark, sf_dir, "fx_block").select("block_hash", "num"), "block_hash")
+    lost = F.when(F.col("num") % 97 == 0, F.concat(F.lit("lost"), F.col("num"))).otherwise(F.lag("block_hash").over(own))
+    return chains.from_links(links.select("token_id", "block_hash", lost.alias("prev_block_id")))
 
 
 @query(f"{BLOCK_VIEWS}, {CHAIN_SQL} SELECT token_id, pos, block_hash, txn_id FROM chain WHERE token_id IN ({IDS})")
@@ -345,8 +361,8 @@ def synced(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table after two loads: first the chains of tokens whose id ends in an even digit, with older transaction ids, then all chains."""
     folder, types, texts = landed.new_folder(spark, "sync"), stored(spark, token_types(spark, sf_dir), "TokenType"), landed.kept(chain_texts(spark, sf_dir), "chains")
     older = texts.where("token_id RLIKE '[02468]$'").withColumn("value", F.regexp_replace("value", '"tx([0-9]+)"', '"old$1"'))
-    for chains in (older, texts):
-        sync.sync_chains(chains, types, folder, load_time(), (name,), buckets=8)
+    for part in (older, texts):
+        sync.sync_chains(part, types, folder, load_time(), (name,), buckets=8)
     return sync.synced(spark, folder, name)
 
 
