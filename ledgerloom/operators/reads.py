@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.landed import kept
 
 
 def bounds(page: int, limit: int) -> tuple[int, int]:
@@ -137,13 +138,15 @@ def asset_types(token_type: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(token_type.select(F.col("token_id").alias("id"), "token_type"), "id", "left").select("id", F.nullif("token_type", F.lit("")).alias("asset_type"))
 
 
-def resolve(ids: DataFrame, token_type: DataFrame, tables: dict[str, tuple[DataFrame, str]], transfers: DataFrame) -> DataFrame:
-    """(id, type, data) for a list of ids of any kind: tokens by their registered type, owners, else transactions. Unknown ids are left out."""
+def resolve(ids: DataFrame, token_type: DataFrame, tables: dict[str, tuple[DataFrame, str]], transfers: DataFrame, amounts: DataFrame | None = None) -> DataFrame:
+    """(id, type, data) for a list of ids of any kind: tokens by their registered type, owners, else transactions, whose missing amounts are filled from `amounts`. Unknown ids are left out."""
     kinds = ids.select("id", S.id_kind(F.col("id")).alias("is"))
     tokens = asset_types(token_type, kinds.where("is = 'token'").select("id")).select("id", F.col("asset_type").alias("kind"))
     named = tokens.unionAll(kinds.where("is = 'did'").select("id", F.lit("DID").alias("kind")))
     found = lookup(tables, named).select("id", F.col("kind").alias("type"), "data")
     txns = first_transfer(transfers, kinds.where("is = 'transaction'").select(F.col("id").alias("txn_id")))
+    if amounts is not None:
+        txns = filled(kept(txns, "found"), amounts)
     return found.unionAll(txns.select(F.col("txn_id").alias("id"), F.lit("TransferBlock").alias("type"), F.to_json(F.struct(*sorted(txns.columns))).alias("data")))
 
 

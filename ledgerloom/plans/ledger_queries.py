@@ -16,7 +16,7 @@ from ..operators import changes as C
 from ..operators import owners as O
 from ..operators import reads as R
 from ..operators import sync
-from ..sources import landed, tables
+from ..sources import keyed, landed, tables
 from ..sources.fixtures import block_texts, chain_texts, list_texts, sql_views, view
 from ..streaming import streams
 
@@ -505,30 +505,49 @@ def write_ledger_tables(spark, sf_dir):
     return out
 
 
-def narrow_tables(spark: SparkSession, sf_dir: str) -> dict:
-    owners = landed.kept(dids(spark, sf_dir).select("did", "total_nfts", "total_sc"), "dids")
-    return {
-        "RBT": (asset(spark, sf_dir, "RBT").select("rbt_id", "owner_did", "token_status"), "rbt_id"),
-        "FT": (asset(spark, sf_dir, "FT").select("ft_id", "owner_did", "ft_name"), "ft_id"),
-        "NFT": (asset(spark, sf_dir, "NFT").select("nft_id", "owner_did", "txn_id"), "nft_id"),
-        "SC": (asset(spark, sf_dir, "SC").select("contract_id", "deployer_did"), "contract_id"),
-        "DID": (owners, "did"),
-    }
+def whole_tables(spark: SparkSession, sf_dir: str) -> dict:
+    """The tables that ids are looked up in, with all their columns; an owner's totals are added up once."""
+    assets = {k: (asset(spark, sf_dir, k), A.KEYS[k]) for k in ITEM}
+    return assets | {"DID": (landed.kept(dids(spark, sf_dir), "dids"), "did")}
+
+
+def _record(source: str, key: str, kind: str, **columns: str) -> str:
+    """Rows of a view as JSON text: columns by name; numbers and texts as SQL that gives JSON; nulls are left out."""
+    parts = " || ".join(f"coalesce(',\"{c}\":' || {columns[c]}, '')" for c in sorted(columns))
+    return f"SELECT {key} AS id, '{kind}' AS kind, '{{' || substr({parts}, 2) || '}}' AS data FROM {source}"
+
+
+def _text(c: str) -> str:
+    return f"""('"' || replace({c}, '"', '\\"') || '"')"""
+
+
+def _texts(*names: str) -> dict[str, str]:
+    return {n: _text(n) for n in names}
 
 
-DATA_SQL = """data AS (
-  SELECT rbt_id AS id, 'RBT' AS kind, '{"owner_did":"' || owner_did || '","rbt_id":"' || rbt_id || '","token_status":' || token_status || '}' AS data FROM fx_rbt
-  UNION ALL SELECT ft_id, 'FT', '{"ft_id":"' || ft_id || '","ft_name":"' || ft_name || '","owner_did":"' || owner_did || '"}' FROM fx_ft
-  UNION ALL SELECT nft_id, 'NFT', '{"nft_id":"' || nft_id || '","owner_did":"' || owner_did || '","txn_id":"' || txn_id || '"}' FROM fx_nft
-  UNION ALL SELECT contract_id, 'SC', '{"contract_id":"' || contract_id || '","deployer_did":"' || deployer_did || '"}' FROM fx_sc
-  UNION ALL SELECT did, 'DID', '{"did":"' || did || '","total_nfts":' || total_nfts || ',"total_sc":' || total_sc || '}' FROM dids)"""
+def _number(c: str) -> str:
+    return f"cast(cast({c} AS double) AS varchar)"
 
 
-@query(f"{sql_views('fx_block', *ASSETS)}, {DIDS_SQL}, {DATA_SQL}, {TRANSFERS_SQL} SELECT id, kind AS type, data FROM data WHERE id IN ({IDS}) UNION ALL SELECT txn_id, 'TransferBlock', '{{\"block_hash\":\"' || min(block_hash) || '\",\"receiver_did\":\"' || min_by(receiver_did, block_hash) || '\",\"txn_id\":\"' || txn_id || '\"}}' FROM tr WHERE txn_id IN ({IDS}) GROUP BY txn_id")
+MADE_SQL = """made AS (SELECT did, CASE WHEN min(num % 2) = 0 THEN '1970-01-01T00:00:00.000Z' ELSE '2023-11-14T22:13:20.000Z' END AS created_at FROM (
+  SELECT owner_did AS did, num FROM fx_rbt WHERE token_status = 0 UNION ALL SELECT owner_did, num FROM fx_ft WHERE token_status = 0 UNION ALL SELECT owner_did, num FROM fx_nft UNION ALL SELECT deployer_did, num FROM fx_sc) GROUP BY did)"""
+DATA_SQL = f"{MADE_SQL}, data AS (" + " UNION ALL ".join((
+    _record("fx_rbt", "rbt_id", "RBT", **_texts("rbt_id", "owner_did", "block_id"), block_height=_text("cast(block_height AS varchar)"), token_value=_number("token_value"), token_status="token_status"),
+    _record("fx_ft", "ft_id", "FT", **_texts("ft_id", "ft_name", "owner_did", "creator_did", "block_id", "txn_id"), token_value=_number("token_value"), block_height="block_height", token_status="token_status"),
+    _record("fx_nft", "nft_id", "NFT", **_texts("nft_id", "owner_did", "block_hash", "txn_id"), token_value=_text("printf('%.6f', token_value)"), block_height="block_height", token_status="token_status"),
+    _record("fx_sc", "contract_id", "SC", **_texts("contract_id", "block_hash", "deployer_did", "txn_id"), block_height="block_height", token_status="token_status"),
+    _record("dids JOIN made USING (did)", "did", "DID", **_texts("did", "created_at"), total_rbts=_number("total_rbts"), total_fts=_number("total_fts"), total_nfts="total_nfts", total_sc="total_sc"),
+)) + ")"
+#: Of each transaction the transfer of the smallest block hash, a missing amount filled.
+FOUND_SQL = f"""found AS (SELECT f.* REPLACE ({FILLED_SQL}) FROM (SELECT * FROM ({TRANSFER_SQL}) x WHERE txn_id IN ({IDS}) QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY block_hash) = 1) f LEFT JOIN fx_txn_amount USING (txn_id))
+, txn AS ({_record('found', 'txn_id', 'TransferBlock', **_texts('txn_id', 'block_hash', 'sender_did', 'receiver_did', 'txn_type', 'tokens', 'validator_pledge_map'), amount=_number('amount'), epoch='epoch')})"""
+
+
+@query(f"{sql_views('fx_block', 'fx_block_token', 'fx_txn_amount', *ASSETS)}, {LINKS_SQL}, {DIDS_SQL}, {DATA_SQL}, {FOUND_SQL} SELECT id, kind AS type, data FROM data WHERE id IN ({IDS}) UNION ALL SELECT id, kind, data FROM txn")
 def search_resolve(spark, sf_dir):
-    transfers = transfer_table(spark, sf_dir).select("block_hash", "receiver_did", "txn_id")
+    """Whole records of every kind; a transaction's amount is filled where it is missing."""
     ids, types = landed.kept(wanted_ids(spark, sf_dir), "ids"), stored(spark, token_types(spark, sf_dir), "TokenType")
-    return R.resolve(ids, types, narrow_tables(spark, sf_dir), transfers)
+    return R.resolve(ids, types, whole_tables(spark, sf_dir), transfer_table(spark, sf_dir), amounts(spark, sf_dir))
 
 
 @query(f"{sql_views(*ASSETS)}, {DIDS_SQL}, {DATA_SQL} SELECT id, kind, data FROM data WHERE id IN ({IDS})")
@@ -536,7 +555,19 @@ def lookup_by_id(spark, sf_dir):
     ids = landed.kept(wanted_ids(spark, sf_dir), "ids")
     kinds = {"QmR": "RBT", "QmF": "FT", "QmN": "NFT", "QmS": "SC"}
     named = ids.select("id", F.coalesce(S.look_up(kinds, F.substring("id", 1, 3)), F.when(F.col("id").startswith("bafy"), "DID")).alias("kind"))
-    return R.lookup(narrow_tables(spark, sf_dir), named)
+    return R.lookup(whole_tables(spark, sf_dir), named)
+
+
+def keyed_lookup(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Whole rows of one table by id, from partitions by a hash of the id: a request reads its own partitions."""
+    folder, (rows, key) = f"{landed.new_folder(spark, 'keyed')}/{kind}", (asset(spark, sf_dir, kind), A.KEYS[kind])
+    schema = tables.TABLES["SmartContract" if kind == "SC" else kind]
+    keyed.merge(tables.conformed(rows, "SmartContract" if kind == "SC" else kind), folder, schema, key, "last", buckets=8)
+    return keyed.lookup(spark, folder, schema, key, wanted_ids(spark, sf_dir), 8)
+
+
+for _kind in ITEM:
+    query(f"{sql_views(ITEM[_kind][0])} {TABLE_SQL[_kind]} FROM {ITEM[_kind][0]} WHERE {A.KEYS[_kind]} IN ({IDS})", f"lookup_{_kind.lower()}")(lambda spark, sf_dir, kind=_kind: keyed_lookup(spark, sf_dir, kind))
 
 
 ANALYTICS_SQL = f"""{sql_views('fx_block', 'fx_block_token', *ASSETS)}, t AS ({ALL_TOKENS}), k AS (SELECT DISTINCT block_hash, token_type FROM fx_block_token JOIN t USING (token_id))
