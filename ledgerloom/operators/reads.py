@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,12 @@ def transfer_page(transfers: DataFrame, amounts: DataFrame, page: int, limit: in
     """Latest transfers; a missing amount is filled for the rows of the page only. With the count of listed transfers."""
     rows = usable(transfers)
     shown = page_of(rows, [F.desc("epoch"), "block_hash"], page, limit)
+    return transfer_rows(with_total(filled(shown, amounts, limit), rows))
+
+
+def transfer_rows(page: DataFrame) -> DataFrame:
+    """A page's transfers as they are shown: no nulls but in the epoch."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    page = with_total(filled(shown, amounts, limit), rows)
     return page.select("block_hash", text("sender_did"), text("receiver_did"), text("txn_type"), text("txn_id"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "epoch", "count")
 
 
@@ -58,6 +64,26 @@ def backfill(transfers: DataFrame, amounts: DataFrame) -> DataFrame:
     return transfers.join(wanted, "txn_id", "left").withColumn("amount", F.coalesce("txn_value", "amount")).select(transfers.columns)
 
 
+def period_counts(rows: DataFrame) -> DataFrame:
+    """(period, n): rows of each period of a table (tables.read_periods). Store it beside the table, and count again the periods that a load has touched."""
+    return rows.groupBy("period").agg(F.count(F.lit(1)).alias("n"))
+
+
+def period_page(read: Callable[[list], DataFrame], counts: DataFrame, page: int, limit: int, order: str = "block_hash") -> tuple[DataFrame, int]:
+    """(page, total) of a table's rows, latest first and null epochs before all, then by `order`: running sums over the counts tell which periods hold the page, and read(periods) reads these alone.
+
+    counts has a row for each period, so that it is small however large the table is. A page beyond the end reads nothing."""
+    skip, most = bounds(page, limit)
+    sizes = sorted(((r["period"], r["n"]) for r in counts.collect()), key=lambda x: (x[0] is not None, -(x[0] or 0)))
+    chosen, before, offset = [], 0, 0
+    for period, n in sizes:
+        if before < skip + most and before + n > skip:
+            offset = offset if chosen else skip - before
+            chosen.append(period)
+        before += n
+    return read(chosen).orderBy(F.desc_nulls_first("epoch"), order).offset(offset).limit(most), before
+
+
 def with_total(shown: DataFrame, rows: DataFrame) -> DataFrame:
     """A page with the count of all rows beside each of its rows."""
     return shown.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("count"))))  # one row

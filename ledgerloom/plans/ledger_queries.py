@@ -428,6 +428,27 @@ def burnt_page(spark, sf_dir):
     return R.burnt_page(burns, 4, 500).select("block_hash", "owner_did", "txn_type", "epoch", "count")
 
 
+@query(ORACLES["transfer_page"])
+def transfer_page_by_period(spark, sf_dir):
+    """The same page of a table in periods of 90 days: its counts tell which periods to read."""
+    folder = landed.new_folder(spark, "periods")
+    tables.write_table(R.usable(B.transfers(B.route(decoded(spark, sf_dir)).where("route = 'transfer'"))), "TransferBlocks", folder, days=90)
+    counts = landed.kept(R.period_counts(tables.read_periods(spark, "TransferBlocks", folder)), "counts")
+    shown, total = R.period_page(lambda periods: tables.read_periods(spark, "TransferBlocks", folder, periods), counts, 2, 20)
+    return R.transfer_rows(R.filled(shown, amounts(spark, sf_dir), 20).withColumn("count", F.lit(total).cast("bigint")))
+
+
+@query(ORACLES["burnt_page"])
+def burnt_page_by_period(spark, sf_dir):
+    """Burns without an epoch come first: they are a period of their own."""
+    folder = landed.new_folder(spark, "periods")
+    rows = decoded(spark, sf_dir).withColumn("comment", F.when(F.col("num") % 3 > 0, F.col("comment")))
+    tables.write_table(B.burns(B.route(rows).where("route = 'burnt'")), "BurntBlocks", folder, days=90)
+    counts = landed.kept(R.period_counts(tables.read_periods(spark, "BurntBlocks", folder)), "counts")
+    shown, total = R.period_page(lambda periods: tables.read_periods(spark, "BurntBlocks", folder, periods), counts, 4, 500)
+    return shown.select("block_hash", "owner_did", "txn_type", "epoch", F.lit(total).cast("bigint").alias("count"))
+
+
 FILLED_SQL = "CASE WHEN amount IS NULL OR amount = 0 THEN coalesce(nullif(txn_value, 0), amount) ELSE amount END AS amount"
 
 

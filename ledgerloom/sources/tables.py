@@ -47,6 +47,15 @@ def read_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}").select(*COLUMNS[name])
 
 
+def read_periods(spark: SparkSession, name: str, folder: str, periods: list[int | None] | None = None) -> DataFrame:
+    """A table that is partitioned by periods, with its column period; with `periods`, only these partitions are read (None: rows without an epoch)."""
+    rows = spark.read.schema(f"{TABLES[name]}, period bigint").parquet(f"{folder}/{name}")
+    if periods is None:
+        return rows
+    known = [p for p in periods if p is not None]
+    return rows.where(F.col("period").isin(known) | F.col("period").isNull() if None in periods else F.col("period").isin(known))
+
+
 def stored(rows: DataFrame, name: str, folder: str) -> DataFrame:
     """The table, written once and read back: what reads it parses no JSON again."""
     write_table(rows, name, folder)
