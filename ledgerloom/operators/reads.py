@@ -124,12 +124,13 @@ def top_holders(dids: DataFrame, page: int, limit: int) -> DataFrame:
 
 
 def holdings(rbt: DataFrame, dids: DataFrame, page: int, limit: int) -> DataFrame:
-    """A page of free base tokens for each of the owners, with how many each has."""
+    """A page of free base tokens for each of the owners, with how many each has.
+
+    The count is a grouped sum, and ranks stand alone in their window, so that each task passes on no more than a page's end of an owner's rows (up to rank 1,000): an owner of very many tokens is no single task."""
     skip, most = bounds(page, limit)
     free = rbt.where("token_status = 0").join(dids.select(F.col("did").alias("owner_did")), "owner_did", "left_semi")
-    own = Window.partitionBy("owner_did")
-    rows = free.withColumn("rn", F.row_number().over(own.orderBy("rbt_id"))).withColumn("count", F.count(F.lit(1)).over(own))
-    return rows.where((F.col("rn") > skip) & (F.col("rn") <= skip + most)).select("owner_did", "rbt_id", "token_value", "rn", "count")
+    ranked = free.withColumn("rn", F.row_number().over(Window.partitionBy("owner_did").orderBy("rbt_id"))).where((F.col("rn") <= skip + most) & (F.col("rn") > skip))
+    return ranked.join(free.groupBy("owner_did").agg(F.count(F.lit(1)).alias("count")), "owner_did").select("owner_did", "rbt_id", "token_value", "rn", "count")
 
 
 def did_detail(dids: DataFrame, rbt: DataFrame, page: int, limit: int) -> DataFrame:

@@ -26,3 +26,15 @@ def test_a_page_reads_its_periods(spark, tmp_path, page, limit):
     sizes = {r.period: r.n for r in counts.collect()}
     touched = {None if e is None else e // 864_000 for _, e in wanted}
     assert scanned(shown)[1] == sum(sizes[p] for p in touched)
+
+
+def test_holdings_pass_on_a_page_of_each_owner(spark):
+    """A hot owner: ranks are cut before the shuffle, the page and the count are whole."""
+    rbt = spark.range(0, 30_000, numPartitions=6).selectExpr("CASE WHEN id % 10 < 9 THEN 'hot' ELSE concat('o', id % 70) END AS owner_did", "format_string('t%06d', id) AS rbt_id", "1.0D AS token_value", "cast(id % 11 = 5 AS int) AS token_status")
+    dids = spark.createDataFrame([("hot",), ("o9",), ("none",)], "did string")
+    got = R.holdings(rbt, dids, 2, 5)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") >= 1
+    free = [(r.owner_did, r.rbt_id) for r in rbt.where("token_status = 0 AND owner_did IN ('hot', 'o9')").orderBy("rbt_id").collect()]
+    for owner in ("hot", "o9"):
+        mine = [t for o, t in free if o == owner]
+        assert [(r.rbt_id, r.rn, r["count"]) for r in got.where(F.col("owner_did") == owner).orderBy("rn").collect()] == [(t, k + 6, len(mine)) for k, t in enumerate(mine[5:10])]
