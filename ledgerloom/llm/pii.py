@@ -1,6 +1,6 @@
 """PII: format-preserving Feistel pseudonyms.
 
-Validated values (cards by their check digit, phones, social security numbers, IBANs by modulo 97, IPv4 addresses, calendar dates,
+Validated values (cards by their check digit, phones, social security numbers, IBANs by modulo 97, IPv4 and IPv6 addresses, calendar dates,
 e-mail addresses, quoted tokens) are found in the text and permuted within their format under a key: digits stay digits, letters
 stay letters, check digits stay right, dates stay dates. Equal values get equal pseudonyms in all documents; without the key they
 can't be reversed. Numbers that fail validation are left alone, as are
@@ -10,6 +10,7 @@ ten digits in a row without a mark, a country code or a group: they may be anyth
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import os
 import re
 import unicodedata
@@ -42,9 +43,16 @@ def class_of(ch: str) -> str | None:
 
 
 def permuted(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
-    """A keyed permutation of range(size): a balanced Feistel network, walked until the value is in range again."""
+    """A keyed permutation of range(size) in which no value stands for itself: a Feistel network, a step of a keyed length around the range, and the network back."""
     if size < 2:
         return value
+    told = hashlib.blake2b(f"{tweak}|{size:x}|step".encode(), key=key).digest()
+    step = 1 + int.from_bytes(told, "big") % (size - 1)
+    return feistel((feistel(value, size, key, tweak) + (-step if back else step)) % size, size, key, tweak, True)
+
+
+def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed permutation of range(size): a balanced Feistel network, walked until the value is in range again."""
     half = (max(2, (size - 1).bit_length()) + 1) // 2
     mask = (1 << half) - 1
 
@@ -99,10 +107,14 @@ def card(found: str, key: bytes, back: bool) -> str | None:
     return with_digits(found, new + luhn_digit(new))
 
 
-def phone(found: str, key: bytes, back: bool) -> str:
-    """The last ten digits change; a country code stays."""
+def phone(found: str, key: bytes, back: bool) -> str | None:
+    """The last ten digits change, or all after a country code that is parted by a mark, or after an area code with a leading 0; these codes stay."""
     digits = re.sub("[^0-9]", "", found)
-    return with_digits(found, digits[:-10] + permuted_text(digits[-10:], key, "phone", back))
+    if not 8 <= len(digits) <= 15:
+        return None
+    code = re.match(r"\+([0-9]{1,3})[ .(-]", found) or re.match(r"(0[1-9][0-9]{1,3})[ /-][0-9]{6,8}\Z", found)
+    at = len(code[1]) if code else max(len(digits) - 10, 0)
+    return with_digits(found, digits[:at] + permuted_text(digits[at:], key, "phone", back))
 
 
 def social(found: str, key: bytes, back: bool) -> str | None:
@@ -134,8 +146,27 @@ def address(found: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, new.to_bytes(4, "big")))
 
 
+def long_address(found: str, key: bytes, back: bool) -> str | None:
+    """An IPv6 address of a range that is in use; its first group, and how it is shortened, stay."""
+    try:
+        first = ipaddress.IPv6Address(found).packed[0]
+    except ValueError:
+        return None
+    if not (0x20 <= first < 0x40 or 0xFC <= first):
+        return None
+    head, mark, rest = found.partition(":")
+    shape = re.sub("[0-9A-Fa-f]", "0", rest)
+    hexes = DIGITS + ("ABCDEF" if re.search("[A-F]", found) else "abcdef")
+    digits = re.sub("[^0-9A-Fa-f]", "", rest)
+    if not digits or any(ch not in hexes for ch in digits):
+        return None
+    value = permuted(int(digits, 16), 16 ** len(digits), key, f"ip6 {hexes[10]}", back)
+    text = f"{value:0{len(digits)}x}"
+    return head + mark + with_digits(shape, text.upper() if hexes[10] == "A" else text)
+
+
 def calendar(found: str, key: bytes, back: bool) -> str | None:
-    """YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY or MM/DD/YYYY; dates of 1900 to 2099 stay there, others stay outside."""
+    """YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY, MM/DD/YYYY or MM-DD-YYYY; dates of 1900 to 2099 stay there, others stay outside."""
     mark = re.search("[^0-9]", found)[0]
     parts = found.split(mark)
     y, m, d = parts if len(parts[0]) == 4 else (parts[2], parts[1], parts[0]) if mark == "." else (parts[2], parts[0], parts[1])
@@ -160,6 +191,20 @@ def email(found: str, key: bytes, back: bool) -> str:
     return f"{permuted_text(name, key, 'email', back)}@{domain}"
 
 
+def whole_email(found: str, key: bytes, back: bool) -> str:
+    """The domain changes too, but for what stands after its last dot."""
+    name, _, domain = email(found, key, back).rpartition("@")
+    host, _, last = domain.rpartition(".")
+    return f"{name}@{permuted_text(host, key, 'domain', back)}.{last}"
+
+
+def token(found: str, key: bytes, back: bool) -> str | None:
+    """A quoted token of small and capital letters and digits; other characters stay."""
+    if not all(re.search(p, found) for p in ("[a-z]", "[A-Z]", "[0-9]")):
+        return None
+    return permuted_text(found, key, "token", back)
+
+
 def secret(found: str, key: bytes, back: bool) -> str:
     """Hexadecimal digits of a quoted token change."""
     hexes = DIGITS + ("ABCDEF" if re.search("[A-F]", found) else "abcdef")
@@ -174,30 +219,34 @@ def secret(found: str, key: bytes, back: bool) -> str:
     return out
 
 
-KINDS = {"email": email, "secret": secret, "iban": iban, "date": calendar, "ip": address, "social": social, "phone": phone, "card": card}
+KINDS = {"email": email, "secret": secret, "token": token, "iban": iban, "date": calendar, "ip6": long_address, "ip": address, "social": social, "phone": phone, "card": card}
 PATTERN = re.compile(
     r"(?<![\w.%+-])(?P<email>[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w@]))"
     r"""|(?<=["'])(?P<secret>[0-9a-f]{20,128}|[0-9A-F]{20,128})(?=["'])"""
+    r"""|(?<=["'])(?P<token>[A-Za-z0-9_+/=-]{20,128})(?=["'])"""
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?<![0-9./-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
-    r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])"
+    r"|(?<![0-9./-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9/-]|\.[0-9])"
+    r"|(?<![\w:.])(?P<ip6>[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4})(?![\w:]|\.[0-9])"
+    r"|(?<![\w.])(?<![Vv]ersion )(?<![Rr]elease )(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])"
     r"|(?<![0-9-])(?P<social>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])"
-    r"|(?<![0-9])(?P<phone>\+[0-9]{11,13}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9]|-[0-9])"
+    r"|(?<![0-9])(?P<phone>\+[0-9]{11,13}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    r"|\+[1-9][0-9]{0,2}(?:[ .-]\(?[0-9]{1,5}\)?){1,3}[ .-][0-9]{3,8}|0[1-9][0-9]{1,3}[ /-][0-9]{6,8})(?![0-9]|-[0-9])"
     r"|(?<![0-9])(?P<card>[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])"
 )
 
 
-def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with its values replaced, and how many of each kind have changed; back=True restores the original."""
+def pseudonymised(text: str, key: bytes, back: bool = False, domains: bool = False) -> tuple[str, dict[str, int]]:
+    """The text with its values replaced, and how many of each kind have changed; back=True restores the original. With domains, those of e-mail addresses change too."""
     counts: dict[str, int] = {}
+    kinds = KINDS | ({"email": whole_email} if domains else {})
 
     @lru_cache(maxsize=4096)
     def new(kind: str, found: str) -> str | None:
-        return KINDS[kind](found, key, back)
+        return kinds[kind](found, key, back)
 
     def put(m: re.Match) -> str:
         changed = new(m.lastgroup, m[0])
-        if changed is None or changed == m[0]:  # nothing to permute, or the rare value that stands for itself
+        if changed is None or changed == m[0]:  # nothing to permute
             return m[0]
         counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
         return changed
@@ -205,7 +254,7 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, dict[
     return PATTERN.sub(put, text), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", domains: bool = False) -> DataFrame:
     """docs with pseudonyms in text_col, and n_values (how many values were replaced) and kinds (which, sorted and comma-joined) added.
 
     Null texts stay null and empty ones empty, with 0 and ''. Every row gives a row; columns of the added names are replaced.
@@ -219,12 +268,12 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             for batch in bounded_slices(whole, text_col):
                 at = batch.schema.get_field_index(text_col)
                 texts = batch.column(at)
-                may = pc.fill_null(pc.match_substring_regex(texts, "[0-9@\"']"), False)  # all kinds hold one of these
+                may = pc.fill_null(pc.match_substring_regex(texts, "[0-9@\"':]"), False)  # all kinds hold one of these
                 pick = pc.indices_nonzero(may).to_pylist()
                 n, kinds = [0] * batch.num_rows, [""] * batch.num_rows
                 changed = []
                 for i, text in zip(pick, texts.filter(may).to_pylist(), strict=True):
-                    new, counts = pseudonymised(text, key)
+                    new, counts = pseudonymised(text, key, domains=domains)
                     n[i], kinds[i] = sum(counts.values()), ",".join(sorted(counts))
                     changed.append(new)
                 columns = list(batch.columns)

@@ -200,3 +200,33 @@ def test_query_equals_plain_calls(spark):
     for r in out:
         new, counts = pii.pseudonymised(docs[r.doc_id], b"some key")
         assert (r.text, r.n_values, r.kinds) == (new, sum(counts.values()), ",".join(sorted(counts)))
+
+
+@pytest.mark.parametrize("text,kind", [("+49 30 1234567", "phone"), ("+44 20 7946 0958", "phone"), ("030 1234567", "phone"), ("+1 (555) 010-9999", "phone"), ("12-31-1999", "date"), ("2001:db8::8a2e:370:7334", "ip6"), ("FE80::1", "ip6"), ("2001:0DB8:0000:0000:0000:FF00:0042:8329", "ip6"), ('"sk_Live-9aZ81bQ77xPqR2tt"', "token"), ("a@b.de", "email"), ("q@ivanov-peter.de", "email")])
+def test_pii_more_formats(text, kind):
+    """Each is found, changes, keeps its form and comes back, under many keys."""
+    shape = lambda s: "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in s)
+    for k in range(60):
+        new, counts = pii.pseudonymised(f"see {text}, now", f"key{k}".encode())
+        assert counts == {kind: 1} and new != f"see {text}, now" and len(new) == len(text) + 9
+        assert kind == "ip6" or shape(new) == shape(f"see {text}, now")
+        assert pii.pseudonymised(new, f"key{k}".encode(), back=True) == (f"see {text}, now", counts)
+    if kind == "phone" and text[0] == "+":
+        assert new[4:].startswith(text.split()[0])
+
+
+def test_pii_domains_by_option():
+    new, _ = pii.pseudonymised("m@ivanov-peter.de", b"k", domains=True)
+    name, _, host = new.partition("@")
+    assert host.endswith(".de") and host != "ivanov-peter.de" and pii.pseudonymised(new, b"k", back=True, domains=True)[0] == "m@ivanov-peter.de"
+    assert pii.pseudonymised("m@ivanov-peter.de", b"k")[0].endswith("@ivanov-peter.de")
+
+
+def test_pii_leaves_versions_times_and_names():
+    text = "version 3.14.15.92 at 12:34:56 and std::vector, a::b, 0::, 31-12-1999, 99:99, 'AllLettersNoDigitsHereAtAll', 0123 45, +1 2 3, 1:2:3:4:5:6:7:8"
+    assert pii.pseudonymised(text, b"k") == (text, {})
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 26, 1000])
+def test_pii_no_value_stands_for_itself(size):
+    assert all(pii.permuted(i, size, f"k{k}".encode(), "t") != i for k in range(20) for i in range(min(size, 60)))
