@@ -89,10 +89,14 @@ def with_total(shown: DataFrame, rows: DataFrame) -> DataFrame:
     return shown.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("count"))))  # one row
 
 
-def page_json(shown: DataFrame, name: str, order: str) -> DataFrame:
-    """One row, json: a page (with_total's columns) as the object that an endpoint answers with, {name: [rows by `order`], "count": total}; nulls are written. An empty page has no rows and counts 0."""
-    fields = [c for c in shown.columns if c not in (order, "count")]
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(order, *fields))), lambda x: F.struct(*[x[c].alias(c) for c in shown.columns if c != "count"]))  # a page's rows
+def page_json(shown: DataFrame, name: str, order: str | list[Column], fields: dict[str, str] | None = None) -> DataFrame:
+    """One row, json: a page (with_total's columns) as the object that an endpoint answers with, {name: [rows by `order`], "count": total}; nulls are written. An empty page has no rows and counts 0.
+
+    fields: the columns by the names that the answer gives them, in order; else all under their own."""
+    fields = fields or {c: c for c in shown.columns if c != "count"}
+    keys = F.struct(*[x.alias(f"k{i}") for i, x in enumerate([F.col(order)] if isinstance(order, str) else order)])
+    each = F.struct(keys.alias("key"), F.struct(*[F.col(c).alias(k) for k, c in fields.items()]).alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(each)), lambda x: x["row"])  # a page's rows
     return shown.agg(F.to_json(F.struct(rows.alias(name), F.coalesce(F.max("count"), F.lit(0)).alias("count")), {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -449,6 +449,48 @@ def burnt_page_by_period(spark, sf_dir):
     return shown.select("block_hash", "owner_did", "txn_type", "epoch", F.lit(total).cast("bigint").alias("count"))
 
 
+def _json_sql(name: str, order: str, **fields: str) -> str:
+    """A page as an endpoint answers with it; fields are SQL that gives JSON, null for null."""
+    row = " || ',' || ".join(f"""'"{k}":' || coalesce({x}, 'null')""" for k, x in fields.items())
+    return f"""SELECT '{{"{name}":[' || coalesce(string_agg('{{' || {row} || '}}', ',' ORDER BY {order}), '') || '],"count":' || coalesce(max(count), 0) || '}}' AS json"""
+
+
+def _string(c: str) -> str:
+    return f"""('"' || replace({c}, '"', '\\"') || '"')"""
+
+
+def _double(c: str) -> str:
+    return f"cast(cast({c} AS double) AS varchar)"
+
+
+def _paged(name: str, columns: str) -> str:
+    """The views of a page's SQL with the page itself as `shown`."""
+    views, _, last = ORACLES[name].rpartition(" SELECT " + columns)
+    return f"{views}, shown AS (SELECT {columns}{last})"
+
+
+@query(f"{_paged('transfer_page', 'block_hash, sender_did, receiver_did, trans_code')} {_json_sql('transactions_response', 'epoch DESC, block_hash', txn_hash=_string('txn_id'), txn_type=_string('txn_type'), amount=_double('amount'), txn_time='cast(epoch AS varchar)', sender_did=_string('sender_did'), receiver_did=_string('receiver_did'))} FROM shown")
+def transfer_page_json(spark, sf_dir):
+    names = {"txn_hash": "txn_id", "txn_type": "txn_type", "amount": "amount", "txn_time": "epoch", "sender_did": "sender_did", "receiver_did": "receiver_did"}
+    return R.page_json(transfer_page(spark, sf_dir), "transactions_response", [-F.col("epoch"), F.col("block_hash")], names)
+
+
+@query(f"{_paged('top_holders', 'did, total_rbts')} {_json_sql('holders_response', 'total_rbts DESC NULLS FIRST, did', owner_did=_string('did'), token_count=_double('total_rbts'))} FROM shown")
+def top_holders_json(spark, sf_dir):
+    return R.page_json(top_holders(spark, sf_dir), "holders_response", [-F.col("total_rbts"), F.col("did")], {"owner_did": "did", "token_count": "total_rbts"})
+
+
+@query(f"{_paged('rbt_page', 'rbt_id, owner_did')} {_json_sql('tokens', 'rbt_id', token_id=_string('rbt_id'), owner_did=_string('owner_did'), token_value=_double('token_value'))} FROM shown")
+def rbt_page_json(spark, sf_dir):
+    return R.page_json(rbt_page(spark, sf_dir), "tokens", "rbt_id", {"token_id": "rbt_id", "owner_did": "owner_did", "token_value": "token_value"})
+
+
+@query(f"{_paged('burnt_page', 'block_hash, sender_did AS owner_did')} {_json_sql('burntblocks', 'epoch DESC NULLS FIRST, block_hash', block_hash=_string('block_hash'), owner_did=_string('owner_did'), txn_type=_string('txn_type'), epoch='cast(epoch AS varchar)')} FROM shown")
+def burnt_page_json(spark, sf_dir):
+    names = {c: c for c in ("block_hash", "owner_did", "txn_type", "epoch")}
+    return R.page_json(burnt_page(spark, sf_dir), "burntblocks", [-F.col("epoch"), F.col("block_hash")], names)
+
+
 FILLED_SQL = "CASE WHEN amount IS NULL OR amount = 0 THEN coalesce(nullif(txn_value, 0), amount) ELSE amount END AS amount"
 
 
