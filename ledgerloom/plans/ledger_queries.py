@@ -455,37 +455,51 @@ def _json_sql(name: str, order: str, **fields: str) -> str:
     return f"""SELECT '{{"{name}":[' || coalesce(string_agg('{{' || {row} || '}}', ',' ORDER BY {order}), '') || '],"count":' || coalesce(max(count), 0) || '}}' AS json"""
 
 
-def _string(c: str) -> str:
+def _text(c: str) -> str:
     return f"""('"' || replace({c}, '"', '\\"') || '"')"""
 
 
-def _double(c: str) -> str:
+def _number(c: str) -> str:
     return f"cast(cast({c} AS double) AS varchar)"
 
 
+def _texts(*names: str) -> dict[str, str]:
+    return {n: _text(n) for n in names}
+
+
+def _moment(seconds: str) -> str:
+    return f"""('"' || strftime(make_timestamp(cast({seconds} AS bigint) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') || '"')"""
+
+
+def _record(source: str, key: str, kind: str, **columns: str) -> str:
+    """Rows of a view as JSON text: columns by name; numbers and texts as SQL that gives JSON; nulls are left out."""
+    parts = " || ".join(f"coalesce(',\"{c}\":' || {columns[c]}, '')" for c in sorted(columns))
+    return f"SELECT {key} AS id, '{kind}' AS kind, '{{' || substr({parts}, 2) || '}}' AS data FROM {source}"
+
+
 def _paged(name: str, columns: str) -> str:
     """The views of a page's SQL with the page itself as `shown`."""
     views, _, last = ORACLES[name].rpartition(" SELECT " + columns)
     return f"{views}, shown AS (SELECT {columns}{last})"
 
 
-@query(f"{_paged('transfer_page', 'block_hash, sender_did, receiver_did, trans_code')} {_json_sql('transactions_response', 'epoch DESC, block_hash', txn_hash=_string('txn_id'), txn_type=_string('txn_type'), amount=_double('amount'), txn_time='cast(epoch AS varchar)', sender_did=_string('sender_did'), receiver_did=_string('receiver_did'))} FROM shown")
+@query(f"{_paged('transfer_page', 'block_hash, sender_did, receiver_did, trans_code')} {_json_sql('transactions_response', 'epoch DESC, block_hash', txn_hash=_text('txn_id'), txn_type=_text('txn_type'), amount=_number('amount'), txn_time='cast(epoch AS varchar)', sender_did=_text('sender_did'), receiver_did=_text('receiver_did'))} FROM shown")
 def transfer_page_json(spark, sf_dir):
     names = {"txn_hash": "txn_id", "txn_type": "txn_type", "amount": "amount", "txn_time": "epoch", "sender_did": "sender_did", "receiver_did": "receiver_did"}
     return R.page_json(transfer_page(spark, sf_dir), "transactions_response", [-F.col("epoch"), F.col("block_hash")], names)
 
 
-@query(f"{_paged('top_holders', 'did, total_rbts')} {_json_sql('holders_response', 'total_rbts DESC NULLS FIRST, did', owner_did=_string('did'), token_count=_double('total_rbts'))} FROM shown")
+@query(f"{_paged('top_holders', 'did, total_rbts')} {_json_sql('holders_response', 'total_rbts DESC NULLS FIRST, did', owner_did=_text('did'), token_count=_number('total_rbts'))} FROM shown")
 def top_holders_json(spark, sf_dir):
     return R.page_json(top_holders(spark, sf_dir), "holders_response", [-F.col("total_rbts"), F.col("did")], {"owner_did": "did", "token_count": "total_rbts"})
 
 
-@query(f"{_paged('rbt_page', 'rbt_id, owner_did')} {_json_sql('tokens', 'rbt_id', token_id=_string('rbt_id'), owner_did=_string('owner_did'), token_value=_double('token_value'))} FROM shown")
+@query(f"{_paged('rbt_page', 'rbt_id, owner_did')} {_json_sql('tokens', 'rbt_id', token_id=_text('rbt_id'), owner_did=_text('owner_did'), token_value=_number('token_value'))} FROM shown")
 def rbt_page_json(spark, sf_dir):
     return R.page_json(rbt_page(spark, sf_dir), "tokens", "rbt_id", {"token_id": "rbt_id", "owner_did": "owner_did", "token_value": "token_value"})
 
 
-@query(f"{_paged('burnt_page', 'block_hash, sender_did AS owner_did')} {_json_sql('burntblocks', 'epoch DESC NULLS FIRST, block_hash', block_hash=_string('block_hash'), owner_did=_string('owner_did'), txn_type=_string('txn_type'), epoch='cast(epoch AS varchar)')} FROM shown")
+@query(f"{_paged('burnt_page', 'block_hash, sender_did AS owner_did')} {_json_sql('burntblocks', 'epoch DESC NULLS FIRST, block_hash', block_hash=_text('block_hash'), owner_did=_text('owner_did'), txn_type=_text('txn_type'), epoch='cast(epoch AS varchar)')} FROM shown")
 def burnt_page_json(spark, sf_dir):
     names = {c: c for c in ("block_hash", "owner_did", "txn_type", "epoch")}
     return R.page_json(burnt_page(spark, sf_dir), "burntblocks", [-F.col("epoch"), F.col("block_hash")], names)
@@ -548,50 +562,12 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-WRITTEN_SQL = {"TransferBlocks": "fx_block WHERE trans_code = '02'", "BurntBlocks": "fx_block WHERE trans_code IN ('08', '13')", "SC_Blocks": "fx_block WHERE trans_code IN ('09', '10')", "AllBlocks": "fx_block", "TokenType": "t", "RBT": "fx_rbt", "FT": "fx_ft", "NFT": "fx_nft", "SmartContract": "fx_sc", "DIDs": "dids", "TxnAnalytics": "(ANALYTICS)"}
-
-
-def _written_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n_rows, cast({len(tables.COLUMNS[name])} AS int) AS n_columns FROM {source}" for name, source in WRITTEN_SQL.items())
-    views, _, analytics = ANALYTICS_SQL.rpartition("SELECT epoch // 3600")
-    return f"{views}, {DIDS_SQL} {parts.replace('(ANALYTICS)', '(SELECT epoch // 3600' + analytics + ') a')}"
-
-
-def write_ledger_tables(spark, sf_dir):
-    """All tables, the block tables by years of their epoch, written and read back: how many rows and columns each has."""
-    folder, out = landed.new_folder(spark, "ledger"), None
-    for name, rows in all_tables(spark, sf_dir).items():
-        tables.write_table(rows, name, folder, days=365)
-        back = tables.read_table(spark, name, folder)
-        one = back.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(back.columns)).alias("n_columns"))
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
 def whole_tables(spark: SparkSession, sf_dir: str) -> dict:
     """The tables that ids are looked up in, with all their columns; an owner's totals are added up once."""
     assets = {k: (asset(spark, sf_dir, k), A.KEYS[k]) for k in ITEM}
     return assets | {"DID": (landed.kept(dids(spark, sf_dir), "dids"), "did")}
 
 
-def _record(source: str, key: str, kind: str, **columns: str) -> str:
-    """Rows of a view as JSON text: columns by name; numbers and texts as SQL that gives JSON; nulls are left out."""
-    parts = " || ".join(f"coalesce(',\"{c}\":' || {columns[c]}, '')" for c in sorted(columns))
-    return f"SELECT {key} AS id, '{kind}' AS kind, '{{' || substr({parts}, 2) || '}}' AS data FROM {source}"
-
-
-def _text(c: str) -> str:
-    return f"""('"' || replace({c}, '"', '\\"') || '"')"""
-
-
-def _texts(*names: str) -> dict[str, str]:
-    return {n: _text(n) for n in names}
-
-
-def _number(c: str) -> str:
-    return f"cast(cast({c} AS double) AS varchar)"
-
-
 MADE_SQL = """made AS (SELECT did, CASE WHEN min(num % 2) = 0 THEN '1970-01-01T00:00:00.000Z' ELSE '2023-11-14T22:13:20.000Z' END AS created_at FROM (
   SELECT owner_did AS did, num FROM fx_rbt WHERE token_status = 0 UNION ALL SELECT owner_did, num FROM fx_ft WHERE token_status = 0 UNION ALL SELECT owner_did, num FROM fx_nft UNION ALL SELECT deployer_did, num FROM fx_sc) GROUP BY did)"""
 DATA_SQL = f"{MADE_SQL}, data AS (" + " UNION ALL ".join((
@@ -646,6 +622,37 @@ def txn_analytics(spark, sf_dir):
     return out.withColumns({c: F.unix_timestamp(c) for c in ("interval_start", "interval_end")})
 
 
+def write_ledger_tables(spark, sf_dir):
+    """All tables, the block tables by years of their epoch, written and read back: how many rows and columns each has, and the sum of digests of whole rows as JSON text."""
+    folder, out = landed.new_folder(spark, "ledger"), None
+    for name, rows in all_tables(spark, sf_dir).items():
+        tables.write_table(rows, name, folder, days=365)
+        back = tables.read_table(spark, name, folder)
+        shown = back.withColumn("total_value", F.round(F.col("total_value") * 100).cast("bigint")) if name == "TxnAnalytics" else back  # engines write large doubles differently
+        digest = F.conv(F.substring(F.md5(F.to_json(F.struct(*sorted(back.columns))).cast("binary")), 1, 8), 16, 10).cast("bigint")
+        one = shown.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(digest), F.lit(0)).alias("digest")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(back.columns)).alias("n_columns"), "digest")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _written_sql() -> str:
+    """The same from the records of each table."""
+    burnt = ORACLES["burnt_blocks"].rpartition(", " + LINKS_SQL)[2]
+    sums = "(SELECT epoch // 3600" + ANALYTICS_SQL.rpartition("SELECT epoch // 3600")[2] + ") a"
+    types = "(SELECT token_id, token_type, CASE WHEN token_type = 'RBT' AND cast(substr(token_id, 4) AS bigint) % 2 = 0 THEN 0 ELSE 1700000000 END AS told FROM t) x"
+    records = {
+        "TransferBlocks": _record(f"({TRANSFER_SQL}) x", "block_hash", "", **_texts("block_hash", "sender_did", "receiver_did", "txn_type", "tokens", "validator_pledge_map", "txn_id"), amount=_number("amount"), epoch="epoch"),
+        "BurntBlocks": _record(f"({burnt}) x", "block_hash", "", **_texts("block_hash", "child_tokens", "txn_type", "owner_did", "tokens"), epoch="epoch"),
+        "SC_Blocks": _record("sc", "block_id", "", **_texts("block_id", "contract_id", "executor_did", "owner_did"), block_height="block_height", epoch=_moment("epoch")),
+        "AllBlocks": _record(f"(SELECT *, {LABEL_SQL} AS block_type FROM fx_block) x", "block_hash", "", **_texts("block_hash", "block_type", "txn_id"), epoch=_moment("coalesce(epoch, 1700000000)")),
+        "TokenType": _record(types, "token_id", "", **_texts("token_id", "token_type"), last_updated=_moment("told")),
+        "TxnAnalytics": _record(sums, "token_type", "", interval_start=_moment("interval_start"), interval_end=_moment("interval_end"), txn_count="txn_count", total_value="cast(round(total_value * 100) AS bigint)", token_type=_text("token_type")),
+    } | {name: f"SELECT * FROM data WHERE kind = '{kind}'" for name, kind in (("RBT", "RBT"), ("FT", "FT"), ("NFT", "NFT"), ("SmartContract", "SC"), ("DIDs", "DID"))}
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n_rows, cast({len(tables.COLUMNS[name])} AS int) AS n_columns, cast(coalesce(sum(cast('0x' || substr(md5(data), 1, 8) AS bigint)), 0) AS bigint) AS digest FROM ({rows}) r" for name, rows in records.items())
+    views = ANALYTICS_SQL.rpartition("SELECT epoch // 3600")[0]
+    return f"{views}, {LINKS_SQL}, {SC_SQL}, {DIDS_SQL}, {DATA_SQL} {parts}"
+
+
 query(_written_sql())(write_ledger_tables)
 
 # ---- changes
