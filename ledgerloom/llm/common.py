@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -41,13 +44,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def given_back() -> None:
+    """Free memory goes back to the system: a Python worker lives on between tasks, beside the JVM of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """df.mapInArrow with batches bounded in bytes as well as in rows: both sides of the pipe hold a batch or two."""
+    """df.mapInArrow with batches bounded in bytes as well as in rows: both sides of the pipe hold a batch or two. What a task held is given back at its end."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     number, unit = re.fullmatch(r"(-?[0-9]+)([a-z]?)b?", conf.get(key).strip().lower()).groups()
     if not 0 < int(number) << 10 * " kmgtp".index(unit if unit and unit != "b" else " ") <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            given_back()
+
+    return df.mapInArrow(work, schema)
 
 
 def widened(schema: StructType, more: str) -> StructType:
