@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources import tables
 from ledgerloom.sources.schemas import COLUMNS, TABLES
-from ledgerloom.streaming import streams
+from ledgerloom.streaming import logs
 
 
 def test_written_tables_come_back(spark, tmp_path):
@@ -32,17 +32,19 @@ def test_other_columns_and_types_are_refused(spark, tmp_path):
 
 
 def test_logs(spark, tmp_path, monkeypatch):
-    """The last batch of a key counts, a batch may run again, and compaction changes nothing."""
-    monkeypatch.setattr(streams, "COMPACT", 3)
+    """The last batch of a key counts, a batch may run again, compaction changes nothing, and what the base before the last holds is deleted."""
+    monkeypatch.setattr(logs, "COMPACT", 3)
     folder, schema = str(tmp_path / "log"), "k string, v int"
-    streams.log_start(spark, folder, schema)
-    wanted = {}
+    assert logs.table(spark, folder, schema, ["k"]).count() == 0
+    wanted, at = {}, {}
     for n in range(8):
         for again in range(2):
             rows = [(f"k{(n + i) % 5}", 10 * n + i) for i in range(2)]
-            streams.log_append(spark.createDataFrame(rows, schema), folder, n)
-            streams.log_compact(spark, folder, schema, ["k"], n)
+            logs.append(spark.createDataFrame(rows, schema), folder, n)
+            logs.compact(spark, folder, schema, lambda df: logs.last_of(df, ["k"]), n)
         wanted |= dict(rows)
-        assert {r.k: r.v for r in streams.log_table(spark, folder, schema, ["k"]).collect()} == wanted
-    assert {r.k: r.v for r in streams.log_table(spark, folder, schema, ["k"], 0).collect()} == {"k0": 0, "k1": 1}
-    assert len([p for p in (tmp_path / "log" / "part=base").iterdir() if p.name.startswith("batch=")]) == 3
+        at[n] = dict(wanted)
+        assert {r.k: r.v for r in logs.table(spark, folder, schema, ["k"]).collect()} == wanted
+    assert {r.k: r.v for r in logs.last_of(logs.rows_of(spark, folder, schema, 4), ["k"]).collect()} == at[4]
+    kept = {part: sorted(p.name for p in (tmp_path / "log" / part).iterdir() if p.name.startswith("batch=")) for part in ("part=base", "part=delta")}
+    assert kept == {"part=base": ["batch=2", "batch=5"], "part=delta": [f"batch={n}" for n in range(3, 8)]}
