@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +18,31 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition's store reserves megabytes of disk
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # all stores of an executor share one budget
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
 }
 
 
+def lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Landed JSON lines as a stream (value), for jobs that need no order of arrival."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).where("value <> ''")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = 0
+    for b in batches:
+        yield b.append_column("line", pa.array(range(n, n + b.num_rows), pa.int64()))
+        n += b.num_rows
+
+
 def texts(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """Landed JSON lines as a stream (value, arrival): lines arrive in the order of their files' times, then names, then as they stand in the file.
 
-    A file is read as a whole to number its lines: land files of some hundred megabytes at most. Many files make a batch, each read by its own task."""
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
-    lines = files.select(F.unix_micros("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return lines.where("value <> ''").select("value", F.struct("at", "file", "line").alias("arrival"))
+    A file is read in splits, in each of which a task numbers the lines as it reads them, so that neither a file nor a split is held as a whole, whatever its size."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    placed = files.select("value", F.unix_micros("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    told = placed.mapInArrow(_numbered, "value string, at bigint, file string, start bigint, line bigint")
+    return told.where("value <> ''").select("value", F.struct("at", "file", "start", "line").alias("arrival"))
 
 
 @contextmanager
@@ -71,7 +87,7 @@ def route_blocks(spark: SparkSession, source: str, folder: str, ingest: Column |
     def write(batch: DataFrame, number: int) -> None:
         good, bad = B.keyed(B.decode(batch))
         logs.append(bad.select("value"), f"{folder}/Rejects", number)
-        routed = B.route(good).where("route IS NOT NULL").persist()
+        routed = B.route(good).where("route IS NOT NULL").drop("value").persist()
         label = B.S.block_type(F.col("type_code"))
         index = routed.groupBy(F.col("route").alias("sink"), "block_hash").agg(F.max_by(F.struct("txn_id", label.alias("label")), "arrival").alias("x")).select("sink", "block_hash", "x.*")
         for name, schema, key, rows in [("Index", INDEX, ["sink", "block_hash"], index), *[(n, schemas.TABLES[n], [key], project(B.last_wins(routed.where(F.col("route").isin(*routes)), "block_hash")).select(*schemas.COLUMNS[n])) for n, (key, routes, project) in ROUTED.items()]]:
@@ -123,7 +139,7 @@ def token_totals(spark: SparkSession, source: str, folder: str, ingest: Column |
     """Live token changes: owner totals after all of them (did, RBT, FT, NFT, SC; RBT in thousandths); token_table and registry_table read what is kept beside them.
 
     Changes go to the state of their token, which knows the stored owner and value, and from there as effects to the state of their owner. A batch appends the rows of the tokens and owners that it touched."""
-    changes = C.parsed(texts(spark, source, files_per_batch).select("value")).withColumn("ingest", F.unix_micros(F.current_timestamp() if ingest is None else ingest))
+    changes = C.parsed(lines(spark, source, files_per_batch)).withColumn("ingest", F.unix_micros(F.current_timestamp() if ingest is None else ingest))
     effects = changes.where("token_id IS NOT NULL").groupBy("kind", "token_id").transformWithState(state.Tokens(), state.EFFECTS, "Append", "None")
     told = effects.groupBy("did").transformWithState(state.Owners(), state.TOTALS, "Append", "None")
 
@@ -175,7 +191,7 @@ def live_analytics(spark: SparkSession, source: str, folder: str, interval: str
 
     An interval is written once the watermark has passed its end, so the newest intervals stay open. Landed files must come in the order of time to within
     `delay`; later rows are dropped by the watermark."""
-    decoded = B.decode(texts(spark, source, files_per_batch).select("value")).where("block_hash IS NOT NULL")
+    decoded = B.decode(lines(spark, source, files_per_batch)).where("block_hash IS NOT NULL")
     epoch = B.S.lenient_long(F.col("epoch_text"))
     rows = decoded.select(F.timestamp_seconds(epoch).alias("ts"), B.S.block_type(F.col("type_code")).alias("block_type"), F.round(F.coalesce(B.S.lenient_double(F.col("amount_text")), F.lit(0.0)) * 100).cast("bigint").alias("cents")).where(epoch > 0)
     sums = rows.withWatermark("ts", delay).groupBy(F.window("ts", interval).alias("w"), "block_type").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("cents").alias("cents"))

@@ -70,3 +70,23 @@ def test_registry_follows_changes(spark, tmp_path):
     totals = {r.did: r.RBT for r in streams.token_totals(spark, source, out, load_time()).collect()}
     assert totals == {"o": 2000}
     assert {(r.token_id, r.token_type) for r in streams.registry_table(spark, out).collect()} == {("a", "RBT"), ("b", "RBT")}
+
+
+def test_a_file_is_read_in_splits_and_its_lines_keep_their_order(spark, tmp_path):
+    """One file of many splits, each hash in it thrice: the first and the last line of a hash count, and no task reads the file as a whole."""
+    source = land(tmp_path / "in", [block(f"h{k % 700}", 5, f"t{k:05d}") for k in range(2100)])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "16384")
+        out, sizes = str(tmp_path / "out"), []
+        streams.route_blocks(spark, source, out, load_time())
+        first = {r.block_hash: r.txn_id for r in streams.block_table(spark, out, "AllBlocks").collect()}
+        last = {r.block_hash: r.txn_id for r in streams.block_table(spark, out, "TransferBlocks").collect()}
+        read = streams.texts(spark, source).writeStream.foreachBatch(lambda rows, n: sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()))
+        read.option("checkpointLocation", str(tmp_path / "sizes")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert first == {f"h{k}": f"t{k:05d}" for k in range(700)} and last == {f"h{k}": f"t{k + 1400:05d}" for k in range(700)}
+    assert sum(sizes) == 2100 and len(sizes) > 4 and max(sizes) < 700
