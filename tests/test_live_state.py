@@ -102,3 +102,18 @@ def test_analytics_take_unknown_back(spark, tmp_path):
     types = spark.createDataFrame([("q1", "FT"), ("q2", "FT"), ("q3", "NFT"), ("q4", "RBT"), ("q5", "SC")], schema)
     whole = R.analytics(rows, B.token_links(d), types)
     assert seen[3] == sorted((r.s, r.token_type, r.txn_count, r.total_value) for r in whole.withColumn("s", F.unix_timestamp("interval_start")).collect())
+
+
+def test_analytics_call_no_python_for_a_key(spark, tmp_path, monkeypatch):
+    """State of blocks, tokens and types is native: a batch of many keys makes no call to Python for each of them. A type with two tokens in one block, and one token in many blocks, count once for a block."""
+    plans, real = [], streams.run_now
+    monkeypatch.setattr(streams, "run_now", lambda stream, *a: plans.append(stream._jdf.queryExecution().analyzed().toString()) or real(stream, *a))
+    blocks = [block(f"b{k}", 100 + 3600 * (k % 3), **{"5": {"4": "t", "6": {f"q{k % 50}": {"4": "1"}, f"q{(k + 2) % 50}": {"4": "1"}}}, "10": 1.5}) for k in range(600)]
+    source, schema = land(tmp_path / "in", blocks), "token_id string, token_type string"
+    spark.createDataFrame([(f"q{k}", "FT" if k % 2 else "RBT") for k in range(40)], schema).write.parquet(str(tmp_path / "types"))
+    got = streams.live_txn_analytics(spark, source, spark.readStream.schema(schema).parquet(str(tmp_path / "types")), str(tmp_path / "out"))
+    kinds = [{"FT" if q % 2 else "RBT" for q in (k % 50, (k + 2) % 50) if q < 40} or {"UNKNOWN"} for k in range(600)]
+    wanted = {(3600 * i, t): len([k for k in range(600) if k % 3 == i and t in kinds[k]]) for i in range(3) for t in ("FT", "RBT", "UNKNOWN")}
+    rows = got.withColumn("s", F.unix_timestamp("interval_start")).collect()
+    assert {(r.s, r.token_type): r.txn_count for r in rows} == wanted and all(r.total_value == 1.5 * r.txn_count for r in rows)
+    assert plans and not any("TransformWithState" in p for p in plans)
