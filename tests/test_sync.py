@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import sync
 from ledgerloom.plans.ledger_queries import load_time
-from ledgerloom.sources import keyed
+from ledgerloom.sources import keyed, landed
 
 SCHEMA = "id string, value string"
 
@@ -119,3 +119,16 @@ def test_repeated_answers_multiply_no_transfer(spark):
     for known in (amounts, many):
         assert sorted((r.block_hash, r.amount) for r in R.backfill(transfers, known).collect()) == [("h1", 7.0), ("h2", 7.0), ("h3", None)]
         assert sorted((r.block_hash, r.amount, r["count"]) for r in R.transfer_page(transfers, known, 1, 10).collect()) == [("h1", 7.0, 3), ("h2", 3.0, 3), ("h3", 0.0, 3)]
+
+
+def test_a_sync_leaves_only_its_tables(spark, tmp_path, monkeypatch):
+    """What a sync writes on the way is deleted, for one table (which needs no copy of the blocks) and for all."""
+    types = spark.createDataFrame([("Qa", "RBT"), ("Qs", "sc")], "token_id string, token_type string")
+    chains = chain(spark, Qa=[block("t1", "02", "x1", "Qa"), block("c1", "09", "x3", "Qa")], Qs=[block("c2", "10", "x4", "Qs"), block("t2", "02", "x5", "Qs")])
+    made = []
+    for module in (landed, keyed):
+        monkeypatch.setattr(module, "new_folder", lambda spark, name: made.append(f"{tmp_path}/way/{name}-{len(made)}") or made[-1])
+    for sinks in (("TransferBlocks",), ("SC_Blocks",), (*sync.SINKS, "Rejects")):
+        sync.sync_chains(chains, types, str(tmp_path / "out"), load_time(), sinks, buckets=4)
+    assert table(spark, str(tmp_path / "out"), "TransferBlocks", "block_hash") == [("t1",)] and table(spark, str(tmp_path / "out"), "SC_Blocks", "block_id") == [("c2",)]
+    assert made and files(tmp_path / "way") == [] and sum("sync-blocks" in m for m in made) == 1
