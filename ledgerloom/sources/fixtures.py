@@ -54,10 +54,18 @@ def sql_views(*names: str) -> str:
     return "WITH " + ",\n".join(told)
 
 
-def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(num, block_hash, value): every block as JSON text under numeric keys, each tenth under named ones."""
-    links = view(spark, sf_dir, "fx_block_token").groupBy("block_hash").agg(F.collect_list(F.struct("token_id", F.col("block_number").cast("string").alias("n"), F.col("prev_block_id").alias("p"))).alias("links"))
-    rows = view(spark, sf_dir, "fx_block").join(links, "block_hash", "left")
+def linked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of fx_block with links, an array of their rows of fx_block_token (null where there is none). Lines are shuffled once, by their order's number, as they stand in the table."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").repartition("l_orderkey")
+    tokens = lines.groupBy("l_orderkey", F.expr(TOKEN_OF_LINE).alias("token_id")).agg(F.min(F.col("l_quantity").cast("bigint")).alias("n"))
+    link = F.struct("token_id", F.col("n").cast("string").alias("n"), F.concat(F.lit("bh"), F.col("l_orderkey") - 1).alias("p"))
+    links = tokens.groupBy(F.col("l_orderkey").alias("num")).agg(F.collect_list(link).alias("links"))
+    return view(spark, sf_dir, "fx_block").join(links, "num", "left")
+
+
+def block_texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(num, block_hash, value, *more): every block as JSON text under numeric keys, each tenth under named ones."""
+    rows = linked_blocks(spark, sf_dir)
 
     def made(named: bool):
         k = lambda number, name: name if named else number
@@ -66,24 +74,26 @@ def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         info = F.struct(F.col("sender_did").alias(k("1", "TISenderDIDKey")), F.col("receiver_did").alias(k("2", "TIReceiverDIDKey")), F.col("comment").alias(k("3", "TICommentKey")), F.col("txn_id").alias(k("4", "TITIDKey")), tokens.alias(k("6", "TITokensKey")), F.col("sender_did").alias(k("8", "TIDeployerDIDKey")), F.col("receiver_did").alias(k("9", "TIExecutorDIDKey")))
         return F.to_json(F.struct(F.col("trans_code").alias(k("2", "TCTransTypeKey")), F.col("sender_did").alias(k("3", "TCTokenOwnerKey")), info.alias(k("5", "TCTransInfoKey")), F.create_map("receiver_did", "txn_id").alias(k("8", "TCPledgeDetailsKey")), F.col("amount").alias(k("10", "TCTokenValueKey")), F.array(F.concat("block_hash", F.lit("-c"))).alias(k("11", "TCChildTokensKey")), F.col("block_hash").alias(k("98", "TCBlockHashKey")), F.col("epoch").alias(k("epoch", "TCEpoch"))))
 
-    return rows.select("num", "block_hash", F.when(F.col("num") % 10 == 0, made(True)).otherwise(made(False)).alias("value"))
+    return rows.select("num", "block_hash", F.when(F.col("num") % 10 == 0, made(True)).otherwise(made(False)).alias("value"), *more)
 
 
 #: Items of a list, and blocks of a part of a chain, at most.
 PART = 1000
 
 
-def chain_texts(spark: SparkSession, sf_dir: str, most: int = PART) -> DataFrame:
-    """(token_id, first, value): the chain of every token in parts of at most `most` blocks, oldest block first, under TokenChainData or (even length of the id) blocks.
+def chain_texts(spark: SparkSession, sf_dir: str, most: int = PART, only: DataFrame | None = None) -> DataFrame:
+    """(token_id, first, value): the chain of every token, or of those in `only` (token_id), in parts of at most `most` blocks, oldest block first, under TokenChainData or (even length of the id) blocks.
 
-    A part takes the blocks of one range of numbers, in which a token has each block once at most; first is the place of its first block in the chain."""
+    A part takes the blocks of one range of numbers, in which a token has each block once at most; first is the place of its first block in the chain. Texts are shuffled once, to their part; the places
+    come to it as rows of the same grouping."""
     part = F.floor(F.col("num") / most).alias("part")
-    links = view(spark, sf_dir, "fx_block_token").select("block_hash", "token_id")
-    sizes = links.join(view(spark, sf_dir, "fx_block").select("block_hash", part), "block_hash").groupBy("token_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    wanted = (lambda df: df.join(only, "token_id", "left_semi")) if only is not None else lambda df: df
+    token = F.explode("links.token_id").alias("token_id")
+    sizes = wanted(linked_blocks(spark, sf_dir).select(part, token)).groupBy("token_id", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("token_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("token_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("first"))
-    blocks = links.join(block_texts(spark, sf_dir), "block_hash")
-    chains = blocks.groupBy("token_id", part).agg(F.array_sort(F.collect_list(F.struct("num", "value"))).alias("all")).join(firsts, ["token_id", "part"])  # at most `most` each
+    firsts = sizes.select("token_id", "part", F.lit(None).cast("struct<num: bigint, value: string>").alias("one"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("first"))
+    blocks = wanted(block_texts(spark, sf_dir, "links").select(part, "num", "value", token)).select("token_id", "part", F.struct("num", "value").alias("one"), F.lit(None).cast("int").alias("first"))
+    chains = blocks.unionByName(firsts).groupBy("token_id", "part").agg(F.array_sort(F.collect_list("one")).alias("all"), F.max("first").alias("first"))  # at most `most` each
     body = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["value"]), ","), F.lit("]"))
     name = F.when(F.length("token_id") % 2 == 0, "blocks").otherwise("TokenChainData")
     return chains.select("token_id", "first", F.concat(F.lit('{"status":true,"'), name, F.lit('":'), body, F.lit("}")).alias("value"))
