@@ -26,3 +26,9 @@ def test_chains_in_parts(spark):
     assert part.where("last <> n - 1").count() == 0
     held = F.from_json("value", "TokenChainData array<string>, blocks array<string>")
     assert texts.agg(F.max(F.size(F.coalesce(held["TokenChainData"], held["blocks"])))).first()[0] <= 50
+
+
+def test_few_parts(spark):
+    """A token's blocks are cut where they are too many, not where their numbers are far apart: at this size one part holds a token's chain."""
+    texts = fixtures.chain_texts(spark, DATA)
+    assert texts.count() == texts.select("token_id").distinct().count() and texts.agg(F.max("first")).first()[0] == 0
