@@ -110,12 +110,11 @@ def burns(decoded: DataFrame) -> DataFrame:
 
 
 def contract_blocks(routed: DataFrame) -> DataFrame:
-    """Deploys (owner: the deployer) and executions (owner '', executor set) in one table."""
-    first = S.first_key(F.col("tokens"))
-    common = [F.col("block_hash").alias("block_id"), first.alias("contract_id"), F.coalesce(F.try_element_at("tokens", first)["number"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("block_height"), S.contract_time(F.col("epoch_text")).alias("epoch")]
-    deploys = routed.where("route = 'deploy'").select(*common, F.lit(None).cast("string").alias("executor_did"), F.col("deployer_did").alias("owner_did"))
-    runs = routed.where("route = 'execute'").select(*common, F.col("executor_did"), F.lit("").alias("owner_did"))
-    return deploys.unionByName(runs)
+    """Deploys (owner: the deployer) and executions (owner '', executor set) in one table, by one pass over the blocks."""
+    first, runs = S.first_key(F.col("tokens")), F.col("route") == "execute"
+    height = F.coalesce(F.try_element_at("tokens", first)["number"].try_cast("bigint"), F.lit(0).cast("bigint"))
+    own = routed.where(F.col("route").isin("deploy", "execute"))
+    return own.select(F.col("block_hash").alias("block_id"), first.alias("contract_id"), height.alias("block_height"), S.contract_time(F.col("epoch_text")).alias("epoch"), F.when(runs, F.col("executor_did")).alias("executor_did"), F.when(runs, F.lit("")).otherwise(F.col("deployer_did")).alias("owner_did"))
 
 
 def token_links(decoded: DataFrame) -> DataFrame:
