@@ -111,7 +111,7 @@ def filled(transfers: DataFrame, amounts: DataFrame, most: int | None = None) ->
     ids = transfers.where(missing_amount(transfers) & F.col("txn_id").isNotNull() & (F.col("txn_id") != "")).select("txn_id").distinct()
     if (ids.limit(MOST_IDS + 1).count() if most is None else most) <= MOST_IDS:
         ids = F.broadcast(ids)
-    known = amounts.where("txn_value <> 0").join(ids, "txn_id", "left_semi").groupBy("txn_id").agg(F.max("txn_value").alias("txn_value"))
+    known = amounts.join(ids, "txn_id", "left_semi").where("txn_value <> 0").groupBy("txn_id").agg(F.max("txn_value").alias("txn_value"))
     amount = F.when(missing_amount(transfers), F.coalesce("txn_value", "amount")).otherwise(F.col("amount"))
     return transfers.join(known, "txn_id", "left").withColumn("amount", amount).select(transfers.columns)
 
