@@ -14,37 +14,25 @@ from ..functions import scalars as S
 from ..sources import schemas
 
 NUMBER = re.compile(r"-?[0-9]+\Z")
+CODES = {"transfer": codes.TRANSFER_CODES, "burnt": codes.BURN_CODES, "deploy": codes.DEPLOY_CODES, "execute": codes.EXECUTE_CODES}
 
 
-def decode(blocks: DataFrame, text: str = "value") -> DataFrame:
-    """blocks with the known fields of their JSON text, whether keys are numeric or named; every scalar is text.
+def decode(blocks: DataFrame, text: str = "value", only: tuple[str, ...] = ()) -> DataFrame:
+    """blocks with the known fields of their JSON text (or those of `only`, which is shorter: others are skipped in the text), whether keys are numeric or named; every scalar is text.
 
     Unreadable texts give null fields. tokens maps a token id to (number, previous), or is null. A text is parsed once, however many fields are used:
     the explode of one element keeps the optimizer from repeating the parser in each of them and in filters.
     """
-    rows = blocks.withColumn("_b", F.explode(F.array(F.from_json(F.col(text), schemas.BLOCK))))
+    rows = blocks.withColumn("_b", F.explode(F.array(F.from_json(F.col(text), schemas.block(*only)))))
     either = lambda base, number, name: F.coalesce(F.col(f"{base}.`{number}`"), F.col(f"{base}.{name}"))
-    rows = rows.withColumn("_i", F.coalesce(F.col("_b.`5`"), F.col("_b.TCTransInfoKey")))
-    links = F.coalesce(F.col("_i.`6`"), F.col("_i.TITokensKey"))
     link = lambda k, v: F.struct(F.coalesce(v["4"], v["TTBlockNumberKey"]).alias("number"), F.coalesce(v["5"], v["TTPreviousBlockIDKey"]).alias("previous"))
-    fields = {
-        "block_hash": either("_b", "98", "TCBlockHashKey"),
-        "type_code": either("_b", "2", "TCTransTypeKey"),
-        "owner_did": either("_b", "3", "TCTokenOwnerKey"),
-        "sender_did": either("_i", "1", "TISenderDIDKey"),
-        "receiver_did": either("_i", "2", "TIReceiverDIDKey"),
-        "comment": either("_i", "3", "TICommentKey"),
-        "txn_id": either("_i", "4", "TITIDKey"),
-        "deployer_did": either("_i", "8", "TIDeployerDIDKey"),
-        "executor_did": either("_i", "9", "TIExecutorDIDKey"),
-        "amount_text": either("_b", "10", "TCTokenValueKey"),
-        "epoch_text": either("_b", "epoch", "TCEpoch"),
-        "pledges": either("_b", "8", "TCPledgeDetailsKey"),
-        "children": either("_b", "11", "TCChildTokensKey"),
-        "prev_block_id": F.col("_i.TTPreviousBlockIDKey"),
-        "tokens": F.transform_values(links, link),
-    }
-    return rows.withColumns(fields).drop("_b", "_i")
+    fields = {name: lambda keys=keys: either("_b", *keys) for name, keys in schemas.BLOCK_FIELDS.items()}
+    inner = {name: lambda keys=keys: either("_i", *keys) for name, keys in schemas.INFO_FIELDS.items()}
+    inner["prev_block_id"] = lambda: F.col("_i.TTPreviousBlockIDKey")
+    inner["tokens"] = lambda: F.transform_values(either("_i", "6", "TITokensKey"), link)
+    if not only or set(only) & set(inner):
+        rows = rows.withColumn("_i", either("_b", "5", "TCTransInfoKey"))
+    return rows.withColumns({name: made() for name, made in (fields | inner).items() if not only or name in only}).drop("_b", "_i")
 
 
 def _renamed(value, path: str):
@@ -75,6 +63,11 @@ def decode_text(text: Column) -> Column:
     return rename(text)
 
 
+#: Fields that all_blocks and burns are made of.
+ALL_FIELDS = ("block_hash", "type_code", "epoch_text", "txn_id")
+BURN_FIELDS = ("block_hash", "type_code", "owner_did", "comment", "tokens", "children")
+
+
 def keyed(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks that have a hash, and the rejected rest."""
     return decoded.where("block_hash IS NOT NULL"), decoded.where("block_hash IS NULL")
@@ -90,6 +83,13 @@ def route(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("route", F.when(code.isin(codes.TRANSFER_CODES), "transfer").when(code.isin(codes.BURN_CODES), "burnt").when(code.isin(codes.DEPLOY_CODES), "deploy").when(code.isin(codes.EXECUTE_CODES), "execute"))
 
 
+def with_routes(blocks: DataFrame, *routes: str, text: str = "value", only: tuple[str, ...] = ()) -> DataFrame:
+    """decoded blocks of these routes (with the fields of `only`, the type code among them). Texts that can't have one of their codes are left out unparsed: the code's key is followed by it, as text or as a number, or a part of either is escaped."""
+    own = "|".join(c for r in routes for c in CODES[r])
+    may = F.col(text).rlike(rf"""["'](?:2|TCTransTypeKey)["']\s*:\s*["']?(?:{own})["'\s,}}]|\\u""")
+    return route(decode(blocks.where(may), text, only)).where(F.col("route").isin(*routes))
+
+
 def route_in_bulk(decoded: DataFrame, asset_type: str = "asset_type") -> DataFrame:
     """The same for blocks read from chains: contract tokens take only deploys and executions, others only transfers and burns."""
     contract = F.coalesce(F.upper(asset_type) == "SC", F.lit(False))

@@ -28,11 +28,21 @@ ITEMS = {
 
 
 _LINK = "`1` string, `4` string, `5` string, TTTokenTypeKey string, TTBlockNumberKey string, TTPreviousBlockIDKey string"
-_INFO = ", ".join(f"`{k}` string, {name} string" for k, name in (("1", "TISenderDIDKey"), ("2", "TIReceiverDIDKey"), ("3", "TICommentKey"), ("4", "TITIDKey"), ("8", "TIDeployerDIDKey"), ("9", "TIExecutorDIDKey")))
-_INFO += f", `6` map<string, struct<{_LINK}>>, TITokensKey map<string, struct<{_LINK}>>, TTPreviousBlockIDKey string"
-#: Known fields of a block under numeric or named keys; every scalar is read as text.
-BLOCK = ", ".join(f"`{k}` string, {name} string" for k, name in (("2", "TCTransTypeKey"), ("3", "TCTokenOwnerKey"), ("8", "TCPledgeDetailsKey"), ("10", "TCTokenValueKey"), ("11", "TCChildTokensKey"), ("98", "TCBlockHashKey"), ("epoch", "TCEpoch")))
-BLOCK += f", `5` struct<{_INFO}>, TCTransInfoKey struct<{_INFO}>"
+#: Fields of a block and of its transaction by their numeric and named keys; every scalar is read as text.
+BLOCK_FIELDS = {"type_code": ("2", "TCTransTypeKey"), "owner_did": ("3", "TCTokenOwnerKey"), "pledges": ("8", "TCPledgeDetailsKey"), "amount_text": ("10", "TCTokenValueKey"), "children": ("11", "TCChildTokensKey"), "block_hash": ("98", "TCBlockHashKey"), "epoch_text": ("epoch", "TCEpoch")}
+INFO_FIELDS = {"sender_did": ("1", "TISenderDIDKey"), "receiver_did": ("2", "TIReceiverDIDKey"), "comment": ("3", "TICommentKey"), "txn_id": ("4", "TITIDKey"), "deployer_did": ("8", "TIDeployerDIDKey"), "executor_did": ("9", "TIExecutorDIDKey")}
+
+
+def block(*only: str) -> str:
+    """The schema of a block with its known fields under numeric or named keys, or with those of `only` (names that operators.blocks.decode gives them)."""
+    wanted = lambda name: not only or name in only
+    texts = lambda fields: [f"`{k}` string" for name, keys in fields.items() if wanted(name) for k in keys]
+    links = [f"`{k}` map<string, struct<{_LINK}>>" for k in ("6", "TITokensKey") if wanted("tokens")]
+    info = texts(INFO_FIELDS) + links + ["TTPreviousBlockIDKey string"] * wanted("prev_block_id")
+    return ", ".join(texts(BLOCK_FIELDS) + [f"`{k}` struct<{', '.join(info)}>" for k in ("5", "TCTransInfoKey") if info])
+
+
+BLOCK = block()
 
 CHANGE = "`table` string, data string, operation string, seq bigint"
 CHANGE_DATA = "token_id string, TokenID string, smart_contract_hash string, OwnerDID string, deployer string, token_value double, TokenValue double, TokenStatus int"

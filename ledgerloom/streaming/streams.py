@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import blocks as B
 from ..operators import changes as C
@@ -35,14 +36,16 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += b.num_rows
 
 
-def texts(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Landed JSON lines as a stream (value, arrival): lines arrive in the order of their files' times, then names, then as they stand in the file.
+def texts(spark: SparkSession, path: str, files_per_batch: int = 1, only: tuple[str, ...] = ()) -> DataFrame:
+    """Landed JSON lines as a stream (value, arrival): lines arrive in the order of their files' times, then names, then as they stand in the file. With `only`, these fields of the blocks come in place of the texts.
 
-    A file is read in splits, in each of which a task numbers the lines as it reads them, so that neither a file nor a split is held as a whole, whatever its size."""
+    A file is read in splits, in each of which a task numbers the lines as it reads them, so that neither a file nor a split is held as a whole, whatever its size. Fields are decoded before, so that no text goes there and back."""
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    placed = files.select("value", F.unix_micros("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    told = placed.mapInArrow(_numbered, "value string, at bigint, file string, start bigint, line bigint")
-    return told.where("value <> ''").select("value", F.struct("at", "file", "start", "line").alias("arrival"))
+    placed = files.select("value", F.unix_micros("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).where("value <> ''")
+    if only:
+        placed = B.decode(placed, only=only).drop("value")
+    told = placed.mapInArrow(_numbered, StructType([*(StructField(f.name, f.dataType) for f in placed.schema.fields), StructField("line", LongType())]))
+    return told.withColumn("arrival", F.struct("at", "file", "start", "line")).drop("at", "file", "start", "line")
 
 
 @contextmanager
@@ -105,7 +108,7 @@ def first_blocks(spark: SparkSession, source: str, folder: str, ingest: Column |
 
     The state holds each hash with its row and the times of the first and the last batch that named it; where these are one, the hash is new and its row is appended. No
     earlier row is read."""
-    decoded = B.keyed(B.decode(texts(spark, source, files_per_batch)))[0].withColumn("now", F.current_timestamp())
+    decoded = B.keyed(texts(spark, source, files_per_batch, B.ALL_FIELDS))[0].withColumn("now", F.current_timestamp())
     rows = B.all_blocks(decoded, F.col("now") if ingest is None else ingest, "arrival", "now")
     columns = schemas.COLUMNS["AllBlocks"]
     kept = rows.select("block_hash", "arrival", "now", F.struct(*[c for c in columns if c != "block_hash"]).alias("row"))
