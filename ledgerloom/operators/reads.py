@@ -189,6 +189,21 @@ def chain_page(chain: DataFrame, page: int, limit: int) -> DataFrame:
     return rows.where((F.col("rn") > skip) & (F.col("rn") <= skip + most)).join(total, "token_id").withColumn("total_pages", total_pages(F.col("total"), limit)).drop("rn")
 
 
+def _rolled_up(each: DataFrame, interval: str) -> DataFrame:
+    """Sums of (ts, txns, cents, token_type) for each interval and type."""
+    sums = each.groupBy(F.window("ts", interval).alias("w"), "token_type").agg(F.sum("txns").alias("txn_count"), F.sum("cents").alias("cents"))
+    return sums.select(F.col("w.start").alias("interval_start"), F.col("w.end").alias("interval_end"), "txn_count", (F.col("cents") / 100).alias("total_value"), "token_type")
+
+
+def _cents(amount: str) -> Column:
+    return F.round(F.coalesce(amount, F.lit(0.0)) * 100).cast("bigint").alias("cents")
+
+
+def _told(kinds: str) -> Column:
+    """The types of a block, each once; UNKNOWN where it has none."""
+    return F.when(F.size(F.coalesce(kinds, F.array().cast("array<string>"))) > 0, F.col(kinds)).otherwise(F.array(F.lit("UNKNOWN")))
+
+
 def analytics(blocks: DataFrame, links: DataFrame, token_type: DataFrame, interval: str = "1 hour") -> DataFrame:
     """TxnAnalytics: transactions and value per interval and token type.
 
@@ -197,7 +212,17 @@ def analytics(blocks: DataFrame, links: DataFrame, token_type: DataFrame, interv
     types = links.select("block_hash", "token_id").join(token_type.select("token_id", "token_type"), "token_id", "left")
     kinds = types.groupBy("block_hash").agg(F.collect_set("token_type").alias("kinds"))  # at most one entry per type
     rows = blocks.where("epoch IS NOT NULL AND epoch <> 0").join(kinds, "block_hash", "left")
-    told = F.when(F.size(F.coalesce("kinds", F.array().cast("array<string>"))) > 0, F.col("kinds")).otherwise(F.array(F.lit("UNKNOWN")))
-    each = rows.select(F.timestamp_seconds("epoch").alias("ts"), F.round(F.coalesce("amount", F.lit(0.0)) * 100).cast("bigint").alias("cents"), F.explode(told).alias("token_type"))
-    sums = each.groupBy(F.window("ts", interval).alias("w"), "token_type").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("cents").alias("cents"))
-    return sums.select(F.col("w.start").alias("interval_start"), F.col("w.end").alias("interval_end"), "txn_count", (F.col("cents") / 100).alias("total_value"), "token_type")
+    return _rolled_up(rows.select(F.timestamp_seconds("epoch").alias("ts"), F.lit(1).alias("txns"), _cents("amount"), F.explode(_told("kinds")).alias("token_type")), interval)
+
+
+def analytics_in_one_pass(blocks: DataFrame, token_type: DataFrame, interval: str = "1 hour") -> DataFrame:
+    """The same for blocks that carry their token ids: (block_hash, epoch seconds, amount, token_ids), each once.
+
+    Blocks are read once, and their times and amounts go along with the links, of which a block's first one (or the row that stands for none) holds the amount. Blocks of one hash and
+    time count as so many, under the types of all their tokens; those without a hash have no types."""
+    usable = blocks.where("epoch IS NOT NULL AND epoch <> 0").select("block_hash", "epoch", _cents("amount"), F.when(F.col("block_hash").isNotNull(), F.col("token_ids")).alias("ids"))
+    links = usable.select("block_hash", "epoch", "cents", F.posexplode_outer("ids").alias("at", "token_id")).withColumn("first", F.coalesce("at", F.lit(0)) == 0)
+    own = links.select("block_hash", "epoch", F.when(F.col("first"), 1).alias("txns"), F.when(F.col("first"), F.col("cents")).alias("cents"), "token_id")
+    typed = own.join(token_type.select("token_id", "token_type"), "token_id", "left")
+    kinds = typed.groupBy("block_hash", "epoch").agg(F.sum("txns").alias("txns"), F.sum("cents").alias("cents"), F.collect_set("token_type").alias("kinds"))  # at most one entry per type
+    return _rolled_up(kinds.select(F.timestamp_seconds("epoch").alias("ts"), "txns", "cents", F.explode(_told("kinds")).alias("token_type")), interval)

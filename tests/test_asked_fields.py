@@ -30,6 +30,16 @@ def test_only_asked_fields_are_parsed(spark):
     assert "TCPledgeDetailsKey" not in B.decode(odd(spark), only=B.ALL_FIELDS)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_analytics_in_one_pass(spark):
+    types = spark.createDataFrame([("a", "RBT"), ("b", "FT"), ("c", "RBT")], "token_id string, token_type string")
+    told = [("h1", 3600, 1.5, ["a", "c"]), ("h2", 3700, 2.0, ["a", "b"]), ("h3", 3700, None, ["x"]), ("h4", 9000, 4.0, None), ("h5", 9000, 5.0, []), ("h6", 0, 1.0, ["a"]), ("h7", None, 1.0, ["a"]), ("h8", 9000, 1.0, ["x", None, "a"]), (None, 9000, 7.0, ["a"]), (None, 9000, 7.0, ["b"])]
+    blocks = spark.createDataFrame(told, "block_hash string, epoch bigint, amount double, token_ids array<string>")
+    due = R.analytics(blocks.drop("token_ids"), blocks.select("block_hash", F.explode("token_ids").alias("token_id")), types)
+    got = R.analytics_in_one_pass(blocks, types)
+    assert got.schema == due.schema
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, due.collect()))
+
+
 def test_lines_are_numbered_after_decoding(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("\n".join(['{"2":"02","98":"h","5":{"4":"t1"}}', "", "bad", '{"2":"02","98":"h","5":{"4":"t2"}}', '{"2":"13","98":"g","5":{"4":"t3"}}']))
