@@ -190,7 +190,7 @@ def live_txn_analytics(spark: SparkSession, source: str, registry: DataFrame, fo
     UNKNOWN are taken back. A batch appends the signed sums of what it changes. A token's first type stays; of two in one batch the smaller name counts.
 
     Four queries over native state hand rows on: new blocks, new types, blocks joined to types by token (whichever comes first waits for the other), and what a block's types add to the sums."""
-    decoded = B.keyed(B.decode(texts(spark, source, files_per_batch)))[0]
+    decoded = B.keyed(B.decode(texts(spark, source, files_per_batch), only=("block_hash", "amount_text", "epoch_text", "tokens")))[0]
     epoch = B.S.lenient_long(F.col("epoch_text"))
     length = F.lit(_seconds(interval))
     begin = (F.floor(F.when(epoch != 0, epoch) / length) * length).cast("bigint")
@@ -236,9 +236,9 @@ def live_analytics(spark: SparkSession, source: str, folder: str, interval: str
 
     An interval is written once the watermark has passed its end, so the newest intervals stay open. Landed files must come in the order of time to within
     `delay`; later rows are dropped by the watermark."""
-    decoded = B.decode(lines(spark, source, files_per_batch)).where("block_hash IS NOT NULL")
-    epoch = B.S.lenient_long(F.col("epoch_text"))
-    rows = decoded.select(F.timestamp_seconds(epoch).alias("ts"), B.S.block_type(F.col("type_code")).alias("block_type"), F.round(F.coalesce(B.S.lenient_double(F.col("amount_text")), F.lit(0.0)) * 100).cast("bigint").alias("cents")).where(epoch > 0)
+    decoded = B.decode(lines(spark, source, files_per_batch), only=("block_hash", "type_code", "amount_text", "epoch_text")).where("block_hash IS NOT NULL")
+    epoch = F.col("seconds")
+    rows = decoded.withColumn("seconds", F.explode(F.array(B.S.lenient_long(F.col("epoch_text"))))).select(F.timestamp_seconds(epoch).alias("ts"), B.S.block_type(F.col("type_code")).alias("block_type"), F.round(F.coalesce(B.S.lenient_double(F.col("amount_text")), F.lit(0.0)) * 100).cast("bigint").alias("cents")).where(epoch > 0)
     sums = rows.withWatermark("ts", delay).groupBy(F.window("ts", interval).alias("w"), "block_type").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("cents").alias("cents"))
     out = sums.select(F.unix_timestamp("w.start").alias("interval_start"), "block_type", "txn_count", "cents")
     with rocksdb(spark):
