@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import milli
 
 
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    """An asset table's key and what totals are made of: what a load shuffles to tell new rows is no wider."""
+    return rows.select(key, *[c for c in ("owner_did", "deployer_did", "token_value", "token_status") if c in rows.columns])
+
+
 def rbt_totals(rbt: DataFrame) -> DataFrame:
     free = rbt.where("token_status = 0")
     return free.groupBy(F.col("owner_did").alias("did")).agg((F.sum(milli(F.col("token_value"))) / 1000).alias("total_rbts"))

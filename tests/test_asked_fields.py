@@ -51,6 +51,19 @@ def test_analytics_in_one_pass(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, due.collect()))
 
 
+def test_counts_write_no_table(spark):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    assert __spark_entry__.queries()["ledger_counts"](spark, "/root/testdata/sf0.001").count() == 1
+    assert set(os.listdir(base)) == before
+
+
+def test_totals_need_few_columns(spark):
+    row = spark.createDataFrame([("QmR1", "d", "b", "1", 2.5, 0)], "rbt_id string, owner_did string, block_id string, block_height string, token_value double, token_status int")
+    assert O.counted(row, "rbt_id").columns == ["rbt_id", "owner_did", "token_value", "token_status"]
+    assert O.rbt_totals(O.counted(row, "rbt_id")).collect() == O.rbt_totals(row).collect()
+
+
 def test_lines_are_numbered_after_decoding(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("\n".join(['{"2":"02","98":"h","5":{"4":"t1"}}', "", "bad", '{"2":"02","98":"h","5":{"4":"t2"}}', '{"2":"13","98":"g","5":{"4":"t3"}}']))
