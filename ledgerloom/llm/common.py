@@ -41,7 +41,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def given_back() -> None:
@@ -170,7 +180,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates the large-star and small-star steps, each one grouped minimum and one equi-join, so that no
     task holds the neighbours of a node; a hub's edges are a skewed join side, which adaptive execution splits.
-    Every round is written to the shared folder. It ends when a round changes nothing.
+    Every round is written to the shared folder, and the round before is deleted then. It ends when a round changes nothing.
     """
     spark = edges.sparkSession
     now = saved(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), name)
@@ -184,7 +194,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         # small star: each smaller neighbour, and the node, is linked to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("explode(array(struct(a AS a, m AS b), struct(b AS a, m AS b))) AS e").select("e.*")
-        now = saved(small.where("a <> b").distinct(), name)
+        before, now = now, saved(small.where("a <> b").distinct(), name)
+        freed(before, large)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with signature trees; links become components.
 
 Equal sets are one class. Classes whose sets may be similar share one of the tokens that come first in a common order (the prefix;
-tokens of frequent hash slots come last), so the classes of each such token form a block: the root of a signature tree.
+tokens of passages that stand in many texts come last, as far as they were noticed, before them those of frequent hash slots), so the classes of each such token form a block: the root of a signature tree.
 Blocks with the same members are one. In every block a dual traversal over OR-combined bitmaps and size ranges prunes all pairs that
 can't overlap enough; what remains connects classes to candidate groups, and each class's whole set goes to its one
 group, where the same traversal runs with exact verification of each pair that is not connected yet.
@@ -15,17 +15,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, bounded_slices, checked_broadcast, components, in_arrow, saved
+from .common import binary_parts, bounded_slices, checked_broadcast, components, freed, in_arrow, saved
 from .shingles import shingle_sets
 from .signature_tree import Links, bitmap, candidates, width_of
 
 SLOT_BITS, SLICE = 17, 1 << 20
+#: Tokens that a task counts at once, how often one must be among these to be noticed, and how many of the most frequent ones come last in the order.
+NOTED, NOTICED, FREQUENT = 1 << 22, 3, 1 << 17
 NAMES = ["sid", "other"]
 
 
@@ -89,41 +92,84 @@ def grouped(rows: DataFrame, key: str, work: Callable, aside: list[str]) -> Data
     return in_arrow(rows.repartition(F.col(key)).sortWithinPartitions(key, *aside), run, "a bigint, b bigint")
 
 
-def measured(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, frozenset]:
-    """(doc_id, n, sid) of each row (sid null: empty set), how common each hash slot is, as a small number, and the first names that different sets share."""
+class Order(NamedTuple):
+    """The common order of tokens: those of `often` (sorted) last, by the classes in `times`; before them those of the slots with the larger classes in `common`."""
+
+    common: np.ndarray
+    often: np.ndarray
+    times: np.ndarray
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Numbers that sort as the tokens do."""
+        out = (self.common[slot(tokens)].astype(np.uint64) << np.uint64(53)) | (tokens >> np.uint64(11))
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, tokens), len(self.often) - 1)
+            out |= np.where(self.often[at] == tokens, self.times[at], 0).astype(np.uint64) << np.uint64(58)
+        return out
+
+
+def doublings(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+
+def measured(docs: DataFrame, size: int) -> tuple[DataFrame, Order, frozenset]:
+    """(doc_id, n, sid) of each row (sid null: empty set), the order of the tokens, and the first names that different sets share.
+
+    A task tells how often each hash slot is met, and of so many tokens at a time those that it met several times: what is rarer than that is not worth a place of its own in the order."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "n", *NAMES, "slot", "count"]
+    columns = ["doc_id", "n", *NAMES, "slot", "token", "count"]
+
+    def aside(state, key, name, counts):
+        none = pa.nulls(len(key), pa.int64())
+        given = {"slot": none, "token": none, name: pa.array(key)}
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), state["id"]), none, none, none, given["slot"], given["token"], pa.array(counts)], columns)
+
+    def noticed(state):
+        tokens, counts = np.unique(np.concatenate(state["held"]), return_counts=True)
+        state["held"], state["n"] = [], 0
+        often = counts >= NOTICED
+        return aside(state, tokens[often].view(np.int64), "token", counts[often])
 
     def make(state, batch, sets):
         counts = state.setdefault("counts", np.zeros(1 << SLOT_BITS, dtype=np.int64))
         if batch is not None:
             state["id"] = batch.schema.field("doc_id").type
+            for s in sets:
+                if len(s):
+                    state.setdefault("held", []).append(s)
+                    state["n"] = state.get("n", 0) + len(s)
+                    if state["n"] >= NOTED:
+                        yield noticed(state)
             if full := [s for s in sets if len(s)]:
-                np.add.at(counts, slot(np.concatenate(full)), 1)
+                counts += np.bincount(slot(np.concatenate(full)), minlength=len(counts))
             names = [names_of(s) if len(s) else (None, None) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)], none, none], columns)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)], none, none, none], columns)
         elif "id" in state:
+            if state.get("held"):
+                yield noticed(state)
             at = np.flatnonzero(counts)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), state["id"]), none, none, none, pa.array(at), pa.array(counts[at])], columns)
+            yield aside(state, at, "slot", counts[at])
 
-    both = saved(over_sets(docs, size, f"doc_id {id_type}, n bigint, sid bigint, other bigint, slot bigint, count bigint", make), "jaccard-rows")
+    both = saved(over_sets(docs, size, f"doc_id {id_type}, n bigint, sid bigint, other bigint, slot bigint, token bigint, count bigint", make), "jaccard-rows")
     counts = np.zeros(1 << SLOT_BITS)
-    for r in both.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("n")).collect():  # at most 2**SLOT_BITS rows
-        counts[r["slot"]] = r["n"]
-    usual = counts.sum() / len(counts)
-    rows = both.where("slot IS NULL")
+    told = both.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("n")).toArrow()  # at most 2**SLOT_BITS rows
+    counts[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    often = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    tokens, times = often.column("token").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    usual, own = counts.sum() / len(counts), np.argsort(tokens)
+    order = Order(np.minimum(doublings(counts / max(usual, 1e-9)), 31), tokens[own], doublings(times[own]))
+    rows = both.where("slot IS NULL AND token IS NULL")
     # of n sets about n * n / 2**65 pairs share a name by chance: a handful among 10**10
     shared = frozenset(r["sid"] for r in rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("sid").collect())
     if shared:
         rows = rows.withColumn("sid", F.when(F.col("sid").isin(*shared), F.col("other")).otherwise(F.col("sid")))
-    return rows.select("doc_id", "n", "sid"), np.floor(np.log2(np.maximum(counts / max(usual, 1e-9), 1))).astype(np.uint8), shared
+    return rows.select("doc_id", "n", "sid"), order, shared
 
 
-def prefixed(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray, shared: frozenset) -> DataFrame:
+def prefixed(docs: DataFrame, size: int, num: int, den: int, order: Order, shared: frozenset) -> DataFrame:
     """(sid, n, keys, bits): each class once per task, with its prefix tokens and bitmap."""
-    held = docs.sparkSession.sparkContext.broadcast(common)  # 2**SLOT_BITS bytes
+    held = docs.sparkSession.sparkContext.broadcast(order)  # 2**SLOT_BITS + 9 * FREQUENT bytes
 
     def make(state, batch, sets):
         if batch is None:
@@ -135,8 +181,7 @@ def prefixed(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray,
             seen.add(sid)  # copies within a task go no further; a task's rows bound this set
             n = len(s)
             p = n - -(-num * n // den) + 1
-            order = (held.value[slot(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-            keys = s[np.argpartition(order, p - 1)[:p]] if p < n else s
+            keys = s[np.argpartition(held.value.of(s), p - 1)[:p]] if p < n else s
             for column, x in zip(out, (sid, n, keys.view(np.int64), bitmap(s, width_of(n)).tobytes()), strict=True):
                 column.append(x)
         ends = np.cumsum([0, *map(len, out[2])]).astype(np.int32)
@@ -167,7 +212,9 @@ def candidate_edges(prefixes: DataFrame, num: int, den: int, most: int) -> DataF
             links.join(i, j)
             yield sids[i], sids[j]
 
-    return large.unionAll(grouped(signed, "key", work, ["sid"]))
+    edges = saved(large.unionAll(grouped(signed, "key", work, ["sid"])), "jaccard-edges")
+    freed(blocks, member)
+    return edges
 
 
 def verified(rows: pa.RecordBatch, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -218,10 +265,13 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     tokens bound what one task holds; results don't depend on them.
     """
     docs = docs.select("doc_id", "text")
-    rows, common, shared = measured(docs, size)
-    prefixes = prefixed(docs, size, num, den, common, shared)
-    groups = components(candidate_edges(prefixes, num, den, most_block), "jaccard-candidates").select(F.col("node").alias("sid"), F.col("component").alias("grp"))
+    rows, order, shared = measured(docs, size)
+    prefixes = prefixed(docs, size, num, den, order, shared)
+    edges = candidate_edges(prefixes, num, den, most_block)
+    freed(prefixes)
+    groups = components(edges, "jaccard-candidates").select(F.col("node").alias("sid"), F.col("component").alias("grp"))
     groups = saved(groups, "jaccard-grouped")
+    freed(edges)
     classes = saved(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least")), "jaccard-classes")
     wanted = saved(groups.join(classes, "sid").select(F.col("least").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "jaccard-wanted")
     texts = docs.join(checked_broadcast(wanted), "doc_id", "left_semi").unionAll(docs.where("doc_id IS NULL"))
@@ -233,7 +283,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
 
     whole = over_sets(texts, size, "sid bigint, n bigint, tokens binary", make)
     whole = saved(whole.join(checked_broadcast(groups), "sid").select("grp", "sid", "n", "tokens"), "jaccard-sets")
-    labels = components(links_of(whole, num, den, most_tokens), "jaccard-components")
+    links = links_of(whole, num, den, most_tokens)
+    freed(whole)
+    labels = components(links, "jaccard-components")
     by_class = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = saved(by_class.join(least, "component").select("sid", "component_id"), "jaccard-result")

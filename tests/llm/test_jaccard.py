@@ -157,3 +157,19 @@ def test_components_of_edges(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "test").collect()}
     assert got == {x: find(x) for x in up}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "test").count() == 0
+
+
+def test_passages_of_many_texts_connect_nothing(spark):
+    """A passage that stands in more texts than a block may hold comes last in the order of their tokens: texts that share it alone are no candidates, and those that are near are found.
+
+    Slots are told as equally common, as they are where a large corpus fills them."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{i}-{j}" for j in range(60)) + " " + passage) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 60, 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, order, shared = J.measured(docs, 4)
+    order = order._replace(common=np.zeros_like(order.common))
+    edges = J.candidate_edges(J.prefixed(docs, 4, 85, 100, order, shared), 85, 100, 8)
+    assert edges.distinct().count() == 3
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, most_block=8, most_tokens=500).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {100: 0, 120: 20, 140: 40}
