@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checked_broadcast, saved, text_names
+from ledgerloom.llm.common import checked_broadcast, freed, saved, text_names
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_components
 from ledgerloom.llm.language_id import fit, predict
@@ -75,7 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        freed(*done)  # the stage before
+        done = [docs]
     return docs
