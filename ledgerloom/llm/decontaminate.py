@@ -88,7 +88,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     fits = places.join(small(prefix), "key").where("pos >= offset AND pos - offset + len <= n")
     fits = fits.select("t", "u", (F.col("pos") - F.col("offset")).alias("at"), "len", "win", "items").distinct()  # equal texts have equal candidates
     fits = saved(fits.groupBy("t", "u").agg(F.sort_array(F.collect_list(F.struct("at", "len", "win", "items"))).alias("fits")), "decontaminate-candidates")
-    read = texts.select("t", "u", "text").join(checked_broadcast(fits.select("t", "u")), ["t", "u"], "left_semi").join(fits, ["t", "u"])
+    # never broadcast for its size on disk: the windows' words repeat in it, so that it takes some seventy times as much in memory
+    read = texts.select("t", "u", "text").join(checked_broadcast(fits.select("t", "u")), ["t", "u"], "left_semi").join(fits.hint("merge"), ["t", "u"])
     read = read.select("t", "u", "fits", F.explode(F.array(words_of(F.col("text")))).alias("w"))  # split once, not for each candidate
     found = read.select("t", "u", F.filter("fits", lambda c: F.slice(F.col("w"), c["at"] + 1, c["len"]) == c["win"]).alias("found")).where("size(found) > 0")
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))

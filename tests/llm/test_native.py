@@ -241,3 +241,19 @@ def test_kept_rows_have_the_target_shares(spark, stage):
     chance = lambda p: 3 * (p * (1 - p) / len(kept)) ** 0.5  # noqa: E731  three standard deviations of so many rows
     for f, p in ((lambda r: r[2] == "en", targets["lang"]["en"]), (lambda r: "%%%" in r[3], goal), (lambda r: r[1] == "a", 0.5)):
         assert abs(share(f) - p) < chance(p)
+
+
+def test_candidates_are_not_broadcast(spark, monkeypatch):
+    """The candidates' windows compress so well that their size on disk says nothing about the driver's memory: only the texts' names are broadcast, and their number is bounded."""
+    plans, write = {}, D.saved
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(D, "saved", noted)
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"a {words} b"), (2, "other words"), (3, words)], "doc_id bigint, text string")
+    got = D.decontaminate(docs, spark.createDataFrame([("i", words)], "item_id string, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {1: 30, 2: 0, 3: 30}
+    assert plans["decontaminate-found"].count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plans["decontaminate-found"]
