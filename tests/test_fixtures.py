@@ -32,3 +32,10 @@ def test_few_parts(spark):
     """A token's blocks are cut where they are too many, not where their numbers are far apart: at this size one part holds a token's chain."""
     texts = fixtures.chain_texts(spark, DATA)
     assert texts.count() == texts.select("token_id").distinct().count() and texts.agg(F.max("first")).first()[0] == 0
+
+
+def test_chains_are_shuffled_without_texts(spark):
+    """Orders go to their spans once for each token, and become texts there: no text is made below that shuffle."""
+    plan = fixtures.chain_texts(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    before, _, after = plan.partition("Exchange hashpartitioning(token_id")
+    assert "structstojson" in before.lower() and "structstojson" not in after.lower()

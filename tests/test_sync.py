@@ -132,3 +132,21 @@ def test_a_sync_leaves_only_its_tables(spark, tmp_path, monkeypatch):
         sync.sync_chains(chains, types, str(tmp_path / "out"), load_time(), sinks, buckets=4)
     assert table(spark, str(tmp_path / "out"), "TransferBlocks", "block_hash") == [("t1",)] and table(spark, str(tmp_path / "out"), "SC_Blocks", "block_id") == [("c2",)]
     assert made and files(tmp_path / "way") == [] and sum("sync-blocks" in m for m in made) == 1
+
+
+def test_routed_sinks_parse_their_own_texts(spark, tmp_path, monkeypatch):
+    """A load of routed tables alone parses no text that can't have one of their codes, and only the fields that they need."""
+    seen, decode = [], sync.B.decode
+
+    def noted(blocks, text, only):
+        seen.append((blocks.count(), set(only)))
+        return decode(blocks, text, only)
+
+    monkeypatch.setattr(sync.B, "decode", noted)
+    types = spark.createDataFrame([("Qa", "RBT")], "token_id string, token_type string")
+    rows = chain(spark, Qa=[block("t1", "02", "x1", "Qa"), block("b1", "08", "x2", "Qa"), block("b2", 13, "x3", "Qa"), block("c1", "09", "x4", "Qa")])
+    sync.sync_chains(rows, types, str(tmp_path / "out"), load_time(), ("BurntBlocks",), buckets=4)
+    assert seen == [(2, {"block_hash", *sync.NEEDS["BurntBlocks"]})]
+    assert table(spark, str(tmp_path / "out"), "BurntBlocks", "block_hash") == [("b1",), ("b2",)]
+    sync.sync_chains(rows, types, str(tmp_path / "all"), load_time(), buckets=4)
+    assert seen[1][0] == 4 and table(spark, str(tmp_path / "all"), "AllBlocks", "block_hash") == [("b1",), ("b2",), ("c1",), ("t1",)]
